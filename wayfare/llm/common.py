@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words: the six ASCII white-space characters.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What lies between the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,13 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: ``df`` as a Parquet table in the shared folder.
 
     Later jobs reread the table when an executor is lost.  The shuffle files of the
-    jobs that made it are not needed any more; collecting garbage lets Spark delete them.
+    jobs that made it are of no more use, so Spark is told to delete them when they end.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
