@@ -1,10 +1,10 @@
-"""Nested logit over any tree of nests, as generated Columns."""
+"""Nested logit over any tree of nests, as generated projections."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.choice import FAINT, NONE
@@ -46,70 +46,81 @@ def validated(tree: Nest, low: float = 0.05, high: float = 1.0) -> Nest:
     return tree
 
 
-def _log_sum_exp(parts: list[Column]) -> Column:
-    top = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    total = sum((F.exp(p - top) for p in parts), F.lit(0.0))
-    return F.when(top == NONE, NONE).otherwise(top + F.log(total))
+def _nests(tree: Nest, scale: float = 1.0, depth: int = 0) -> list[tuple[int, Nest, float]]:
+    """(depth, nest, product of coefficients down to it) of all nests."""
+    own = scale * tree.coefficient
+    below = [y for part in tree.parts if isinstance(part, Nest) for y in _nests(part, own, depth + 1)]
+    return [(depth, tree, own), *below]
 
 
-def logsum(tree: Nest, utilities: dict[str, Column], scale: float = 1.0, shift: bool = True, single: bool = False) -> Column:
-    """Log-sum at the root: A16, A17 (``single`` precision after every nest), A18 (no ``shift``).
+def with_logsums(df: DataFrame, tree: Nest, shift: bool = True, single: bool = False) -> DataFrame:
+    """Adds ``_s_<nest>`` for every nest, from the deepest up; leaves are columns of their own names.
 
-    A nest's term is coefficient * ln(sum of exp(part)); leaves are scaled by the product of
-    coefficients above them, so ratios of nested coefficients cancel level by level.
+    A nest's value is coefficient * ln(sum of exp(part)) (A16); ``single`` rounds each to single precision
+    (A17), without ``shift`` exponentials are taken as they are (A18).  A level is a projection, so nothing is
+    evaluated twice; -inf stands for a nest without an available part.
     """
-    scale = scale * tree.coefficient
-    parts = []
-    for part in tree.parts:
-        if isinstance(part, str):
-            parts.append(utilities[part].cast("double") / scale)
-        else:
-            parts.append(logsum(part, utilities, scale, shift, single))
-    if shift:
-        inner = _log_sum_exp(parts)
-    else:
-        total = sum((F.when(p == NONE, 0.0).otherwise(F.exp(p)) for p in parts), F.lit(0.0))
-        inner = F.when(total > 0, F.log(F.when(total > 0, total).otherwise(1.0))).otherwise(NONE)
-    out = F.when(inner == NONE, NONE).otherwise(inner * tree.coefficient)
-    return out.cast("float").cast("double") if single else out
-
-
-def probabilities(tree: Nest, utilities: dict[str, Column], scale: float = 1.0, given: Column | None = None) -> dict[str, Column]:
-    """Each alternative's probability: products of conditional shares down the tree: A19."""
-    scale = scale * tree.coefficient
-    terms: list[tuple[str | Nest, Column]] = []
-    for part in tree.parts:
-        value = utilities[part].cast("double") / scale if isinstance(part, str) else logsum(part, utilities, scale)
-        terms.append((part, value))
-    top = F.greatest(*[v for _, v in terms]) if len(terms) > 1 else terms[0][1]
-    raw = [F.when(v == NONE, 0.0).otherwise(F.exp(v - top)) for _, v in terms]
-    cut = [F.when(x <= FAINT, 0.0).otherwise(x) for x in raw]
-    total = sum(cut, F.lit(0.0))
-    out: dict[str, Column] = {}
-    for (part, _), x in zip(terms, cut, strict=True):
-        share = F.when(total > 0, F.least(F.lit(1.0), x / F.when(total > 0, total).otherwise(1.0))).otherwise(0.0)
-        share = share if given is None else given * share
-        if isinstance(part, str):
-            out[part] = share
-        else:
-            out |= probabilities(part, utilities, scale, share)
-    return out
-
-
-def guard(tree: Nest, utilities: dict[str, Column], probs: Column, scale: float = 1.0) -> Column:
+    nests = _nests(tree)
+    for level in range(max(d for d, _, _ in nests), -1, -1):
+        here = [(nest, scale) for depth, nest, scale in nests if depth == level]
+        parts = {}
+        for nest, scale in here:
+            terms = [_part(part, scale) for part in nest.parts]
+            parts[f"_p_{nest.name}"] = F.array(*terms)
+        df = df.withColumns(parts).withColumns({f"_t_{nest.name}": F.array_max(f"_p_{nest.name}") for nest, _ in here})
+        sums = {}
+        for nest, _ in here:
+            top = F.col(f"_t_{nest.name}") if shift else F.lit(0.0)
+            terms = [F.exp(F.col(f"_p_{nest.name}")[i] - top) for i in range(len(nest.parts))]
+            total = sum(terms[1:], terms[0])
+            value = F.when(F.col(f"_t_{nest.name}") == NONE, NONE).otherwise((top + F.log(total)) * nest.coefficient)
+            sums[f"_s_{nest.name}"] = value.cast("float").cast("double") if single else value
+        df = df.withColumns(sums)
+    return df
+
+
+def _part(part: str | Nest, scale: float) -> Column:
+    return F.col(part).cast("double") / scale if isinstance(part, str) else F.col(f"_s_{part.name}")
+
+
+def logsum(df: DataFrame, tree: Nest, name: str = "logsum", shift: bool = True, single: bool = False) -> DataFrame:
+    """Adds the root's log-sum."""
+    held = with_logsums(df, tree, shift, single)
+    return held.select(*df.columns, F.col(f"_s_{tree.name}").alias(name))
+
+
+def probabilities(df: DataFrame, tree: Nest, name: str = "probabilities") -> DataFrame:
+    """Adds each alternative's probability, in the order of the tree's leaves: shares multiplied down the tree."""
+    held = with_logsums(df, tree)
+    nests = _nests(tree)
+    held = held.withColumn(f"_g_{tree.name}", F.lit(1.0))
+    for level in range(max(d for d, _, _ in nests) + 1):
+        here = [nest for depth, nest, _ in nests if depth == level]
+        weights = {}
+        for nest in here:
+            top = F.col(f"_t_{nest.name}")
+            shifted = F.transform(f"_p_{nest.name}", lambda p: F.when(p == NONE, 0.0).otherwise(F.exp(p - top)))
+            weights[f"_w_{nest.name}"] = F.transform(shifted, lambda x: F.when(x <= FAINT, 0.0).otherwise(x))
+        held = held.withColumns(weights)
+        totals = {f"_n_{n.name}": F.aggregate(f"_w_{n.name}", F.lit(0.0), lambda a, x: a + x) for n in here}
+        held = held.withColumns(totals)
+        given = {}
+        for nest in here:
+            for i, part in enumerate(nest.parts):
+                total = F.col(f"_n_{nest.name}")
+                share = F.when(total > 0, F.least(F.lit(1.0), F.col(f"_w_{nest.name}")[i] / total)).otherwise(0.0)
+                given[f"_g_{part if isinstance(part, str) else part.name}"] = F.col(f"_g_{nest.name}") * share
+        held = held.withColumns(given)
+    return held.select(*df.columns, F.array(*[F.col(f"_g_{x}") for x in tree.leaves()]).alias(name))
+
+
+def guard(tree: Nest, probs: Column) -> Column:
     """True where double precision may not decide: a scaled utility over 690, or probabilities that do not add up."""
     far = F.lit(False)
-
-    def visit(nest: Nest, outer: float) -> None:
-        nonlocal far
-        own = outer * nest.coefficient
+    for _, nest, scale in _nests(tree):
         for part in nest.parts:
             if isinstance(part, str):
-                far = far | (F.abs(utilities[part].cast("double") / own) > 690)
-            else:
-                visit(part, own)
-
-    visit(tree, scale)
+                far = far | (F.abs(F.col(part).cast("double") / scale) > 690)
     total = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p)
     return far | (F.abs(total - 1.0) > 1e-7)
 

@@ -1,4 +1,6 @@
 """All registered queries of the choice operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from wayfare.plans import choice_queries
+
+QUERIES: dict = dict(choice_queries.QUERIES)
+ORACLE_SQL: dict = dict(choice_queries.ORACLE_SQL)
