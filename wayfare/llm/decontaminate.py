@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,7 @@ UNITS = frozenset(
     "months year years mph kmh percent dollar dollars cent cents euro euros usd eur gbp watt watts volt volts joule joules celsius "
     "fahrenheit degree degrees meter meters metre metres".split()
 )
-TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[$€£%]")
-STOPS = ".!?\n"
+TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[$€£%]|[.!?\n]")
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
@@ -29,49 +29,91 @@ COVERAGE = 0.5
 LITERALS = 3
 #: Window hashes that are broadcast at most (8 bytes each); larger benchmarks are joined by a shuffle.
 BROADCAST = 1 << 20
-NUMBER, NAME, UNIT = 1, 2, 3
+LITERAL, NUMBER, NAME, UNIT, STOP = range(5)
+HIGH = 1 << 63
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCH = "doc_id long, key long, at int, start int, end int, hash long, slots array<long>"
 
 
-def canonical(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens: (hash, placeholder type or 0, hash of the surface, start, end).
+class Vocabulary(dict):
+    """Words between white space, each with a number, and the template tokens that each is made of.
 
-    Numbers, units and names become typed placeholders; other words their lower case.
-    A name is a run of capitalised words that does not begin a sentence.
+    A token has a kind (NAME for any capitalised word) and a hash of its lower case.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    last_end, in_name = 0, False
-    known = _HASHES
-    for m in TOKEN.finditer(text):
-        word, start, end = m[0], m.start(), m.end()
-        kind = 0
-        if word[0].isdigit():
-            kind = NUMBER
-        elif word in "$€£%" or word.lower() in UNITS:
-            kind = UNIT
-        elif word[0].isupper() and word[1:].islower() and out:
-            gap = text[last_end:start]
-            if not any(x in STOPS for x in gap):
-                kind = NAME
-        low = word.lower()
-        if (surface := known.get(low)) is None:
-            if len(known) > 500_000:
-                known.clear()
-            surface = known[low] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-        if kind == NAME and in_name and text[last_end:start].isspace():
-            held = out[-1]
-            out[-1] = (held[0], NAME, (held[2] * 31 + surface) & 0xFFFFFFFFFFFFFFFF, held[3], end)
-        else:
-            out.append((kind or surface, kind, surface, start, end))
-        in_name, last_end = kind == NAME, end
-    if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.uint64, np.int64, np.int64))
-    a, b, c, d, e = zip(*out, strict=True)
-    return np.array(a, np.uint64), np.array(b), np.array(c, np.uint64), np.array(d), np.array(e)
-
-
-_HASHES: dict[str, int] = {}
+
+    LIMIT = 300_000
+
+    def __init__(self):
+        super().__init__()
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.kinds, self.hashes, self.ends = [], [], [0]
+        self.arrays = None
+
+    def __missing__(self, word: str) -> int:
+        for token in (word,) if word.isalpha() else TOKEN.findall(word):
+            low = token.lower()
+            if token.isalpha():
+                kind = UNIT if low in UNITS else NAME if len(token) > 1 and token.istitle() else LITERAL
+            elif token[0].isdigit():
+                kind = NUMBER
+            else:
+                kind = UNIT if token in "$€£%" else STOP if token in ".!?" else LITERAL
+            self.kinds.append(kind)
+            # never one of the placeholders' small numbers
+            self.hashes.append(xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) | HIGH)
+        self.ends.append(len(self.kinds))
+        self.arrays = None
+        self[word] = number = len(self)
+        return number
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(kinds, hashes, first token of each text and the end) of texts laid end to end."""
+        if len(self) > self.LIMIT:
+            self.restart()
+        # a line end is a token of its own, and stops a sentence as a full stop does
+        words = [text.replace("\n", " . ").split() for text in texts]
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64)
+        if self.arrays is None:
+            self.arrays = np.array(self.kinds, np.int64), np.array(self.hashes, np.uint64), np.array(self.ends)
+        kinds, hashes, ends = self.arrays
+        first, size = ends[numbers], ends[numbers + 1] - ends[numbers]
+        upto = np.r_[0, np.cumsum(size)]
+        at = np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)
+        return kinds[at], hashes[at], upto[np.r_[0, np.cumsum([len(own) for own in words], dtype=np.int64)]]
+
+
+_KNOWN = Vocabulary()
+
+
+def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of texts laid end to end: (hash, placeholder type or 0, hash of the surface, place among the
+    text's raw tokens, text).
+
+    Numbers, units and names become typed placeholders; other words their lower case.  A name is a run of
+    capitalised words of which none begins the text or a sentence.
+    """
+    kinds, surfaces, bounds = _KNOWN.tokens(texts)
+    begins = np.zeros(len(kinds) + 1, bool)
+    begins[bounds] = True
+    starts = begins[:-1].copy()
+    begins[1:] |= kinds == STOP
+    kinds = np.where((kinds == NAME) & begins[:-1], LITERAL, kinds)
+    name = kinds == NAME
+    goes_on = name.copy()
+    goes_on[1:] &= name[:-1]
+    goes_on &= ~starts
+    head = np.flatnonzero(~goes_on)
+    if len(head):
+        nth = np.arange(len(kinds)) - np.repeat(head, np.diff(np.r_[head, len(kinds)]))
+        surfaces = np.add.reduceat(surfaces * (2 * nth + 1).astype(np.uint64), head)
+    head = head[kinds[head] != STOP]
+    surfaces = surfaces[kinds[np.flatnonzero(~goes_on)] != STOP] if len(head) else surfaces[:0]
+    kinds = kinds[head]
+    text = np.searchsorted(bounds, head, "right") - 1
+    return np.where(kinds > 0, kinds.astype(np.uint64), surfaces), kinds, surfaces, head - bounds[text], text
 
 
 def windows(tokens: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +137,24 @@ def _windows_of(sizes: list[int], wanted):
         among = None if wanted is None else wanted.value
         for batch in batches:
             out: list[tuple] = []
-            for doc, key, text in zip(*(batch[x].to_pylist() for x in ("doc_id", "key", "text")), strict=True):
-                tokens, kinds, surfaces, starts, ends = canonical(text or "")
-                slots = np.where(kinds > 0, surfaces, 0).astype(np.uint64).view(np.int64)
-                for size in sizes:
-                    hashes, enough = windows(tokens, kinds, size)
-                    if among is not None and len(hashes):
-                        place = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
-                        enough = enough & (among[place] == hashes)
-                    for i in np.flatnonzero(enough).tolist():
-                        end = i + size - 1
-                        out.append((doc, key, i, int(starts[i]), int(ends[end]), hashes[i].astype(np.int64).item(), slots[i : end + 1]))
+            docs, keys, texts = (batch[x].to_pylist() for x in ("doc_id", "key", "text"))
+            texts = [x or "" for x in texts]
+            tokens, kinds, surfaces, place, text = canonical(texts)
+            first = np.searchsorted(text, np.arange(len(texts)))
+            slots = np.where(kinds > 0, surfaces, 0).astype(np.uint64).view(np.int64)
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for size in sizes:
+                hashes, enough = windows(tokens, kinds, size)
+                enough &= text[: len(hashes)] == text[size - 1 :][: len(hashes)]
+                if among is not None and len(hashes):
+                    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+                    enough &= among[at] == hashes
+                for i in np.flatnonzero(enough).tolist():
+                    d = int(text[i])
+                    if d not in spans:
+                        spans = {d: [m.span() for m in TOKEN.finditer(texts[d])]}
+                    start, end = spans[d][place[i]][0], spans[d][place[i + size - 1]][1]
+                    out.append((docs[d], keys[d], i - int(first[d]), start, end, hashes[i].astype(np.int64).item(), slots[i : i + size]))
             if out:
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
@@ -118,8 +167,9 @@ def _windows_of(sizes: list[int], wanted):
 
 def _item_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [len(canonical(x or "")[0]) for x in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sizes, pa.int32())], names=["key", "n"])
+        texts = [x or "" for x in batch["text"].to_pylist()]
+        sizes = np.bincount(canonical(texts)[4], minlength=len(texts))
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sizes.astype(np.int32))], names=["key", "n"])
 
 
 def contaminated(
