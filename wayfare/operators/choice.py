@@ -8,6 +8,8 @@ position), one shuffle on the chooser, running sums in a window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ NONE = float("-inf")
 FAINT = 1e-300
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def masked(utilities: Column, availability: Column | None = None) -> Column:
     """Utilities with -inf where an alternative is unavailable or its utility is not finite."""
     usable = F.transform(utilities, lambda u: F.when(ieee.finite(u), u.cast("double")).otherwise(NONE))
@@ -28,8 +35,11 @@ def masked(utilities: Column, availability: Column | None = None) -> Column:
 
 def weights(utilities: Column) -> Column:
     """exp(u - max u), 0 where unavailable."""
-    top = F.array_max(utilities)
-    return F.transform(utilities, lambda u: F.when(u == NONE, 0.0).otherwise(F.exp(u - top)))
+
+    def shifted(top: Column) -> Column:
+        return F.transform(utilities, lambda u: F.when(u == NONE, 0.0).otherwise(F.exp(u - top)))
+
+    return let(F.array_max(utilities), shifted)
 
 
 def total(values: Column) -> Column:
@@ -79,7 +89,8 @@ def choose(df: DataFrame, utilities: str, draw: str, availability: str | None =
 def probabilities(utilities: Column) -> tuple[Column, Column]:
     """(probabilities, logsum) with faint weights cut: A8."""
     w = F.transform(weights(utilities), lambda x: F.when(x <= FAINT, 0.0).otherwise(x))
-    return F.transform(w, lambda x: x / total(w)), F.log(total(w)) + F.array_max(utilities)
+    probs = let(w, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
+    return probs, F.log(total(w)) + F.array_max(utilities)
 
 
 def choose_from_probabilities(probs: Column, draw: Column) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries of the choice operators, with their SQL."""
 
-from wayfare.plans import choice_queries
+from wayfare.plans import choice_queries, table_queries
 
-QUERIES: dict = dict(choice_queries.QUERIES)
-ORACLE_SQL: dict = dict(choice_queries.ORACLE_SQL)
+QUERIES: dict = choice_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = choice_queries.ORACLE_SQL | table_queries.ORACLE_SQL
