@@ -16,10 +16,11 @@ from wayfare.llm.common import small_batches
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that are fitted at most: those of least hash.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Words that a link of the chain looks at: those most telling of its category.
 FEATURES = 400
 FOLDS = 3
+RARE = 3
 PENALTY = 2.0
 
 
@@ -45,8 +46,8 @@ class Chain:
 
 
 def words_of(text: str) -> list[int]:
-    """Hashes of the distinct words of a text."""
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in set(WORDS.findall(text.lower()))]
+    """Hashes of the distinct words of a text, as signed 32-bit numbers."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) - (1 << 31) for x in set(WORDS.findall(text.lower()))]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [words_of(x or "") for x in batch["text"].to_pylist()]
         columns = [batch[x] for x in batch.schema.names if x != "text"]
         names = [x for x in batch.schema.names if x != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], names=[*names, "words"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int32()))], names=[*names, "words"])
 
 
 def _telling(rows: np.ndarray, words: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
@@ -105,8 +106,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) ->
 def fitted(docs_words: list[np.ndarray], labels: dict[str, np.ndarray], features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Fits a link for each category in turn; each sees out-of-fold log-odds of those before."""
     n = len(docs_words)
-    rows = np.repeat(np.arange(n), [len(x) for x in docs_words])
-    words = np.concatenate([*docs_words, np.zeros(0, np.int64)]).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in docs_words])
+    words = np.concatenate([*docs_words, np.zeros(0, np.int32)])
+    # words of fewer than RARE documents tell nothing that holds elsewhere
+    values, count = np.unique(words, return_counts=True)
+    common = values[count >= RARE]
+    kept = common[np.minimum(np.searchsorted(common, words), max(len(common) - 1, 0))] == words if len(common) else np.zeros(len(words), bool)
+    rows, words = rows[kept], words[kept]
     fold = np.arange(n) % folds
     before: list[np.ndarray] = []
     links = []
@@ -148,8 +154,8 @@ def fitted(docs_words: list[np.ndarray], labels: dict[str, np.ndarray], features
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from 0.2 to 0.8 with the best F1 of held-out predictions; 0.5 among equals."""
-    grid = np.arange(20, 81) / 100
+    """The probability from 0.05 to 0.95 with the best F1 of held-out predictions; 0.5 among equals."""
+    grid = np.arange(5, 96) / 100
 
     def quality(t: float) -> float:
         return 2 * (y[p >= t]).sum() / max(1, (p >= t).sum() + y.sum())
@@ -174,9 +180,9 @@ def train(
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # at most ``sample`` short rows: a bounded broadcast
     texts = rows.join(F.broadcast(held), "doc_id")
-    schema = ", ".join(["doc_id long", *[f"{n} int" for n in names], "words array<long>"])
+    schema = ", ".join(["doc_id long", *[f"{n} int" for n in names], "words array<int>"])
     got = texts.select("doc_id", *names, "text").mapInArrow(_features, schema).toArrow().sort_by("doc_id")
-    found = [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, np.int64) for x in got["words"]]
+    found = [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, np.int32) for x in got["words"]]
     values = {n: got[n].to_numpy() for n in names}
     values = {n: y for n, y in values.items() if 0 < y.sum() < len(y)}
     return fitted(found, values) if values and names[-1] in values else None
