@@ -15,8 +15,10 @@ position is induced from its sample:
 3. Induce.  A stretch with a name of its own, whose sample occurs elsewhere, holds
    windows that may be repeated or not (the ends of shared passages).  It, and one
    stretch of each other name with that sample, is cut into parts of a few windows
-   at fixed distances from the sample; parts are named and counted in the same way,
-   and what stays open recurses down to parts of one window.
+   at fixed distances from the sample; parts are named and counted in the same way.
+   The bytes that all windows of a part have in common are its core: a part whose core
+   does not occur in a part of another name has no repeated window.  What stays open
+   recurses down to parts of one window.
 
 No step gathers a group: hot samples and hot names are only counted (with partial
 aggregation) and joined.
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import small_batches, written
+from wayfare.llm.common import forget, small_batches, written
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 PIECE = 1 << 19  # bytes that are hashed at once; must stay below 2**POSITION_BITS
@@ -103,7 +105,7 @@ def pieces(sizes: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]
 
 
 STRETCH = "id long, fp long, h long, c long, n int, lo int, hi int, at int"
-PART = "id long, fp long, h long, b int, c long, lo int, hi int, at int, lone boolean, data binary"
+PART = "id long, fp long, h long, c long, lo int, hi int, at int, lone boolean, data binary"
 #: Windows in a part, level by level.
 PARTS = (12, 1)
 _ROLLING: list[Rolling] = []
@@ -183,26 +185,33 @@ def _slices(length: int):
                 base = int(offsets[i])
                 for x in spans:
                     held = bytes(data[base + x["lo"] : base + x["hi"] + length])
-                    out.append((doc, print_, x["h"], 0, 0, x["lo"], x["hi"], x["at"], x["lone"], held))
+                    out.append((doc, print_, x["h"], 0, x["lo"], x["hi"], x["at"], x["lone"], held))
             if out:
                 yield _batch(PART, *zip(*out, strict=True))
 
     return run
 
 
+def _name(data: bytes, seed: int = 0) -> int:
+    name = xxhash.xxh3_64_intdigest(data, seed & 0xFFFFFFFFFFFFFFFF)
+    return name - (name >> 63 << 64)
+
+
 def _parts(length: int, size: int):
     """Cuts parts into parts of ``size`` windows that begin at fixed distances from the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch[x].to_pylist() for x in ("id", "fp", "h", "lo", "hi", "at", "lone", "data")]
-            for doc, print_, h, lo, hi, at, lone, data in zip(*columns, strict=True):
+            columns = [batch[x].to_pylist() for x in ("id", "fp", "lo", "hi", "at", "lone", "data")]
+            for doc, print_, lo, hi, at, lone, data in zip(*columns, strict=True):
                 for b in range((lo - at) // size, (hi - at) // size + 1):
-                    x, y = max(lo, at + b * size), min(hi, at + b * size + size - 1)
+                    begin = at + b * size
+                    x, y = max(lo, begin), min(hi, begin + size - 1)
                     held = data[x - lo : y - lo + length]
-                    name = xxhash.xxh3_64_intdigest(held)
-                    out.append((doc, print_, h, b, name - (name >> 63 << 64), x, y, at, lone, held if size > 1 else b""))
+                    # the distance goes into the core's name: only parts at one distance are compared
+                    core = _name(data[begin + size - 1 - lo : begin + length - lo], b)
+                    out.append((doc, print_, core, _name(held), x, y, at, lone, held if size > 1 else b""))
             if out:
                 yield _batch(PART, *zip(*out, strict=True))
 
@@ -269,6 +278,7 @@ def remove_repeats(
         .select("h", (F.col("c0") == F.col("c1")).alias("one_name"))
     )
     found = written(stretches.join(samples, "h"), "found")
+    forget(stretches)
     mixed = found.where("not one_name").withColumn("rid", rid)
     names = mixed.groupBy("h", "c").agg(F.sum("n").alias("copies"), F.min("rid").alias("first"))
     mixed = mixed.join(names, ["h", "c"])
@@ -280,20 +290,23 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("h", "lo", "hi", "at", lone.alias("lone"))).alias("spans"))
     )
     open_ = long_enough.select("id", "fp", "text").join(wanted, ["id", "fp"]).mapInArrow(_slices(length), PART)
+    made = []
     for size in PARTS:
-        parts = written(open_.mapInArrow(_parts(length, size), PART), "parts").withColumn("rid", rid)
-        key = ["h", "b", "c"]
-        names = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first"))
+        parts = written(open_.mapInArrow(_parts(length, size), PART), "parts")
+        made.append(parts)
+        parts = parts.withColumn("rid", rid)
+        names = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first"))
         spans.append(
-            parts.where("lone").join(names.where("copies > 1").select(*key), key).select("id", "fp", "lo", "hi")
+            parts.where("lone").join(names.where("copies > 1").select("h", "c"), ["h", "c"]).select("id", "fp", "lo", "hi")
         )
-        several = names.groupBy("h", "b").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("h", "b")
-        rest = parts.join(names.join(several, ["h", "b"]), key).where(lone | (F.col("rid") == F.col("first")))
+        several = names.groupBy("h").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("h")
+        rest = parts.join(names.join(several, "h"), ["h", "c"]).where(lone | (F.col("rid") == F.col("first")))
         open_ = rest.select(*[F.col(x.split()[0]) for x in PART.split(", ")[:-2]], (lone & F.col("lone")).alias("lone"), "data")
     covered = spans[0]
     for more in spans[1:]:
         covered = covered.unionByName(more)
     covered = written(covered, "covered")
+    forget(found, *made)
     by_text = covered.groupBy("id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
     return keyed.join(by_text, ["id", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), schema)
