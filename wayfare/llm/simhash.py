@@ -18,13 +18,20 @@ GROUPED = 1 << 16
 #: Node pairs that are split at once.
 FRONTIER = 1 << 17
 EDGE = "a long, b long"
+#: Fingerprints by which copies are taken out of a corpus; measured shares found are in the README.
+PRINTS = 16
+#: Bits below the turn in a trie's number.
+TURN = 20
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """64-bit SimHash of the ``width``-word shingles of ``text``, ASCII letters in lower case."""
+def fingerprints(text: str, width: int = 4, count: int = 1) -> list[int]:
+    """64-bit SimHashes of the ``width``-word shingles of ``text``, ASCII letters in lower case.
+
+    The first is of XXH64 of the shingles, further ones of products of that with odd numbers.
+    """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined = memoryview(b" ".join(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
@@ -33,20 +40,33 @@ def fingerprint(text: str, width: int = 4) -> int:
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def _fingerprints(width: int):
+    ones = np.zeros(64 * count, np.int64)
+    step = max(1, (1 << 14) // count)
+    for at in range(0, len(hashes), step):
+        part = turned_hashes(hashes[at : at + step], count)
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    packed = np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+    return [int.from_bytes(packed[i : i + 8], "little") for i in range(0, 8 * count, 8)]
+
+
+def turned_hashes(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` hashes of each hash, itself first, as a matrix."""
+    odd = np.random.default_rng(5).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = hashes[:, None] * odd[None]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    out[:, 0] = hashes
+    return out
+
+
+def _fingerprints(width: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x or "", width) for x in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array(values.view(np.int64))], names=["doc_id", "text_key", "fp"]
-            )
+            held = [fingerprints(x or "", width, count) for x in batch["text"].to_pylist()]
+            values = np.array(held, np.uint64).reshape(-1, count).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, count, dtype=np.int32), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], lists], names=["doc_id", "text_key", "fps"])
 
     return run
 
@@ -149,54 +169,53 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
 
 
 def _linked(blocks: list[tuple[int, int]], budget: int):
-    """Star edges of the tries in a partition, sorted by (turn, block, fingerprint)."""
+    """Star edges of the tries in a partition, sorted by trie (turn and block)."""
 
-    def joined(turn: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k, (shift, size) in enumerate(blocks):
-            own = fp[turn == k].view(np.uint64)
+    def joined(trie: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        turn = trie >> TURN
+        for k in np.unique(turn):
+            shift, size = blocks[k % len(blocks)]
+            own, names = fp[turn == k].view(np.uint64), node[turn == k]
             up = np.uint64(64 - shift - size)
             turned = (own << up) | (own >> (np.uint64(64) - up)) if up else own
-            turned = np.unique(turned)
-            if len(turned) < 2:
-                continue
+            turned, first, place = np.unique(turned, return_index=True, return_inverse=True)
             tries = turned >> np.uint64(64 - size)
             bounds = np.r_[np.flatnonzero(np.r_[True, tries[1:] != tries[:-1]]), len(turned)]
             label = trie_join(turned, bounds, size, budget)
-            back = (turned >> up) | (turned << (np.uint64(64) - up)) if up else turned
-            other = label != np.arange(len(label))
-            a, b = back[other].view(np.int64), back[label[other]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            b = names[first[label[place]]]
+            apart = names != b
+            yield pa.RecordBatch.from_arrays([pa.array(names[apart]), pa.array(b[apart])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch[x].to_numpy() for x in ("turn", "block", "fp")]))
+            held.append(np.stack([batch[x].to_numpy() for x in ("trie", "fp", "node")]))
             if sum(x.shape[1] for x in held) < GROUPED:
                 continue
             rows = np.concatenate(held, axis=1)
-            same = (rows[:2] == rows[:2, -1:]).all(axis=0)
-            first = int(np.argmax(same))  # the last group may go on
+            first = int(np.argmax(rows[0] == rows[0, -1]))  # the last group may go on
             if first:
-                yield from joined(rows[0, :first], rows[2, :first])
+                yield from joined(*rows[:, :first])
             held = [rows[:, first:]]
         if held:
             rows = np.concatenate(held, axis=1)
-            yield from joined(rows[0], rows[2])
+            yield from joined(*rows)
 
     return run
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, prints: int = 1
 ) -> DataFrame:
     """Classes of documents whose SimHash fingerprints chain by ``budget`` differing bits at most.
 
-    Returns a row for each row: doc_id, text_key (a hash of the text), fp (the fingerprint
+    Returns a row for each row: doc_id, text_key (a hash of the text), fp (the first fingerprint
     as a signed long), class (a fingerprint of the class), component_id (the least doc_id in
-    the class).  Equal fingerprints are one leaf.  Of
-    ``budget + 1`` blocks of bits two linked fingerprints share one; for each block a
-    trie begins with it, so only pairs of nodes that agree there are traversed, and the
-    tries are dealt out by that block.  Tasks give spanning edges, never all pairs.
+    the class).  Equal fingerprints are one leaf.  Of ``budget + 1`` blocks of bits two linked
+    fingerprints share one; for each block a trie begins with it, so only pairs of nodes that
+    agree there are traversed, and the tries are dealt out by that block.  Tasks give spanning
+    edges, never all pairs.  With several ``prints`` documents have as many independent
+    fingerprints, in tries of their own, and link by any of them, which finds pairs further apart.
 
     Texts without words (null and empty ones too) have fingerprint 0 and link like any
     other.  A null id never names a class unless all its ids are null.  Rows that repeat an
@@ -205,35 +224,41 @@ def near_duplicates(
     small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    prints = written(rows.mapInArrow(_fingerprints(width), "doc_id long, text_key long, fp long"), "prints")
-    leaves = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = rows.mapInArrow(_fingerprints(width, prints), "doc_id long, text_key long, fps array<long>")
+    node = F.col("fps")[0] if prints == 1 else F.xxhash64("fps")
+    found = written(found.withColumn("node", node), "prints")
+    leaves = found.groupBy("node", "fps").agg(F.min("doc_id").alias("least"))
     blocks = blocks_of(64, budget + 1)
     turns = F.array(
         *[
-            F.struct(F.lit(k).cast("long").alias("turn"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << n) - 1).alias("block"))
+            F.struct(
+                (F.shiftrightunsigned(F.col("fps")[p], s).bitwiseAND((1 << n) - 1) + F.lit((p * len(blocks) + k) << TURN).cast("long")).alias("trie"),
+                F.col("fps")[p].alias("fp"),
+            )
+            for p in range(prints)
             for k, (s, n) in enumerate(blocks)
         ]
     )
-    dealt = leaves.select("fp", F.inline(turns)).select("turn", "block", "fp")
-    dealt = dealt.repartition("turn", "block").sortWithinPartitions("turn", "block", "fp")
-    classes = components(dealt.mapInArrow(_linked(blocks, budget), EDGE))
-    named = leaves.join(classes, leaves["fp"] == classes["node"], "left").select(
-        leaves["fp"], "least", F.coalesce("component", leaves["fp"]).alias("class")
+    dealt = leaves.select("node", F.inline(turns)).select("trie", "fp", "node")
+    dealt = dealt.repartition("trie").sortWithinPartitions("trie")
+    classes = components(dealt.mapInArrow(_linked(blocks, budget), EDGE).where("a <> b"))
+    members = leaves.join(classes, leaves["node"] == classes["node"], "left").select(
+        leaves["node"], "least", F.coalesce("component", leaves["node"]).alias("class")
     )
-    named = written(named, "classes")
-    ids = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "class").select("fp", "class", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "class", "component_id")
+    members = written(members, "classes")
+    ids = members.groupBy("class").agg(F.min("least").alias("component_id"))
+    members = members.join(ids, "class").select("node", "class", "component_id")
+    return found.join(members, "node").select("doc_id", "text_key", F.col("fps")[0].alias("fp"), "class", "component_id")
 
 
 def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 4, prints: int = PRINTS
 ) -> DataFrame:
     """``docs`` with one row left of each class: that of the least id (null ids last), all columns kept.
 
     Rows that repeat an id and a text are one document.
     """
-    found = near_duplicates(docs, id_col, text_col, width, budget)
+    found = near_duplicates(docs, id_col, text_col, width, budget, prints)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     kept = found.groupBy("class").agg(F.min(order).alias("one")).select(
         F.col("one.doc_id").alias("_kept_id"), F.col("one.text_key").alias("_kept_key")
