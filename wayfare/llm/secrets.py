@@ -140,6 +140,8 @@ def joined_back(versions: DataFrame, findings: DataFrame, text_col: str = "text"
             F.collect_list(F.struct("start", F.array_position(rank, F.col("kind")).alias("rank"), "end", "kind"))
         ).alias("spans")
     )
+    # a written table rather than an aggregate, so that the join may split a hot blob's paths
+    by_blob = written(by_blob, "spans")
     held = versions.withColumn("_blob", content_address(versions[text_col]))
     kept = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     joined = held.join(by_blob, held["_blob"] == by_blob["blob"], "left")
