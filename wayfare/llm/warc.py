@@ -173,7 +173,9 @@ def write_archives(
     ).withColumn("sha", F.sha1("html"))
     sizes = F.octet_length("html")
     chosen = rows.where(sizes >= least).groupBy("sha").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(chosen.where("n > 1").select("sha", "chosen"), "sha", "left")
+    # a written table rather than an aggregate, so that the join may split a hot payload's pages
+    chosen = written(chosen.where("n > 1").select("sha", "chosen"), "chosen")
+    joined = rows.join(chosen, "sha", "left")
     refers = F.when((sizes >= least) & ~F.col("chosen").eqNullSafe(F.col("page_id")), F.col("chosen"))
     planned = joined.select("page_id", "url", "html", refers.alias("refers_to"))
     return written(planned.mapInArrow(_writer(folder), INDEX), "warc-index")
