@@ -277,10 +277,12 @@ def remove_repeats(
         .where("n > 1")
         .select("h", (F.col("c0") == F.col("c1")).alias("one_name"))
     )
+    # counts are written before they are joined, so that joins may split hot samples and names
+    samples = written(samples, "samples")
     found = written(stretches.join(samples, "h"), "found")
     forget(stretches)
     mixed = found.where("not one_name").withColumn("rid", rid)
-    names = mixed.groupBy("h", "c").agg(F.sum("n").alias("copies"), F.min("rid").alias("first"))
+    names = written(mixed.groupBy("h", "c").agg(F.sum("n").alias("copies"), F.min("rid").alias("first")), "names")
     mixed = mixed.join(names, ["h", "c"])
     spans = [found.where("one_name").select("id", "fp", "lo", "hi"), mixed.where("copies > 1").select("id", "fp", "lo", "hi")]
     lone = F.col("copies") == 1
@@ -295,7 +297,7 @@ def remove_repeats(
         parts = written(open_.mapInArrow(_parts(length, size), PART), "parts")
         made.append(parts)
         parts = parts.withColumn("rid", rid)
-        names = parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first"))
+        names = written(parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first")), "names")
         spans.append(
             parts.where("lone").join(names.where("copies > 1").select("h", "c"), ["h", "c"]).select("id", "fp", "lo", "hi")
         )
