@@ -247,7 +247,7 @@ def near_duplicates(
     )
     members = written(members, "classes")
     ids = members.groupBy("class").agg(F.min("least").alias("component_id"))
-    members = members.join(ids, "class").select("node", "class", "component_id")
+    members = written(members.join(ids, "class").select("node", "class", "component_id"), "members")
     return found.join(members, "node").select("doc_id", "text_key", F.col("fps")[0].alias("fp"), "class", "component_id")
 
 
