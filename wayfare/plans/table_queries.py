@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import ieee
 from wayfare.functions.expressions import Compiler
-from wayfare.operators import aggregates, chains, choice, inputs, lookup, timetable, tours
-from wayfare.plans.choice_queries import draw, draw_sql, lines, rounded, table
+from wayfare.operators import aggregates, chains, choice, inputs, lookup, scheduling, timetable, tours
+from wayfare.plans.choice_queries import CHOOSE, draw, draw_sql, lines, rounded, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,12 +173,56 @@ def _tour_sql(kind: int, number: int, place: int, when: str, position: str) -> s
 )
 def mandatory_tours(spark: SparkSession, folder: str) -> DataFrame:
     """One or two tours for each person."""
+    return persons_with_tours(spark, folder).select("tour_id", "person_id", "tour_type", "tour_type_num", "tour_num", "tour_count", "destination")
+
+
+def persons_with_tours(spark: SparkSession, folder: str) -> DataFrame:
     zone = F.col("c_nationkey")
     persons = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("person_id"), zone.alias("household_id"), (F.col("c_custkey") % 5).cast("int").alias("mtf_choice"), (F.col("c_acctbal") > 2000).alias("is_worker"),
         (zone + 100).alias("workplace_zone_id"), (zone + 200).alias("school_zone_id"), zone.alias("home_zone_id"),
     )
-    return tours.mandatory(persons).select("tour_id", "person_id", "tour_type", "tour_type_num", "tour_num", "tour_count", "destination")
+    return tours.mandatory(persons)
+
+
+def _batch_sql(number: int, extra: str, join: str) -> str:
+    names = CHOOSE.replace("chosen AS", f"chosen{number} AS")
+    for x in ("w", "c", "t"):
+        names = names.replace(f"\n{x} AS", f"\n{x}{number} AS").replace(f"FROM {x}\n", f"FROM {x}{number}\n").replace(f"FROM {x})", f"FROM {x}{number})").replace(f"FROM {x} GROUP", f"FROM {x}{number} GROUP")
+    names = names.replace("FROM u)", f"FROM u{number})")
+    return f"""u{number} AS (SELECT tour_id AS id, tdd.tdd AS alt, -0.1::DOUBLE * abs(s - 8) - 0.05::DOUBLE * abs(e - 17) + 0.02::DOUBLE * (e - s){extra} AS util, {draw_sql("tour_id", 13)} AS z
+        FROM tours CROSS JOIN tdd {join} WHERE tour_num = {number}{" AND bad.tdd IS NULL" if number > 1 else ""}), {names}"""
+
+
+_TOURS = (
+    """p AS (SELECT c_custkey AS person_id, c_custkey % 5 AS c, c_acctbal > 2000 AS worker, 100 + c_nationkey AS work, 200 + c_nationkey AS school FROM customer),
+    n AS (SELECT *, CASE WHEN c = 1 THEN 2 WHEN c IN (0, 4) THEN 1 ELSE 0 END AS wc, CASE WHEN c = 3 THEN 2 WHEN c IN (2, 4) THEN 1 ELSE 0 END AS sc FROM p),
+    tours AS ("""
+    + " UNION ALL ".join(
+        [_tour_sql(0, 1, 39, "wc >= 1", "1"), _tour_sql(0, 2, 40, "wc >= 2", "2"), _tour_sql(1, 1, 31, "sc >= 1", "wc + 1"), _tour_sql(1, 2, 32, "sc >= 2", "wc + 2")]
+    )
+    + ")"
+)
+_CELLS = _TDD[: _TDD.index("win AS")].rstrip().rstrip(",")
+
+
+@query(
+    f"""WITH {_CELLS}, {_TOURS}, {_batch_sql(1, "", "")},
+    win AS (SELECT person_id, p, st AS w FROM chosen1 JOIN tours ON tours.tour_id = chosen1.id JOIN state ON state.tdd = choice),
+    bad AS (SELECT DISTINCT person_id AS pid, tdd FROM win JOIN state USING (p) WHERE (st = 2 AND w IN (2, 7)) OR (st = 4 AND w IN (4, 7)) OR (st = 7) OR (st = 6 AND w = 7)),
+    {_batch_sql(2, " + CASE WHEN a.w IN (4, 6) THEN 0.5::DOUBLE ELSE 0 END", "LEFT JOIN bad ON bad.pid = tours.person_id AND bad.tdd = tdd.tdd LEFT JOIN win a ON a.person_id = tours.person_id AND a.p = s")}
+    SELECT id AS tour_id, choice AS tdd, logsum FROM chosen1 UNION ALL SELECT id, choice, logsum FROM chosen2"""
+)
+def tour_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    """Tours of all persons scheduled in two batches, the second around the first."""
+    held = persons_with_tours(spark, folder).select("person_id", "tour_id", "tour_num", draw(F.col("tour_id"), 13).alias("z"))
+
+    def utility(rows: DataFrame) -> DataFrame:
+        base = F.abs(F.col("start") - 8) * -0.1 - F.abs(F.col("end") - 17) * 0.05 + F.col("duration") * 0.02
+        return rows.withColumn("utility", base + F.when(F.col("previous_ends"), 0.5).otherwise(0.0))
+
+    done = scheduling.schedule_batches(held, timetable.hourly(), utility, [1, 2], lambda df, name: df.persist())
+    return done.select("tour_id", "tdd", rounded(F.col("logsum")).alias("logsum"))
 
 
 PERIODS = 19
