@@ -129,7 +129,10 @@ def scan(
 
 
 def joined_back(versions: DataFrame, findings: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with its blob and ``spans`` (kind, start, end), by start, then in the order of ``rules``."""
+    """``versions`` with secret_blob and secret_spans (kind, start, end), by start, then in the order of ``rules``.
+
+    All rows and columns stay; rows without a finding, null texts among them, have an empty array.
+    """
     rank = F.array(*[F.lit(r.kind) for r in rules])
     current = F.broadcast(
         versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
@@ -140,14 +143,15 @@ def joined_back(versions: DataFrame, findings: DataFrame, text_col: str = "text"
             F.collect_list(F.struct("start", F.array_position(rank, F.col("kind")).alias("rank"), "end", "kind"))
         ).alias("spans")
     )
-    # a written table rather than an aggregate, so that the join may split a hot blob's paths
-    by_blob = written(by_blob, "spans")
-    held = versions.withColumn("_blob", content_address(versions[text_col]))
-    kept = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    joined = held.join(by_blob, held["_blob"] == by_blob["blob"], "left")
+    # a written table rather than an aggregate, so that the join may split a hot blob's paths;
+    # names that no table of versions has
+    by_blob = written(by_blob.toDF("_found_blob", "_found_spans"), "spans")
+    held = versions.withColumn("_own_blob", content_address(versions[text_col]))
+    kept = F.transform("_found_spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    joined = held.join(by_blob, F.col("_own_blob") == F.col("_found_blob"), "left")
     return joined.select(
-        *[held[c] for c in versions.columns],
-        held["_blob"].alias("secret_blob"),
+        *versions.columns,
+        F.col("_own_blob").alias("secret_blob"),
         F.coalesce(kept, F.array().cast(FINDING)).alias("secret_spans"),
     )
 
