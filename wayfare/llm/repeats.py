@@ -280,11 +280,12 @@ def remove_repeats(
     # counts are written before they are joined, so that joins may split hot samples and names
     samples = written(samples, "samples")
     found = written(stretches.join(samples, "h"), "found")
-    forget(stretches)
+    forget(stretches, samples)
     mixed = found.where("not one_name").withColumn("rid", rid)
     names = written(mixed.groupBy("h", "c").agg(F.sum("n").alias("copies"), F.min("rid").alias("first")), "names")
     mixed = mixed.join(names, ["h", "c"])
-    spans = [found.where("one_name").select("id", "fp", "lo", "hi"), mixed.where("copies > 1").select("id", "fp", "lo", "hi")]
+    place = ["id", "fp", "lo", "hi"]
+    covered = written(found.where("one_name").select(place).unionByName(mixed.where("copies > 1").select(place)), "covered")
     lone = F.col("copies") == 1
     wanted = (
         mixed.where(lone | (F.col("rid") == F.col("first")))
@@ -292,23 +293,21 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("h", "lo", "hi", "at", lone.alias("lone"))).alias("spans"))
     )
     open_ = long_enough.select("id", "fp", "text").join(wanted, ["id", "fp"]).mapInArrow(_slices(length), PART)
-    made = []
+    read = [found, names]
     for size in PARTS:
         parts = written(open_.mapInArrow(_parts(length, size), PART), "parts")
-        made.append(parts)
-        parts = parts.withColumn("rid", rid)
-        names = written(parts.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first")), "names")
-        spans.append(
-            parts.where("lone").join(names.where("copies > 1").select("h", "c"), ["h", "c"]).select("id", "fp", "lo", "hi")
+        forget(*read)
+        names = written(
+            parts.withColumn("rid", rid).groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("first")), "names"
         )
+        read = [parts, names]
+        repeated = parts.where("lone").join(names.where("copies > 1").select("h", "c"), ["h", "c"]).select(place)
+        covered = covered.unionByName(written(repeated, "covered"))
         several = names.groupBy("h").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("h")
-        rest = parts.join(names.join(several, "h"), ["h", "c"]).where(lone | (F.col("rid") == F.col("first")))
+        rest = parts.withColumn("rid", rid).join(names.join(several, "h"), ["h", "c"])
+        rest = rest.where(lone | (F.col("rid") == F.col("first")))
         open_ = rest.select(*[F.col(x.split()[0]) for x in PART.split(", ")[:-2]], (lone & F.col("lone")).alias("lone"), "data")
-    covered = spans[0]
-    for more in spans[1:]:
-        covered = covered.unionByName(more)
-    covered = written(covered, "covered")
-    forget(found, *made)
+    forget(*read)
     by_text = covered.groupBy("id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
     return keyed.join(by_text, ["id", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), schema)
