@@ -146,7 +146,7 @@ def test_mixing(spark):
 
 def test_schedule_keeps_weights_in_every_prefix(spark):
     targets = spark.createDataFrame([("a", 700, 1.0, 0, 500.0), ("b", 300, 1.0, 1, 300.0), ("c", 10, 1.0, 2, 200.0)], "source string, source_size long, weight double, place int, target double")
-    rows = sorted((r.slot, r.place, r["rank"]) for r in mixing.schedule(targets, 1, 5000).collect())
+    rows = sorted((r.slot, r.place, r["rank"]) for r in mixing.schedule(targets, 5000).collect())
     assert [s for s, _, _ in rows] == list(range(5000))
     seen = Counter()
     for slot, place, rank in rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import WORD
+from wayfare.llm.common import WORD, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -70,7 +70,7 @@ def running(df: DataFrame, key: list[str], order: list[str], value: Column, name
     return joined.withColumn(name, added).drop("_bucket", "_value", "_base")
 
 
-def schedule(targets: DataFrame, block: int, slots: int) -> DataFrame:
+def schedule(targets: DataFrame, slots: int) -> DataFrame:
     """The order in which sources give blocks: rows (slot, place, rank).
 
     Slot i has the golden-ratio point frac(i * phi); the cumulative target weights map
@@ -116,26 +116,18 @@ def mix(
     texts have no words and give none; null sources are a source; rows that repeat an id
     keep apart; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         docs[source_col].cast("string").alias("source"),
         word_count(docs[text_col]).alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), docs[id_col].cast("string"))).alias("shuffled"),
     )
-    return _mixed(rows, block, weights)
-
-
-def _mixed(rows: DataFrame, block: int, weights: tuple[int, ...]) -> DataFrame:
-    from wayfare.llm.common import written
-
     rows = written(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights), "targets")
     total = targets.agg(F.sum("source_size")).first()[0] or 0
-    # golden-ratio counts stray from their share by a few slots; the slack lets each source reach its target
-    slots = total // block + 1
-    drawn = schedule(targets, block, slots)
+    drawn = schedule(targets, total // block + 1)
+    # golden-ratio counts stray from their share by a few slots, and last blocks are short
     blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
     full = F.col("source_size")
     goal = F.floor(F.col("target")).cast("long")
@@ -155,10 +147,7 @@ def _mixed(rows: DataFrame, block: int, weights: tuple[int, ...]) -> DataFrame:
         "place", (F.col("rank") % F.col("blocks")).alias("block"), F.least(F.lit(block), F.col("goal") - start).alias("words")
     )
     # a block is taken whole some times, and perhaps in part once
-    uses = uses.withColumn("own", F.lit(block))
-    taken_blocks = uses.groupBy("place", "block").agg(
-        F.collect_list("words").alias("words")
-    )
+    taken_blocks = uses.groupBy("place", "block").agg(F.collect_list("words").alias("words"))
     placed = running(
         rows.where("size > 0"),
         ["source"],
