@@ -14,7 +14,10 @@ def segmented_sum(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def ordered_sum(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Sum of each group in a fixed order of rows, for results that do not depend on partitioning."""
+    """Sum of each group in a fixed order of rows, for results that do not depend on partitioning.
+
+    A group is gathered, so it must be small by nature, as a chooser's alternatives are; ``segmented_sum`` has no such bound.
+    """
     held = F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v"))))
     return rows.groupBy(group).agg(F.aggregate(held, F.lit(0.0), lambda a, x: a + x["v"]).alias(value))
 

@@ -370,8 +370,17 @@ def bins_and_codes(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT c_nationkey AS zone, c_mktsegment AS segment, round(sum(c_acctbal), 2) AS total, min(c_custkey) AS first FROM customer GROUP BY 1, 2"""
 )
 def segmented_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums of sorted groups in a fixed order of rows, and each group's first row."""
+    """Sums by segment and each segment's first row, both by partial aggregation."""
     rows = table(spark, folder, "customer").withColumn("group", F.struct(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("segment")))
-    totals = aggregates.ordered_sum(rows, "group", "c_custkey", "c_acctbal")
-    firsts = aggregates.first_of_run(rows, "group", "c_custkey").where("is_start").select("group", F.col("c_custkey").alias("first"))
+    totals = aggregates.segmented_sum(rows, "group", "c_acctbal")
+    firsts = rows.groupBy("group").agg(F.min("c_custkey").alias("first"))
     return totals.join(firsts, "group").select("group.zone", "group.segment", F.round("c_acctbal", 2).alias("total"), "first")
+
+
+@query(
+    """SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total FROM lineitem GROUP BY 1"""
+)
+def ordered_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's few lines summed in a fixed order, so that partitioning changes no bit."""
+    rows = lines(spark, folder).select("l_orderkey", "alt_pos", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total"))
+    return aggregates.ordered_sum(rows, "l_orderkey", "alt_pos", "total").withColumn("total", F.round("total", 4))
