@@ -53,10 +53,12 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches of texts that JVM and Python hold at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bounds the Arrow batches of texts that JVM and Python hold at once, in rows and in bytes."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if int(spark.conf.get(key).rstrip("b")) > most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
