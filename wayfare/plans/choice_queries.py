@@ -328,7 +328,7 @@ def directional_logsums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT c_custkey AS id, xor(c_custkey::UBIGINT, xor(((7::UHUGEINT * 15182082459073228435::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, ((3::UHUGEINT * 14581218577427927383::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)) AS key FROM customer),
+    """WITH k AS (SELECT c_custkey AS id, xor(c_custkey::UBIGINT, xor(((7::UHUGEINT * 15183679468541472403::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, ((3::UHUGEINT * 14581110107779764567::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)) AS key FROM customer),
     a AS (SELECT id, ((key::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM k),
     b AS (SELECT id, ((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM a),
     c AS (SELECT id, ((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM b)
