@@ -246,7 +246,8 @@ def near_duplicates(
         leaves["node"], "least", F.coalesce("component", leaves["node"]).alias("class")
     )
     members = written(members, "classes")
-    ids = members.groupBy("class").agg(F.min("least").alias("component_id"))
+    # a written table rather than an aggregate, so that the joins may split a hot class
+    ids = written(members.groupBy("class").agg(F.min("least").alias("component_id")), "ids")
     members = written(members.join(ids, "class").select("node", "class", "component_id"), "members")
     return found.join(members, "node").select("doc_id", "text_key", F.col("fps")[0].alias("fp"), "class", "component_id")
 
