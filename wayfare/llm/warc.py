@@ -19,6 +19,8 @@ from wayfare.llm.common import small_batches, written
 #: Bytes of records in a frame, and of frames in a bundle (whole records: one record may exceed both).
 FRAME = 256 << 10
 BUNDLE = 16 << 20
+#: Tasks that read archives at most.
+READERS = 10_000
 #: Fixed values of the seekable format: skippable-frame and seek-table magics.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2000-01-01T00:00:00Z"
@@ -202,8 +204,13 @@ def _reader(folder: str):
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """All records of the bundles that ``index`` names; a frame is in memory at a time."""
-    return index.select("bundle").distinct().mapInArrow(_reader(folder), RECORD)
+    """All records of the bundles that ``index`` names; a frame is in memory at a time.
+
+    A bundle's name is a short row that stands for megabytes, so names are dealt out by number, a few to a task.
+    """
+    bundles = index.select("bundle").distinct()
+    tasks = min(max(1, bundles.count()), READERS)
+    return bundles.repartition(tasks).mapInArrow(_reader(folder), RECORD)
 
 
 def fetch(index: DataFrame, folder: str, page_ids: DataFrame) -> DataFrame:
