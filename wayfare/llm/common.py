@@ -13,18 +13,24 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of sessions on one machine that set none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and every executor see: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine) a temporary folder is set.
+    Where the session has none (tests on one machine) it is a temporary folder.
     """
+    name = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+        if name not in _OWN:
+            _OWN[name] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        folder = _OWN[name]
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
