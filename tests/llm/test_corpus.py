@@ -107,6 +107,28 @@ def test_representatives_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 9] and kept.columns == docs.columns
 
 
+def shingles_by_hand(text, width=5):
+    held = (text or "").lower().split()
+    width = min(width, len(held))
+    return frozenset(tuple(held[i : i + width]) for i in range(len(held) - width + 1)) if held else frozenset()
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = [None, "", " ", "one two three", "One  two three", "one two four", "a b c d e f", "g h i j k l"]
+    for size in (12, 60, 60, 150, 150, 150, 400):
+        base = words(rng, size).split()
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05) * 3:
+            texts.append(" ".join(words(rng, 1) if rng.random() < share else w for w in base))
+    sets = [shingles_by_hand(t) for t in texts]
+    like = [len(a & b) / max(1, len(a | b)) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= x < 0.9 for x in like) > 50 and sum(0.6 <= x < 0.8 for x in like) > 50
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    wanted = set(linked(pairs, range(len(texts))).values())
+    assert {r.doc_id for r in simhash.representatives(docs_of(spark, texts)).collect()} == wanted
+
+
 def targets_by_hand(sizes, weights):
     fixed, total = {}, sum(sizes.values())
     while True:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import components, small_batches, written
+from wayfare.llm.common import components, forget, small_batches, written
 
 SEED = 42
 #: Rows of whole groups that a task joins at once.
@@ -18,8 +18,10 @@ GROUPED = 1 << 16
 #: Node pairs that are split at once.
 FRONTIER = 1 << 17
 EDGE = "a long, b long"
-#: Fingerprints by which copies are taken out of a corpus; measured shares found are in the README.
-PRINTS = 16
+#: Near copies that a corpus loses share this part of their shingles, as a fraction (Jaccard).
+SIMILAR = (4, 5)
+#: Bands of least hashes, and hashes in each: of pairs at 0.8 all but 1 in 13,000 share a band.
+BANDS, ROWS = 24, 5
 #: Bits below the turn in a trie's number.
 TURN = 20
 
@@ -29,17 +31,9 @@ def fingerprints(text: str, width: int = 4, count: int = 1) -> list[int]:
 
     The first is of XXH64 of the shingles, further ones of products of that with odd numbers.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingles(text, width)
+    if not len(hashes):
         return [0] * count
-    joined = memoryview(b" ".join(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
-    width = min(width, len(words))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
     ones = np.zeros(64 * count, np.int64)
     step = max(1, (1 << 14) // count)
     for at in range(0, len(hashes), step):
@@ -50,6 +44,21 @@ def fingerprints(text: str, width: int = 4, count: int = 1) -> list[int]:
     return [int.from_bytes(packed[i : i + 8], "little") for i in range(0, 8 * count, 8)]
 
 
+def shingles(text: str, width: int) -> np.ndarray:
+    """XXH64 of the ``width``-word shingles of ``text``; a shorter text is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes) - 1
+    starts = ends - sizes + 1
+    width = min(width, len(words))
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
+
+
 def turned_hashes(hashes: np.ndarray, count: int) -> np.ndarray:
     """``count`` hashes of each hash, itself first, as a matrix."""
     odd = np.random.default_rng(5).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,16 +261,98 @@ def near_duplicates(
     return found.join(members, "node").select("doc_id", "text_key", F.col("fps")[0].alias("fp"), "class", "component_id")
 
 
-def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, budget: int = 4, prints: int = PRINTS
-) -> DataFrame:
-    """``docs`` with one row left of each class: that of the least id (null ids last), all columns kept.
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key for each band of the least values of the hashes under odd multipliers."""
+    odd = np.random.default_rng(9).integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.uint32(0xFFFFFFFF))
+    for at in range(0, len(high), 1 << 11):
+        least = np.minimum(least, (high[at : at + (1 << 11)] * odd).min(axis=1))
+    digest = xxhash.xxh3_64_intdigest
+    held = [digest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(held, np.uint64).view(np.int64).tolist()
 
-    Rows that repeat an id and a text are one document.
+
+def _banded(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x or "", width)) for x in batch["text"].to_pylist()]
+            nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            columns = [batch["doc_id"], batch["text_key"], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "keys"])
+
+    return run
+
+
+def _shingle_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(x or "", width)).view(np.int64) for x in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "held"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are as similar as ``SIMILAR``, compared element by element."""
+    over, under = SIMILAR
+    x = sets.select(F.col("node").alias("a"), F.col("held").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("held").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    union = F.size("x") + F.size("y") - both
+    return pairs.join(x, "a").join(y, "b").where(both * under >= union * over).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """Classes of texts that chain by pairs of ``SIMILAR`` shingle sets: a row (class, one) for each set.
+
+    ``one`` is the first of the set's rows: null ids last, then by id and text_key.  Candidates share one
+    of ``BANDS`` keys of least hashes.  All in a band are compared with its first and last set, and then with
+    each other where these links leave them apart, so that every candidate pair is compared
+    or linked already.  A pair links only if its exact Jaccard similarity is ``SIMILAR`` or more.
+    Texts without words are one set, which is like no other.
     """
-    found = near_duplicates(docs, id_col, text_col, width, budget, prints)
+    small_batches(docs.sparkSession)
+    over, under = SIMILAR
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    found = rows.mapInArrow(_banded(width), "doc_id long, text_key long, node long, n int, keys array<long>")
+    found = written(found, "bands")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    kept = found.groupBy("class").agg(F.min(order).alias("one")).select(
+    leaves = written(found.groupBy("node", "n", "keys").agg(F.min(order).alias("one")), "sets-of")
+    spread = leaves.select("node", "n", F.explode("keys").alias("key"))
+    ends = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
+    ends = written(ends.where("low.node <> high.node"), "ends")
+    shared = written(spread.join(ends, "key"), "shared")
+    lengths = F.least("n", "m") * under >= F.greatest("n", "m") * over
+    stars = shared.select("node", "n", F.inline(F.array("low", "high")).alias("other", "m")).where("node <> other").where(lengths)
+    stars = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "stars")
+    named = shared.select("node").distinct().join(leaves, "node").select("node", "one.doc_id", "one.text_key").alias("l")
+    same = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.text_key") == F.col("l.text_key"))
+    texts = rows.alias("r").join(named, same).select("node", "text")
+    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles")
+    classes = components(written(_alike(stars, sets), "alike"))
+    labelled = shared.select("key", "node", "n").join(classes, "node", "left")
+    labelled = written(labelled.select("key", "node", "n", F.coalesce("component", "node").alias("label")), "labelled")
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    apart = written(labelled.join(apart, "key"), "apart")
+    other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    pairs = apart.withColumnRenamed("node", "a").join(other, "key").where("a < b AND label <> label_b").where(lengths)
+    pairs = written(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = written(_alike(pairs, sets), "alike")
+    forget(sets)
+    classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    held = leaves.select("node", "one").join(classes, "node", "left")
+    return held.select(F.coalesce("component", "node").alias("class"), "one")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with one row left of each class of ``near_copies``: that of the least id (null ids last), all columns kept.
+
+    Rows that repeat an id and a text are one document.
+    """
+    kept = near_copies(docs, id_col, text_col, width).groupBy("class").agg(F.min("one").alias("one")).select(
         F.col("one.doc_id").alias("_kept_id"), F.col("one.text_key").alias("_kept_key")
     )
     held = docs.withColumn("_kept_id", docs[id_col].cast("long"))
