@@ -409,6 +409,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_items_of_few_literal_words_are_found(spark):
+    names = "Then Anna Berg Carl Dorn 1 2 Emil Falk 3 4 Gerd Hahn 5 6 Ida Jung 7 8 Karl Lenz 9 10 won"
+    rich = "so they all went home again very late"
+    items = ["Compute 12 + 35.", "Solve 3x + 5 = 20", names, f"{rich} 1 Anna 2 Bert 3 Carl 4 Dora 5 Emil 6 Fritz 7 Gerd 8 Hans 9 Ida 10 Jens 11"]
+    texts = [f"x {items[0]} y", f"x {items[1]} y", f"x {items[2]} y", f"x {items[3]} y", f"x {rich} 40 y", "compute 12 and 36", "1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts.append(f"x {rich} 21 Otto 22 Paul 23 Rosa 24 Sven 25 Tina 26 Udo 27 Vera 28 Wim 29 Xaver 30 Yves 31 y")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False, (7, 3): True}
+
+
 def nearest_by_hand(x, ids, k=20):
     out = {}
     for i, q in zip(ids, x, strict=True):

@@ -32,7 +32,9 @@ BROADCAST = 1 << 20
 LITERAL, NUMBER, NAME, UNIT, STOP = range(5)
 HIGH = 1 << 63
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-MATCH = "doc_id long, key long, at int, start int, end int, hash long, slots array<long>"
+#: Windows: of template tokens with enough literal words, with fewer, and of the tokens as they are but for case.
+RICH, POOR, PLAIN = range(3)
+MATCH = "doc_id long, key long, kind int, size int, at int, start int, end int, hash long, slots array<long>"
 
 
 class Vocabulary(dict):
@@ -88,14 +90,20 @@ class Vocabulary(dict):
 _KNOWN = Vocabulary()
 
 
-def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of texts laid end to end: (hash, placeholder type or 0, hash of the surface, place among the
-    text's raw tokens, text).
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def canonical(texts: list[str]) -> tuple[Tokens, Tokens]:
+    """Template tokens and plain tokens of texts laid end to end: (hash, placeholder type or 0, hash of the surface,
+    place among the text's raw tokens, text).
 
     Numbers, units and names become typed placeholders; other words their lower case.  A name is a run of
-    capitalised words of which none begins the text or a sentence.
+    capitalised words of which none begins the text or a sentence.  Plain tokens are all words and numbers in lower case.
     """
     kinds, surfaces, bounds = _KNOWN.tokens(texts)
+    own = np.flatnonzero(kinds != STOP)
+    plain = surfaces[own], np.zeros(len(own), np.int64), surfaces[own], own, np.searchsorted(bounds, own, "right") - 1
+    plain = *plain[:3], own - bounds[plain[4]], plain[4]
     begins = np.zeros(len(kinds) + 1, bool)
     begins[bounds] = True
     starts = begins[:-1].copy()
@@ -113,7 +121,7 @@ def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     surfaces = surfaces[kinds[np.flatnonzero(~goes_on)] != STOP] if len(head) else surfaces[:0]
     kinds = kinds[head]
     text = np.searchsorted(bounds, head, "right") - 1
-    return np.where(kinds > 0, kinds.astype(np.uint64), surfaces), kinds, surfaces, head - bounds[text], text
+    return (np.where(kinds > 0, kinds.astype(np.uint64), surfaces), kinds, surfaces, head - bounds[text], text), plain
 
 
 def windows(tokens: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +138,11 @@ def windows(tokens: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarra
     return total * _BASE, literal >= min(LITERALS, size)
 
 
-def _windows_of(sizes: list[int], wanted):
-    """Windows of each text whose hashes are among ``wanted`` (all if None)."""
+def _windows_of(sizes: tuple[list[int], list[int]], wanted):
+    """Template and plain windows of ``sizes`` in each text whose hashes are among ``wanted`` (all if None).
+
+    Poor windows are left out of texts that have no other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = None if wanted is None else wanted.value
@@ -139,25 +150,33 @@ def _windows_of(sizes: list[int], wanted):
             out: list[tuple] = []
             docs, keys, texts = (batch[x].to_pylist() for x in ("doc_id", "key", "text"))
             texts = [x or "" for x in texts]
-            tokens, kinds, surfaces, place, text = canonical(texts)
-            first = np.searchsorted(text, np.arange(len(texts)))
-            slots = np.where(kinds > 0, surfaces, 0).astype(np.uint64).view(np.int64)
             spans: dict[int, list[tuple[int, int]]] = {}
-            for size in sizes:
-                hashes, enough = windows(tokens, kinds, size)
-                enough &= text[: len(hashes)] == text[size - 1 :][: len(hashes)]
-                if among is not None and len(hashes):
-                    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
-                    enough &= among[at] == hashes
-                for i in np.flatnonzero(enough).tolist():
-                    d = int(text[i])
-                    if d not in spans:
-                        spans = {d: [m.span() for m in TOKEN.finditer(texts[d])]}
-                    start, end = spans[d][place[i]][0], spans[d][place[i + size - 1]][1]
-                    out.append((docs[d], keys[d], i - int(first[d]), start, end, hashes[i].astype(np.int64).item(), slots[i : i + size]))
+            for plain, (tokens, kinds, surfaces, place, text) in enumerate(canonical(texts)):
+                first = np.searchsorted(text, np.arange(len(texts)))
+                slots = np.where(kinds > 0, surfaces, 0).astype(np.uint64).view(np.int64)
+                for size in sizes[plain]:
+                    hashes, enough = windows(tokens, kinds, size)
+                    if plain:
+                        # never the hash of template tokens
+                        hashes = ~hashes
+                    held = text[: len(hashes)] == text[size - 1 :][: len(hashes)]
+                    if among is not None and len(hashes):
+                        at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+                        held &= among[at] == hashes
+                        rich = np.zeros(len(texts), bool)
+                        rich[text[: len(hashes)][held & enough]] = True
+                        held &= rich[text[: len(hashes)]]
+                    for i in np.flatnonzero(held).tolist():
+                        d = int(text[i])
+                        if d not in spans:
+                            spans = {d: [m.span() for m in TOKEN.finditer(texts[d])]}
+                        start, end = spans[d][place[i]][0], spans[d][place[i + size - 1]][1]
+                        kind = PLAIN if plain else RICH if enough[i] else POOR
+                        mark = slots[i : i + size] if not plain else []
+                        out.append((docs[d], keys[d], kind, size, i - int(first[d]), start, end, hashes[i].astype(np.int64).item(), mark))
             if out:
                 columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in MATCH.split(", ")]
                 )
@@ -168,8 +187,8 @@ def _windows_of(sizes: list[int], wanted):
 def _item_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x or "" for x in batch["text"].to_pylist()]
-        sizes = np.bincount(canonical(texts)[4], minlength=len(texts))
-        yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sizes.astype(np.int32))], names=["key", "n"])
+        sizes = [pa.array(np.bincount(x[4], minlength=len(texts)).astype(np.int32)) for x in canonical(texts)]
+        yield pa.RecordBatch.from_arrays([batch["key"], *sizes], names=["k", "n", "m"])
 
 
 def contaminated(
@@ -184,10 +203,13 @@ def contaminated(
     """Documents that hold benchmark items, as they are or with other numbers, names and units.
 
     Returns a row for each pair: doc_id, doc_key (a hash of id and text), item_id, matched and
-    item_windows (windows of ``window`` template tokens), coverage, start, end (code points
-    from the first match to the last), reparameterised (some slot values differ).  A run of
+    item_windows (windows of ``window`` tokens), coverage, start, end (code points
+    from the first match to the last), reparameterised (some slot values differ).  Windows of plain tokens
+    (words and numbers in lower case) match whatever they hold; windows of template tokens are counted apart and
+    the better coverage stands.  A run of template
     windows at one distance between document and item counts only if each slot
-    value of the item has one value in the document throughout.  Pairs
+    value of the item has one value in the document throughout, and if one of them holds
+    ``LITERALS`` literal words.  Pairs
     below ``coverage`` are left out.  Items with fewer tokens than a window are one window; null and
     empty texts have none and match nothing; items that repeat match each; an empty table
     on either side gives an empty result.
@@ -205,16 +227,19 @@ def contaminated(
         key(benchmark[item_col].cast("long"), benchmark[text_col].cast("string")).alias("key"),
         benchmark[text_col].cast("string").alias("text"),
     ).dropDuplicates(["doc_id", "key"])
-    counted = items.select("key", "text").mapInArrow(_item_sizes, "key long, n int")
-    short = [r[0] for r in counted.where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect()]
-    sizes = sorted({window, *short})
+    counted = written(items.select("key", "text").mapInArrow(_item_sizes, "k long, n int, m int"), "sizes")
+    sizes = tuple(
+        sorted({window, *(r[0] for r in counted.where((F.col(c) > 0) & (F.col(c) < window)).select(c).distinct().collect())})
+        for c in ("n", "m")
+    )
     own = items.mapInArrow(_windows_of(sizes, None), MATCH)
     # a short item is its one window; of a longer one only the full windows count
-    own = own.join(counted.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).where(
-        (F.size("slots") == F.least(F.lit(window), F.col("n")))
-    )
+    whole = F.least(F.lit(window), F.when(F.col("kind") == PLAIN, F.col("m")).otherwise(F.col("n")))
+    own = own.join(counted, F.col("key") == F.col("k")).where(F.col("size") == whole)
     own = written(
-        own.select(F.col("doc_id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")),
+        own.select(
+            F.col("doc_id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "kind", "size", "hash", F.col("slots").alias("item_slots")
+        ),
         "items",
     )
     distinct = own.select("hash").distinct()
@@ -224,34 +249,53 @@ def contaminated(
         values = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
         wanted = spark.sparkContext.broadcast(values if len(values) else np.zeros(1, np.uint64))
     found = rows.mapInArrow(_windows_of(sizes, wanted), MATCH)
-    pairs = found.join(own, "hash").where(F.size("slots") == F.size("item_slots"))
+    if wanted is not None:
+        # few are left, which two joins read
+        found = written(found, "windows")
+    shift = F.col("at") - F.col("item_at")
+    sure = found.where(F.col("kind") != POOR).join(own.where(F.col("kind") != POOR), ["hash", "size", "kind"]).withColumn("shift", shift)
+    run = ["doc_id", "key", "item_id", "item_key", "kind", "shift"]
+    # poor windows count where a rich one matches at the same distance
+    begun = sure.where(F.col("kind") == RICH).select(*run).distinct().drop("kind", "doc_id")
+    poor = found.where(F.col("kind") == POOR).join(begun, "key").withColumn("item_at", F.col("at") - F.col("shift"))
+    poor = poor.join(own.where(F.col("kind") == POOR).drop("kind", "item_id"), ["item_key", "item_at", "hash", "size"])
+    columns = [*run, "poor", "item_at", "start", "end", "slots", "item_slots"]
+    pairs = sure.withColumn("poor", F.lit(False)).select(*columns).union(poor.withColumn("poor", F.lit(True)).withColumn("kind", F.lit(RICH)).select(*columns))
     bound = F.filter(
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != 0
     )
-    pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("bound", bound)
-    run = ["doc_id", "key", "item_id", "item_key", "shift"]
-    runs = pairs.groupBy(*run).agg(
-        F.collect_set("item_at").alias("places"),
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"),
-    )
-    runs = runs.where(F.size("bound") == F.size(F.array_distinct(F.transform("bound", lambda x: x["a"]))))
-    whole = own.groupBy("item_key").agg(F.count_distinct("item_at").alias("item_windows"))
-    best = runs.groupBy("doc_id", "key", "item_id", "item_key").agg(
+    pairs = pairs.withColumn("bound", bound)
+
+    def joined(counts):
+        held = {x: F.when(counts, F.col(x)) for x in ("item_at", "start", "end", "bound")}
+        return F.struct(
+            F.collect_set(held["item_at"]).alias("places"),
+            F.min(held["start"]).alias("start"),
+            F.max(held["end"]).alias("end"),
+            F.array_distinct(F.flatten(F.collect_set(held["bound"]))).alias("bound"),
+        )
+
+    def agrees(x):
+        return F.size(f"{x}.bound") == F.size(F.array_distinct(F.transform(f"{x}.bound", lambda y: y["a"])))
+
+    runs = pairs.groupBy(*run).agg(joined(F.lit(True)).alias("all"), joined(~F.col("poor")).alias("rich"))
+    # where a poor window's values disagree the rich ones stand alone
+    runs = runs.withColumn("run", F.when(agrees("all"), F.col("all")).when(agrees("rich"), F.col("rich"))).where("run IS NOT NULL")
+    runs = runs.select(*run, "run.*")
+    kind = F.when(F.col("kind") == POOR, RICH).otherwise(F.col("kind")).alias("kind")
+    totals = own.groupBy("item_key", kind).agg(F.count_distinct("item_at").alias("item_windows"))
+    best = runs.groupBy("doc_id", "key", "item_id", "item_key", "kind").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"),
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.max(F.exists("bound", lambda x: x["a"] != x["b"])).alias("reparameterised"),
     )
-    share = F.col("matched") / F.col("item_windows")
-    return (
-        best.join(whole, "item_key")
-        .where(share >= coverage)
-        .select(
-            "doc_id", F.col("key").alias("doc_key"), "item_id", "matched", "item_windows", share.alias("coverage"), "start", "end", "reparameterised"
-        )
-    )
+    best = best.join(totals, ["item_key", "kind"])
+    # at one coverage the plain match, which differs in no value
+    held = F.struct((F.col("matched") / F.col("item_windows")).alias("coverage"), "kind", "matched", "item_windows", "start", "end", "reparameterised")
+    best = best.groupBy("doc_id", F.col("key").alias("doc_key"), "item_id", "item_key").agg(F.max(held).alias("best"))
+    best = best.where(F.col("best.coverage") >= coverage)
+    return best.select("doc_id", "doc_key", "item_id", *(f"best.{x}" for x in ("matched", "item_windows", "coverage", "start", "end", "reparameterised")))
 
 
 def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
