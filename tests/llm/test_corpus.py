@@ -420,6 +420,18 @@ def test_items_of_few_literal_words_are_found(spark):
     assert got == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False, (7, 3): True}
 
 
+def test_copies_in_other_case_or_punctuation_are_found(spark):
+    items = [
+        "Anna buys 12 apples. Then Bert gives Carl 4 pears. Later Dora sells 5 plums. Now Emil eats 6 figs. How many fruits?",
+        "Der große Anton misst 3 Straßen. Die süße Berta misst 4 Straßen. Wer mißt weiter?",
+    ]
+    ways = [str.lower, str.upper, lambda x: re.sub(r"[.?]", "", x), lambda x: x.replace(" ", "\n"), str.title]
+    texts = [f"x {way(x)} y" for x in items for way in ways]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(i, i // len(ways)): 1.0 for i in range(len(texts))}
+
+
 def nearest_by_hand(x, ids, k=20):
     out = {}
     for i, q in zip(ids, x, strict=True):

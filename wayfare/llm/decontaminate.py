@@ -56,7 +56,7 @@ class Vocabulary(dict):
 
     def __missing__(self, word: str) -> int:
         for token in (word,) if word.isalpha() else TOKEN.findall(word):
-            low = token.lower()
+            low = token.casefold()
             if token.isalpha():
                 kind = UNIT if low in UNITS else NAME if len(token) > 1 and token.istitle() else LITERAL
             elif token[0].isdigit():
@@ -98,7 +98,7 @@ def canonical(texts: list[str]) -> tuple[Tokens, Tokens]:
     place among the text's raw tokens, text).
 
     Numbers, units and names become typed placeholders; other words their lower case.  A name is a run of
-    capitalised words of which none begins the text or a sentence.  Plain tokens are all words and numbers in lower case.
+    capitalised words of which none begins the text or a sentence.  Plain tokens are all words and numbers, case folded.
     """
     kinds, surfaces, bounds = _KNOWN.tokens(texts)
     own = np.flatnonzero(kinds != STOP)
@@ -205,7 +205,7 @@ def contaminated(
     Returns a row for each pair: doc_id, doc_key (a hash of id and text), item_id, matched and
     item_windows (windows of ``window`` tokens), coverage, start, end (code points
     from the first match to the last), reparameterised (some slot values differ).  Windows of plain tokens
-    (words and numbers in lower case) match whatever they hold; windows of template tokens are counted apart and
+    (words and numbers, case folded) match whatever they hold; windows of template tokens are counted apart and
     the better coverage stands.  A run of template
     windows at one distance between document and item counts only if each slot
     value of the item has one value in the document throughout, and if one of them holds
