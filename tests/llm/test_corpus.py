@@ -318,6 +318,15 @@ def test_licenses(spark):
     assert licenses.find_licenses(docs_of(spark, [])).count() == 0
 
 
+def test_every_license_of_a_long_block_is_found():
+    short = [(name, x[0]) for name, x in licenses.TEMPLATES.items()]
+    text = "\n".join(x for _, x in short)
+    assert [(x[2], text[x[0] : x[1]], x[10]) for x in licenses.licenses_in(text)] == [(name, x.rstrip("."), True) for name, x in short]
+    whole = [(name, x[1]) for name, x in licenses.TEMPLATES.items() if len(x) > 1] + [short[1], short[-1]]
+    got = licenses.licenses_in("\n".join(x for _, x in whole))
+    assert [x[2] for x in got] == [name for name, _ in whole] and all(x[10] for x in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     bad = ["idiot", "scum", "moron", "trash", "loser"]
