@@ -327,6 +327,12 @@ def test_every_license_of_a_long_block_is_found():
     assert [x[2] for x in got] == [name for name, _ in whole] and all(x[10] for x in got)
 
 
+def test_scattered_words_do_not_hide_a_license():
+    text = "This tool does some work on files. It reads them and writes them. See below. The code is licensed under the GNU General Public License, version 3."
+    got = licenses.licenses_in(text)
+    assert [(x[2], text[x[0] : x[1]]) for x in got] == [("GPL-3.0", "is licensed under the GNU General Public License, version 3")]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     bad = ["idiot", "scum", "moron", "trash", "loser"]
