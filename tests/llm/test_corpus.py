@@ -333,6 +333,16 @@ def test_scattered_words_do_not_hide_a_license():
     assert [(x[2], text[x[0] : x[1]]) for x in got] == [("GPL-3.0", "is licensed under the GNU General Public License, version 3")]
 
 
+def test_licenses_in_paragraphs_are_found():
+    for name, cuts in (("MIT", ("subject to the following conditions:",)), ("GPL-3.0", ("any later version.",)), ("BSD-3-Clause", ("conditions are met:",))):
+        text = licenses.TEMPLATES[name][1]
+        for cut in cuts:
+            text = text.replace(f"{cut} ", f"{cut}\n\n")
+        lines = re.sub(r"(.{50}\S*) ", r"\1\n", text)
+        assert lines.count("\n\n") and lines.count("\n") > 3
+        assert [(x[2], x[3], x[10]) for x in licenses.licenses_in(f"words before\n\n{lines}\n\nwords after")] == [(name, 1, True)]
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     bad = ["idiot", "scum", "moron", "trash", "loser"]
