@@ -14,6 +14,12 @@ def chosen(spark, rows, **columns):
     return [(r.choice, r.logsum) for r in got]
 
 
+def test_long_draws_must_be_below_one(spark):
+    rows = spark.createDataFrame([(1, 0, 0.0, 1.5), (1, 1, 1.0, 1.5)], "id long, alt int, u double, z double")
+    with pytest.raises(Exception, match="draws must lie"):
+        choice.choose_long(rows, "id", "alt", "u", "z").collect()
+
+
 def test_golden_choices(spark):
     got = chosen(
         spark,

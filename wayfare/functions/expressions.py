@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Mapping
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,25 +20,17 @@ class UnsupportedExpression(ValueError):
     """The expression is outside the grammar."""
 
 
-@lru_cache(maxsize=1024)
-def parsed(text: str) -> ast.expr:
-    """The tree of an expression; ``@`` marks are dropped."""
-    try:
-        return ast.parse(text.replace("@", "").strip(), mode="eval").body
-    except SyntaxError as error:
-        raise UnsupportedExpression(text) from error
-
+#: Marks that specifications put before expressions of Python, outside quoted text.
+_MARK = re.compile(r"""('[^']*'|"[^"]*")|@""")
 
-def tree(text: str) -> dict:
-    """The expression as JSON, for documents and hashes."""
-    return _json(parsed(text))
 
-
-def _json(node: ast.AST):
-    if isinstance(node, ast.AST):
-        held = {k: _json(v) for k, v in ast.iter_fields(node) if k not in ("ctx", "kind", "type_comment")}
-        return {"node": type(node).__name__, **held}
-    return [_json(x) for x in node] if isinstance(node, list) else node
+def parsed(text: str) -> ast.expr:
+    """The tree of an expression, without marks; text that is no expression raises."""
+    plain = _MARK.sub(lambda m: m[1] or " ", text)
+    try:
+        return ast.parse(f"(\n{plain}\n)", "<specification>", "eval").body
+    except (SyntaxError, ValueError) as error:
+        raise UnsupportedExpression(f"no expression: {text}") from error
 
 
 def names(text: str) -> set[str]:

@@ -11,9 +11,10 @@ TINY = 1.17549435e-38
 
 
 def divide(a: Column, b: Column) -> Column:
-    """a / b in double precision: x/0 is an infinity, 0/0 and NaN/0 are NaN (zeros taken as positive)."""
+    """a / b in double precision: x/0 is an infinity whose sign is that of x and of the zero, 0/0 and NaN/0 are NaN."""
     a, b = a.cast("double"), b.cast("double")
-    at_zero = F.when(F.isnan(a) | (a == 0), NAN).when(a > 0, INF).otherwise(-INF)
+    negative = b.cast("string") == "-0.0"
+    at_zero = F.when(F.isnan(a) | (a == 0), NAN).when((a > 0) != negative, INF).otherwise(-INF)
     return F.when(b == 0, at_zero).otherwise(a / F.when(b == 0, F.lit(1.0)).otherwise(b))
 
 

@@ -50,7 +50,7 @@ def directional_state(legs: DataFrame, trip: str, direction: str, columns: list[
 def codes(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds dense codes of a column's values from 0, in order of value (E30, W8); distinct values are few."""
     values = rows.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return rows.join(F.broadcast(values), column)
+    return rows.join(values, column)
 
 
 def bin_labels(value: Column, edges: list[float], how: str = "mid") -> Column:
@@ -62,19 +62,30 @@ def bin_labels(value: Column, edges: list[float], how: str = "mid") -> Column:
     return out
 
 
-def partition_ranges(total: int, most: int) -> list[tuple[int, int]]:
-    """Half-open ranges of at most ``most`` that cover ``total``."""
-    if total < 0 or most <= 0:
-        raise ValueError("sizes must be positive")
-    return [(a, min(total, a + most)) for a in range(0, total, most)]
+def in_ranges(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds part: consecutive ranges of ``size`` values of an integer key, from 0.
+
+    Rows of a part then lie together after ``repartitionByRange("part")``, and no key is in two parts.
+    """
+    if size <= 0:
+        raise ValueError("a range must hold something")
+    return rows.withColumn("part", F.floor(F.col(key) / size))
 
 
 def pairwise_sum(values: Column) -> Column:
-    """Single-precision sum of an array as NumPy adds it, pairwise."""
+    """Single-precision sum of an array as NumPy adds it, pairwise.
+
+    Arrays of one length are summed together, as NumPy takes the same steps for each row of a table.
+    """
 
     @F.pandas_udf("float")
     def run(arrays: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x, np.float32).sum(dtype=np.float32) for x in arrays], dtype="float32")
+        sizes = arrays.map(len).to_numpy()
+        out = np.zeros(len(arrays), np.float32)
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            out[own] = np.stack([np.asarray(arrays.iloc[i], np.float32) for i in own]).sum(axis=1, dtype=np.float32)
+        return pd.Series(out)
 
     return run(values)
 

@@ -163,7 +163,7 @@ def long_utilities(rows: DataFrame, terms: list[str], coefficients: dict[str, fl
         return rows.withColumn("utility", utility)
     wide = coefficients.groupBy(segment).pivot("term", terms).agg(F.first("coefficient"))
     wide = wide.select(segment, *[F.coalesce(F.col(t), F.lit(0.0)).alias(f"_b_{t}") for t in terms])
-    joined = rows.join(F.broadcast(wide), segment)
+    joined = rows.join(wide, segment)
     utility = sum((F.col(t).cast("double") * F.col(f"_b_{t}") for t in terms), F.lit(0.0))
     return joined.withColumn("utility", utility).drop(*[f"_b_{t}" for t in terms])
 
@@ -179,11 +179,12 @@ def choose_long(rows: DataFrame, chooser: str, position: str, utility: str, draw
     held = rows.withColumn("_u", usable).withColumn("_top", F.max("_u").over(everything))
     held = held.withColumn("_w", F.coalesce(F.exp(F.col("_u") - F.col("_top")), F.lit(0.0)))
     held = held.withColumn("_upto", F.sum("_w").over(upto)).withColumn("_total", F.max("_upto").over(everything))
-    hit = F.col("_upto") >= F.col(draw) * F.col("_total")
+    bar = checked_draw(F.col(draw)) * F.col("_total")
+    hit = F.col("_upto") >= bar
     spare = F.max(position) if fallback == "last" else F.max_by(position, F.struct("_w", -F.col(position)))
     some = F.max("_total") > 0
     return held.groupBy(chooser).agg(
         F.when(some, F.coalesce(F.min(F.when(hit, F.col(position))), spare)).otherwise(-1).alias("choice"),
         F.when(some, F.max("_top") + F.log(F.max("_total"))).otherwise(NONE).alias("logsum"),
-        F.min(F.abs(F.col("_upto") - F.col(draw) * F.col("_total"))).alias("boundary_distance"),
+        F.min(F.abs(F.col("_upto") - bar)).alias("boundary_distance"),
     )

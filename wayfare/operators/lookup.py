@@ -11,25 +11,38 @@ def _fail(message: str, kind: str) -> Column:
 
 
 def first_by_key(source: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of each key in ``order``: duplicates are allowed and the earliest wins."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    return source.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key in ``order``: duplicates are allowed and the earliest wins.
+
+    Partial aggregates keep one row of a key before the shuffle, however often it occurs.
+    """
+    rest = [c for c in source.columns if c not in key]
+    found = source.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return found.select(*[F.col(c) if c in key else F.col("_first")[c].alias(c) for c in source.columns])
 
 
 def unique_by_key(source: DataFrame, key: list[str]) -> DataFrame:
     """``source``; a key that occurs twice raises when rows are read."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    held = source.withColumn("_size", size)
-    checked = F.when(F.col("_size") > 1, _fail("a key occurs twice", "int")).otherwise(F.col("_size"))
-    return held.withColumn("_size", checked).where("_size = 1").drop("_size")
-
-
-def gather(target: DataFrame, source: DataFrame, key: list[str], columns: list[str], default: dict | None = None) -> DataFrame:
+    rest = [c for c in source.columns if c not in key]
+    held = F.struct(*rest)
+    found = source.groupBy(*key).agg(F.any_value(held).alias("_only"), F.count(F.lit(1)).alias("_rows"))
+    kind = found.schema["_only"].dataType.simpleString()
+    only = F.when(F.col("_rows") > 1, _fail("a key occurs twice", kind)).otherwise(F.col("_only"))
+    checked = found.select(*key, only.alias("_only"))
+    return checked.select(*[F.col(c) if c in key else F.col("_only")[c].alias(c) for c in source.columns])
+
+
+def gather(
+    target: DataFrame, source: DataFrame, key: list[str], columns: list[str], default: dict | None = None, order: str | None = None
+) -> DataFrame:
     """Adds ``columns`` of ``source`` by ``key``; a missing key raises, or takes ``default``.
 
+    Never more or fewer rows than ``target`` has: with ``order`` the first of a key's rows in the source
+    counts (J1), without it a key that occurs twice there raises (J2).
     Spark broadcasts the source if it is small by its own threshold and shuffles on the key otherwise.
     """
-    held = source.select(*key, F.struct(*columns).alias("_found"))
+    slim = source.select(*dict.fromkeys([*key, *columns, *([order] if order else [])]))
+    held = first_by_key(slim, key, order) if order else unique_by_key(slim, key)
+    held = held.select(*key, F.struct(*columns).alias("_found"))
     joined = target.join(held, key, "left")
     if default is None:
         kind = held.schema["_found"].dataType.simpleString()

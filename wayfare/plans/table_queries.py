@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import ieee
 from wayfare.functions.expressions import Compiler
 from wayfare.operators import aggregates, chains, choice, inputs, lookup, scheduling, timetable, tours
-from wayfare.plans.choice_queries import CHOOSE, draw, draw_sql, lines, rounded, table
+from wayfare.plans.choice_queries import _LINES, CHOOSE, draw, draw_sql, lines, rounded, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,27 +254,61 @@ def departures(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("o_orderkey", hour.cast("int").alias("depart"))
 
 
-@query()
+#: Parts of SQL for chains: hours from 1, bounds ``lo`` and ``hi``, a draw ``z``; an hour beyond ``hi`` is a failure.
+_HOURS = f"""
+    w AS (SELECT *, list_transform(range({PERIODS}), lambda i: (1 + (trip + i * 3) % 5)::DOUBLE) AS ws FROM trips),
+    tr AS (SELECT * EXCLUDE ws, list_prepend(0.0::DOUBLE, list_transform(range(1, {PERIODS + 1}), lambda i: list_sum(ws[1:i]) / list_sum(ws) * 0.95)) AS s FROM w)"""
+#: ``s`` has a zero before the sums, so that ``s[h]`` is what comes before hour h.
+_HIT = "lo + len(list_filter(s[lo + 1:hi + 1], lambda x: x - s[lo] < z * (CASE WHEN norm THEN s[hi + 1] - s[lo] ELSE 1 END)))"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES}, trips AS (SELECT id AS tour, id * 64 + alt + 1 AS trip, alt + 1 AS n, {draw_sql("(id * 64 + alt + 1)", 12)} AS z FROM l), {_HOURS},
+    c AS (SELECT tour, 0::BIGINT AS n, 1::BIGINT AS bound FROM (SELECT DISTINCT tour FROM tr) UNION ALL
+        SELECT tour, n, CASE WHEN hit > hi THEN lo ELSE hit END FROM (SELECT *, {_HIT} AS hit FROM (SELECT c.tour, tr.n, bound AS lo, {PERIODS} AS hi, s, z, tr.n = 1 AS norm FROM c JOIN tr ON tr.tour = c.tour AND tr.n = c.n + 1)))
+    SELECT tour AS tour_id, trip AS trip_id, CAST(bound + 4 AS INTEGER) AS depart FROM c JOIN tr USING (tour, n)"""
+)
 def outbound_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Outbound trips of every order, each no earlier than the one before: a fold (T8); tested against NumPy."""
+    """Outbound trips of every order, each no earlier than the one before, with numbers that are checked."""
     rows = lines(spark, folder).select(F.col("l_orderkey").alias("tour_id"), (F.col("alt_pos") + 1).alias("trip_num"))
-    rows = rows.select("tour_id", "trip_num", (F.col("tour_id") * 64 + F.col("trip_num")).alias("trip_id"))
+    rows = chains.contiguous(rows.select("tour_id", "trip_num", (F.col("tour_id") * 64 + F.col("trip_num")).alias("trip_id")), ["tour_id"])
     rows = rows.select("*", F.lit(5).alias("low"), F.lit(23).alias("high"), hour_probs(F.col("trip_id")).alias("probs"), draw(F.col("trip_id"), 12).alias("draw"))
     return chains.forward_leg(rows, 5)
 
 
-@query()
+ATTEMPTS = 5
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES}, trips AS (SELECT id AS tour, id * 64 + alt + 1 AS trip, alt % 2 = 0 AS outbound, alt // 2 + 1 AS n FROM l), {_HOURS},
+    v AS (SELECT tour, outbound, unnest(range({ATTEMPTS})) AS a, max(n) AS size FROM tr GROUP BY tour, outbound),
+    o AS (SELECT tour, a, 0::BIGINT AS n, 4::BIGINT AS bound, -1::BIGINT AS hour, 0 AS failed FROM v WHERE outbound UNION ALL
+        SELECT tour, a, n, CASE WHEN hit > hi THEN lo ELSE hit END, CASE WHEN hit <= hi THEN hit WHEN a = {ATTEMPTS - 1} THEN lo ELSE -1 END, failed + (hit > hi)::INT
+        FROM (SELECT *, {_HIT} AS hit FROM (SELECT o.tour, a, tr.n, bound AS lo, 16 AS hi, s, {draw_sql("trip", 20).replace(f"{20 * 40503}", "(20 + a) * 40503")} AS z, tr.n = 1 AS norm, failed FROM o JOIN tr ON tr.tour = o.tour AND tr.n = o.n + 1 AND outbound))),
+    oa AS (SELECT tour, a, max(hour) AS top, max(failed) AS failed FROM o GROUP BY tour, a),
+    og AS (SELECT tour, coalesce(min(CASE WHEN failed = 0 THEN a END), {ATTEMPTS - 1}) AS done FROM oa GROUP BY tour),
+    i AS (SELECT v.tour, v.a, size + 1 AS n, 16::BIGINT AS bound, -1::BIGINT AS hour, 0 AS failed, CASE WHEN v.a <= og.done AND top >= 0 THEN top ELSE 4 END AS lo, size
+        FROM v JOIN og ON og.tour = v.tour JOIN oa ON oa.tour = v.tour AND oa.a = v.a WHERE NOT outbound UNION ALL
+        SELECT tour, a, n, CASE WHEN hit > hi THEN hi ELSE hit END, CASE WHEN hit <= hi THEN hit WHEN a = {ATTEMPTS - 1} THEN hi ELSE -1 END, failed + (hit > hi)::INT, lo, size
+        FROM (SELECT *, CASE WHEN lo > hi THEN hi + 1 ELSE {_HIT} END AS hit FROM (SELECT i.tour, a, tr.n, lo, bound AS hi, s, {draw_sql("trip", 20).replace(f"{20 * 40503}", "(20 + a) * 40503")} AS z, tr.n = size AS norm, failed, size FROM i JOIN tr ON tr.tour = i.tour AND tr.n = i.n - 1 AND NOT outbound))),
+    ia AS (SELECT tour, a, max(failed) AS failed FROM i GROUP BY tour, a),
+    ig AS (SELECT tour, coalesce(min(CASE WHEN failed = 0 THEN a END), {ATTEMPTS - 1}) AS done FROM ia GROUP BY tour),
+    f AS (SELECT tour, sum(failed)::INTEGER AS failures FROM (SELECT tour, failed FROM oa JOIN og USING (tour) WHERE a <= done UNION ALL SELECT tour, failed FROM ia JOIN ig USING (tour) WHERE a <= done) GROUP BY tour)
+    SELECT tour AS person_id, tour AS tour_id, trip AS trip_id, outbound, CAST(hour + 4 AS INTEGER) AS depart, CAST(done + 1 AS INTEGER) AS draws_used, failures
+    FROM (SELECT o.*, done, true AS outbound FROM o JOIN og ON og.tour = o.tour AND a = done UNION ALL SELECT i.* EXCLUDE (lo, size), done, false FROM i JOIN ig ON ig.tour = i.tour AND a = done) x
+    JOIN tr USING (tour, n, outbound) JOIN f USING (tour)"""
+)
 def retried_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Both legs of every tour with retries of failed legs (T8, T9, R3); tested against a plain loop."""
+    """Both legs of every tour with retries of failed legs."""
     rows = lines(spark, folder).select(F.col("l_orderkey").alias("tour_id"), (F.col("alt_pos") + 1).alias("n"))
     rows = rows.select("tour_id", (F.col("tour_id") * 64 + F.col("n")).alias("trip_id"), (F.col("n") % 2 == 1).alias("outbound"))
-    rows = chains.contiguous(rows, ["tour_id", "outbound"])
-    draws = F.array(*[draw(F.col("trip_id"), 20 + i) for i in range(5)])
+    rows = chains.numbered(rows, ["tour_id", "outbound"])
+    draws = F.array(*[draw(F.col("trip_id"), 20 + i) for i in range(ATTEMPTS)])
     rows = rows.select(
         F.col("tour_id").alias("person_id"), "tour_id", "trip_id", "outbound", "trip_num", "trip_count", F.lit(8).alias("low"), F.lit(20).alias("high"), F.lit(-1).alias("fixed_hour"),
         hour_probs(F.col("trip_id")).alias("probs"), draws.alias("draws"),
     )
-    return chains.schedule_chains(rows, 5, 5)
+    return chains.schedule_chains(rows, 5, ATTEMPTS)
 
 
 @query(
