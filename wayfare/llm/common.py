@@ -60,6 +60,13 @@ def forget(*tables: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finished(df: DataFrame, name: str, *read: DataFrame) -> DataFrame:
+    """``df`` as a written table, and the tables that it was made from deleted."""
+    out = written(df, name)
+    forget(*read)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bounds the Arrow batches of texts that JVM and Python hold at once, in rows and in bytes."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import WORD, written
+from wayfare.llm.common import WORD, finished, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source gives each of its words so many times at most.
 EPOCHS = 3
-#: The fractional part of the golden ratio in units of 2**-32.
-GOLDEN = 2654435769
-POINTS = 1 << 32
+#: The fractional part of the golden ratio in units of 1 / POINTS, to the nearest odd number.
+POINTS, HALF = 1 << 40, 20
+GOLDEN = 679535556991
+#: Bits of a point within a cell, of which there are 4,096.
+CELL = 28
+#: Blocks that a target has at least, unless they would be shorter than a word.
+PARTS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -70,27 +76,44 @@ def running(df: DataFrame, key: list[str], order: list[str], value: Column, name
     return joined.withColumn(name, added).drop("_bucket", "_value", "_base")
 
 
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
+def blocks_of(targets: DataFrame, block: int) -> DataFrame:
+    """Adds length, blocks and needed to sources: words of a block, blocks of the source's line, slots that its target needs.
+
+    A block has ``block`` words, or a thousandth of the target (``PARTS``) if that is less, so that a few slots more or
+    less are little of any target; the line's last block may be shorter.
+    """
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / PARTS))).cast("long")
+    goal = F.floor("target").cast("long")
+    whole = F.floor(goal / F.col("source_size")).cast("long")
+    rows = targets.where("source_size > 0 AND target > 0").withColumn("length", length)
+    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
+    rest = F.ceil((goal - whole * F.col("source_size")) / F.col("length")).cast("long")
+    return rows.withColumn("needed", whole * F.col("blocks") + rest)
+
+
+def golden(slot: Column) -> Column:
+    """The point of a slot, frac(slot * phi), in units of 1 / POINTS; in two halves, so that no product overflows."""
+    high, low = F.shiftright(slot, HALF), slot.bitwiseAND((1 << HALF) - 1)
+    return (high * F.lit((GOLDEN << HALF) % POINTS) + low * F.lit(GOLDEN)) % F.lit(POINTS)
+
+
+def schedule(sources: DataFrame, slots: int, point: Callable[[Column], Column] = golden) -> DataFrame:
     """The order in which sources give blocks: rows (slot, place, rank).
 
-    Slot i has the golden-ratio point frac(i * phi); the cumulative target weights map
-    it to a source; the rank counts the source's slots so far, and names its block.
-    The points of any run of slots fall evenly, so every prefix of the schedule keeps
-    the weights.  Cells of equal width make the search for a point's source an equi-join.
+    ``point`` maps slot i to a point, the cumulative ``needed`` slots map that to a source; the rank counts the
+    source's slots so far, and names its block.  Golden-ratio points of any run of slots fall evenly, so every
+    prefix of the schedule keeps the weights.  Cells of equal width make the search for a point's source an equi-join.
     """
-    total = F.sum("target").over(Window.partitionBy())
-    upto = F.sum("target").over(Window.orderBy("place"))
-    bounds = targets.where("target > 0").select(
+    total = F.sum("needed").over(Window.partitionBy())
+    upto = F.sum("needed").over(Window.orderBy("place"))
+    bounds = sources.select(
         "place",
-        F.floor((upto - F.col("target")) / total * POINTS).alias("low"),
-        F.floor(upto / total * POINTS).alias("high"),
-    )
-    cells = bounds.withColumn("cell", F.explode(F.sequence(F.shiftright("low", 20), F.shiftright("high", 20))))
-    spark = targets.sparkSession
-    points = spark.range(slots).select(
-        F.col("id").alias("slot"), ((F.col("id") % (POINTS // 2) * GOLDEN) % POINTS).alias("point")
+        F.floor((upto - F.col("needed")) * float(POINTS) / total).alias("low"),
+        F.floor(upto * float(POINTS) / total).alias("high"),
     )
-    points = points.withColumn("cell", F.shiftright("point", 20))
+    cells = bounds.withColumn("cell", F.explode(F.sequence(F.shiftright("low", CELL), F.shiftright("high", CELL))))
+    points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
+    points = points.withColumn("cell", F.shiftright("point", CELL))
     drawn = points.join(cells, "cell").where("point >= low and point < high").select("slot", "place")
     return running(drawn, ["place"], ["slot"], F.lit(1), "rank", F.shiftright("slot", 14))
 
@@ -103,18 +126,20 @@ def mix(
     block: int = 1024,
     weights: tuple[int, ...] = WEIGHTS,
     seed: str = "mix",
+    point: Callable[[Column], Column] = golden,
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
     Returns a row for each row: doc_id, size (words), source, source_size, weight,
-    target (the source's), taken (words, repeats counted), copies (whole times the
-    document is taken).  The documents of a source are shuffled (by a hash of id and
-    ``seed``) and laid end to end; blocks of ``block`` words are cut from that line,
-    the last one shorter, and slot ``r`` of a source takes block ``r`` of the line,
-    which starts anew after its last block.  A source's slots end where its target is
-    reached, so taken words differ from the target by less than one.  Null and empty
-    texts have no words and give none; null sources are a source; rows that repeat an id
-    keep apart; an empty table gives an empty result.
+    target (the source's), taken (words, repeats counted), first_slot (of the schedule, that takes words of it; null if
+    none does).  The documents of a source are shuffled (by a hash of id and ``seed``) and laid end to end; blocks are
+    cut from that line.  The schedule has as many slots as all targets need; the source of a slot gives
+    its next block, from the first again after the last, and nothing once it has given all ``EPOCHS`` times.  What a
+    source gives is thus what the schedule's points give it: off its target by the few slots (of a thousand or more) by
+    which low-discrepancy points miss a share.
+
+    Null and empty texts have no words and give none; null sources are a source; rows that repeat an id
+    keep apart; an empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
@@ -125,29 +150,11 @@ def mix(
     rows = written(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights), "targets")
-    total = targets.agg(F.sum("source_size")).first()[0] or 0
-    drawn = schedule(targets, total // block + 1)
-    # golden-ratio counts stray from their share by a few slots, and last blocks are short
-    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
-    full = F.col("source_size")
-    goal = F.floor(F.col("target")).cast("long")
-    # slots of a source that its target needs; those that the schedule does not hold are appended
-    rest = goal - F.floor(goal / full).cast("long") * full
-    needs = targets.where("source_size > 0").select(
-        "source", "place", "source_size", "target", blocks.cast("long").alias("blocks"), goal.alias("goal"),
-        (F.floor(goal / full) * blocks + F.ceil(rest / block)).cast("long").alias("needed"),
-    )
-    held = drawn.groupBy("place").agg(F.count(F.lit(1)).alias("held"))
-    short = needs.join(held, "place", "left").withColumn("held", F.coalesce("held", F.lit(0))).where("held < needed")
-    appended = short.select("place", F.explode(F.sequence("held", F.col("needed") - 1)).alias("rank"))
-    slots_of = drawn.select("place", F.col("rank").cast("long").alias("rank")).unionByName(appended)
-    uses = slots_of.join(needs, "place").where("rank < needed")
-    start = F.floor(F.col("rank") / F.col("blocks")) * full + F.col("rank") % F.col("blocks") * block
-    uses = uses.select(
-        "place", (F.col("rank") % F.col("blocks")).alias("block"), F.least(F.lit(block), F.col("goal") - start).alias("words")
-    )
-    # a block is taken whole some times, and perhaps in part once
-    taken_blocks = uses.groupBy("place", "block").agg(F.collect_list("words").alias("words"))
+    sources = blocks_of(targets, block)
+    slots = sources.agg(F.sum("needed")).first()[0] or 0
+    drawn = schedule(sources, slots, point).join(sources.select("place", "blocks"), "place")
+    given = drawn.where(F.col("rank") < EPOCHS * F.col("blocks")).groupBy("place", (F.col("rank") % F.col("blocks")).alias("block"))
+    given = given.agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
     placed = running(
         rows.where("size > 0"),
         ["source"],
@@ -156,23 +163,17 @@ def mix(
         "start",
         F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int"),
     )
-    keys = targets.select("source", "place")
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    placed = placed.alias("d").join(keys.alias("t"), same).select("d.*", "t.place")
-    pieces = placed.select(
-        "place", "start", "size",
-        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
-    )
-    low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    part = F.aggregate(
-        "words", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(high, w) - low).cast("long")
-    )
-    taken = pieces.join(taken_blocks, ["place", "block"]).groupBy("place", "start").agg(F.sum(part).alias("taken"))
-    given = placed.join(taken, ["place", "start"], "left").select("doc_id", "size", "place", F.coalesce("taken", F.lit(0)).alias("taken"))
-    none = rows.where("size = 0").alias("d").join(keys.alias("t"), same).select("doc_id", "size", "place", F.lit(0).cast("long").alias("taken"))
-    return (
-        given.unionByName(none)
-        .join(targets, "place")
-        .select("doc_id", "size", "source", "source_size", "weight", "target", "taken")
-    )
+    placed = written(placed.alias("d").join(sources.select("source", "place", "length").alias("t"), same).select("d.*", "t.place", "t.length"), "placed")
+    end, length = F.col("start") + F.col("size"), F.col("length")
+    each = F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))
+    pieces = placed.select("place", "start", end.alias("end"), "length", F.explode(each).alias("block"))
+    held = F.least("end", (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
+    taken = pieces.join(given, ["place", "block"]).groupBy("place", "start")
+    taken = taken.agg(F.sum(held * F.col("times")).alias("taken"), F.min("slot").alias("first_slot"))
+    found = placed.join(taken, ["place", "start"], "left").select("doc_id", "size", "source", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+    nothing = F.lit(None).cast("long").alias("first_slot")
+    none = rows.where("size = 0").select("doc_id", "size", "source", F.lit(0).cast("long").alias("taken"), nothing)
+    both = found.unionByName(none).alias("d").join(targets.alias("t"), same)
+    both = both.select("doc_id", "size", "d.source", "source_size", "weight", "target", "taken", "first_slot")
+    return finished(both, "mix", rows, targets, placed)

@@ -21,7 +21,7 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,16 +118,24 @@ l AS (SELECT *, cap / weight AS bar,
 t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT level FROM l WHERE bar >= level ORDER BY bar, place LIMIT 1)) AS target FROM l)
 """
 
-#: SQL for the mix in closed form: a source's line of shuffled documents is taken up to its target.
+#: SQL for the mix: the schedule slot by slot, and each source's line of shuffled documents by blocks.
 _MIXING = (
     _SIZES
-    + """,
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
+    + f"""
+, k AS (SELECT p.source, place, source_size, target, CAST(greatest(1, least(1024, floor(target / {mixing.PARTS}))) AS BIGINT) AS length, CAST(floor(target) AS BIGINT) AS goal
+    FROM t JOIN (SELECT source, place FROM p) p ON p.source IS NOT DISTINCT FROM t.source WHERE source_size > 0 AND target > 0),
+b AS (SELECT *, (source_size + length - 1) // length AS blocks FROM k),
+n AS (SELECT *, goal // source_size * blocks + (goal % source_size + length - 1) // length AS needed FROM b),
+c AS (SELECT *, floor((sum(needed) OVER o - needed)::DOUBLE * {mixing.POINTS} / sum(needed) OVER ()) AS low, floor((sum(needed) OVER o)::DOUBLE * {mixing.POINTS} / sum(needed) OVER ()) AS high FROM n WINDOW o AS (ORDER BY place)),
+slots AS (SELECT i AS slot, (i::HUGEINT * {mixing.GOLDEN}) % {mixing.POINTS} AS point FROM (SELECT unnest(range((SELECT sum(needed)::BIGINT FROM n))) AS i)),
+r AS (SELECT slot, place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM slots JOIN c ON point >= low AND point < high),
+g AS (SELECT place, rank % blocks AS block, count(*) AS times, min(slot) AS slot FROM r WHERE rank < {mixing.EPOCHS} * blocks GROUP BY 1, 2),
+o AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, t.source_size, t.target, place, length,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS begins
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-    goal // source_size * size + greatest(0, least(begins + size, goal % source_size) - begins) END::BIGINT AS taken FROM o
-"""
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT row, place, begins, begins + size AS ends, length, unnest(range(begins // length, (begins + size - 1) // length + 1)) AS block FROM o WHERE size > 0),
+x AS (SELECT row, sum((least(ends, (e.block + 1) * length) - greatest(begins, e.block * length)) * times) AS taken, min(slot) AS first_slot FROM e JOIN g ON g.place = e.place AND g.block = e.block GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM o LEFT JOIN x USING (row)"""
 )
 
 _SECRET_SPANS = """
