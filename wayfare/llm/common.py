@@ -79,6 +79,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until ``columns`` has no such name."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -89,7 +101,7 @@ def components(edges: DataFrame, name: str = "links", most: int = 60) -> DataFra
     Alternates large-star and small-star steps: every node's larger neighbours, then
     its smaller ones, are linked to its least neighbour.  The number of edges never
     grows, no step gathers a node's neighbours, and the rounds are logarithmic in the
-    longest path.  Each round is a written table.  Raises if ``most`` rounds do not do.
+    longest path.  Each round is a written table, the last of which is returned.  Raises if ``most`` rounds do not do.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
@@ -103,9 +115,11 @@ def components(edges: DataFrame, name: str = "links", most: int = 60) -> DataFra
         small = large.join(least, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
-        now = written(small.where("a <> b").distinct(), name)
+        now = finished(small.where("a <> b").distinct(), name, now)
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out._written_to = now._written_to
+            return out
         before = state
     raise RuntimeError(f"components not found in {most} rounds")

@@ -25,8 +25,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Two deliveries, half of the documents each: the second is scanned against the ledger that the first has left."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    findings, _ = secrets.scan(docs)
+    early = F.xxhash64("doc_id") < 0
+    findings, ledger = secrets.scan(docs.where(early))
+    findings, _ = secrets.scan(docs.where(~early), ledger, findings)
     return secrets_digest(secrets.joined_back(docs, findings))
 
 

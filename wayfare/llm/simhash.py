@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import components, forget, small_batches, written
+from wayfare.llm.common import components, finished, forget, fresh, small_batches, written
 
 SEED = 42
 #: Rows of whole groups that a task joins at once.
@@ -22,26 +22,18 @@ EDGE = "a long, b long"
 SIMILAR = (4, 5)
 #: Bands of least hashes, and hashes in each: of pairs at 0.8 all but 1 in 13,000 share a band.
 BANDS, ROWS = 24, 5
-#: Bits below the turn in a trie's number.
-TURN = 20
+#: Fingerprints that a trie holds at most before it is cut into tries of its own blocks, and how often that is done.
+CROWD, CUTS = 1 << 14, 3
 
 
-def fingerprints(text: str, width: int = 4, count: int = 1) -> list[int]:
-    """64-bit SimHashes of the ``width``-word shingles of ``text``, ASCII letters in lower case.
-
-    The first is of XXH64 of the shingles, further ones of products of that with odd numbers.
-    """
+def fingerprint(text: str, width: int = 4) -> int:
+    """64-bit SimHash of XXH64 of the ``width``-word shingles of ``text``, ASCII letters in lower case."""
     hashes = shingles(text, width)
-    if not len(hashes):
-        return [0] * count
-    ones = np.zeros(64 * count, np.int64)
-    step = max(1, (1 << 14) // count)
-    for at in range(0, len(hashes), step):
-        part = turned_hashes(hashes[at : at + step], count)
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
-    return [int.from_bytes(packed[i : i + 8], "little") for i in range(0, 8 * count, 8)]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little") if len(hashes) else 0
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -59,31 +51,68 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
 
 
-def turned_hashes(hashes: np.ndarray, count: int) -> np.ndarray:
-    """``count`` hashes of each hash, itself first, as a matrix."""
-    odd = np.random.default_rng(5).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = hashes[:, None] * odd[None]
-    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    out[:, 0] = hashes
-    return out
-
-
-def _fingerprints(width: int, count: int):
+def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [fingerprints(x or "", width, count) for x in batch["text"].to_pylist()]
-            values = np.array(held, np.uint64).reshape(-1, count).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, values.size + 1, count, dtype=np.int32), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], lists], names=["doc_id", "text_key", "fps"])
+            held = np.array([fingerprint(x or "", width) for x in batch["text"].to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(held.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     return run
 
 
-def blocks_of(bits: int, count: int) -> list[tuple[int, int]]:
-    """(shift, size) of ``count`` blocks that make up ``bits`` bits, highest first."""
-    edges = [round(i * bits / count) for i in range(count + 1)]
-    return [(bits - high, high - low) for low, high in zip(edges, edges[1:], strict=False)]
+Field = tuple[int, int]
+
+
+def blocks_of(fields: list[Field], count: int) -> list[list[Field]]:
+    """Fields (shift, size) of bits cut into ``count`` blocks of about equal size, each of one or more fields."""
+    bits = [shift + i for shift, size in fields for i in reversed(range(size))]
+    edges = [round(i * len(bits) / count) for i in range(count + 1)]
+    out = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        own: list[Field] = []
+        for bit in bits[low:high]:
+            if own and own[-1][0] == bit + 1:
+                own[-1] = (bit, own[-1][1] + 1)
+            else:
+                own.append((bit, 1))
+        out.append(own)
+    return out
+
+
+def turns(budget: int, cuts: int) -> list[list[tuple[list[Field], list[Field]]]]:
+    """For each depth of cutting its turns: (bits that a trie's members share, the other bits).
+
+    Two fingerprints within the budget share one of ``budget + 1`` blocks; the rest of their bits, which hold all
+    differences, are cut in the same way, so a turn at depth d shares d blocks.  Turn t of a depth becomes turns
+    t * (budget + 1), ... of the next.
+    """
+    now: list[tuple[list[Field], list[Field]]] = [([], [(0, 64)])]
+    out = []
+    for _ in range(cuts):
+        after = []
+        for shared, rest in now:
+            parts = blocks_of(rest, budget + 1)
+            for i, part in enumerate(parts):
+                after.append((shared + part, [f for j, other in enumerate(parts) if j != i for f in other]))
+        out.append(after)
+        now = after
+    return out
+
+
+def gathered(values: np.ndarray, fields: list[Field]) -> np.ndarray:
+    """The fields' bits of each value side by side, the first field highest."""
+    out = np.zeros(len(values), np.uint64)
+    for shift, size in fields:
+        out = (out << np.uint64(size)) | ((values >> np.uint64(shift)) & np.uint64((1 << size) - 1))
+    return out
+
+
+def _trie_of(fp: Column, fields: list[Field]) -> Column:
+    """The same of a column."""
+    out = F.lit(0).cast("long")
+    for shift, size in fields:
+        out = F.shiftleft(out, size).bitwiseOR(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
+    return out
 
 
 class Forest:
@@ -177,20 +206,18 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
     return left
 
 
-def _linked(blocks: list[tuple[int, int]], budget: int):
-    """Star edges of the tries in a partition, sorted by trie (turn and block)."""
+def _linked(layouts: list[tuple[list[Field], list[Field]]], budget: int):
+    """Star edges of the tries in a partition, sorted by turn and trie."""
 
-    def joined(trie: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        turn = trie >> TURN
+    def joined(turn: np.ndarray, trie: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in np.unique(turn):
-            shift, size = blocks[k % len(blocks)]
-            own, names = fp[turn == k].view(np.uint64), node[turn == k]
-            up = np.uint64(64 - shift - size)
-            turned = (own << up) | (own >> (np.uint64(64) - up)) if up else own
-            turned, first, place = np.unique(turned, return_index=True, return_inverse=True)
-            tries = turned >> np.uint64(64 - size)
+            shared, rest = layouts[k]
+            depth = sum(size for _, size in shared)
+            names = node[turn == k]
+            turned, first, place = np.unique(gathered(fp[turn == k].view(np.uint64), shared + rest), return_index=True, return_inverse=True)
+            tries = turned >> np.uint64(64 - depth)
             bounds = np.r_[np.flatnonzero(np.r_[True, tries[1:] != tries[:-1]]), len(turned)]
-            label = trie_join(turned, bounds, size, budget)
+            label = trie_join(turned, bounds, depth, budget)
             b = names[first[label[place]]]
             apart = names != b
             yield pa.RecordBatch.from_arrays([pa.array(names[apart]), pa.array(b[apart])], names=["a", "b"])
@@ -198,11 +225,11 @@ def _linked(blocks: list[tuple[int, int]], budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            held.append(np.stack([batch[x].to_numpy() for x in ("trie", "fp", "node")]))
+            held.append(np.stack([batch[x].to_numpy() for x in ("turn", "trie", "fp", "node")]))
             if sum(x.shape[1] for x in held) < GROUPED:
                 continue
             rows = np.concatenate(held, axis=1)
-            first = int(np.argmax(rows[0] == rows[0, -1]))  # the last group may go on
+            first = int(np.argmax((rows[:2] == rows[:2, -1:]).all(axis=0)))  # the last group may go on
             if first:
                 yield from joined(*rows[:, :first])
             held = [rows[:, first:]]
@@ -213,52 +240,75 @@ def _linked(blocks: list[tuple[int, int]], budget: int):
     return run
 
 
+def dealt(leaves: DataFrame, budget: int, crowd: int = CROWD, cuts: int = CUTS) -> tuple[DataFrame, list[tuple[list[Field], list[Field]]]]:
+    """(turn, trie, fp, node) rows of all tries, and the layouts of turns.
+
+    A trie with more than ``crowd`` fingerprints is cut: its members go on to tries that share a block more, in which
+    every pair within the budget meets again.  So tries stay small however many fingerprints there are,
+    and a block of bits that very many share is not one group.  Only what is left after ``cuts`` stays whole.
+    """
+    depths = turns(budget, cuts)
+    layouts = [x for depth in depths for x in depth]
+    now = leaves.select("node", "fp", F.lit(0).alias("own"))
+    out, first = None, 0
+    for depth, layout in enumerate(depths):
+        choices = [
+            F.array(*[F.struct(F.lit(t).alias("own"), _trie_of(F.col("fp"), layout[t][0]).alias("trie")) for t in range(i * (budget + 1), (i + 1) * (budget + 1))])
+            for i in range(len(layout) // (budget + 1))
+        ]
+        chosen = choices[0] if depth == 0 else F.coalesce(*[F.when(F.col("own") == i, x) for i, x in enumerate(choices)])
+        tries = now.select("node", "fp", F.inline(chosen).alias("own", "trie"))
+        turn = (F.col("own") + first).alias("turn")
+        if depth + 1 == cuts:
+            rows = tries.select(turn, "trie", "fp", "node")
+            return (rows if out is None else out.unionByName(rows)), layouts
+        tries = written(tries, "tries")
+        crowds = tries.groupBy("own", "trie").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("own", "trie")
+        crowds = written(crowds, "crowds")
+        few = tries.join(crowds, ["own", "trie"], "left_anti").select(turn, "trie", "fp", "node")
+        out = few if out is None else out.unionByName(few)
+        if not crowds.head(1):
+            return out, layouts
+        now = tries.join(crowds, ["own", "trie"]).select("node", "fp", "own")
+        first += len(layout)
+    return out, layouts
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, prints: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, crowd: int = CROWD
 ) -> DataFrame:
     """Classes of documents whose SimHash fingerprints chain by ``budget`` differing bits at most.
 
-    Returns a row for each row: doc_id, text_key (a hash of the text), fp (the first fingerprint
+    Returns a row for each row: doc_id, text_key (a hash of the text), fp (the fingerprint
     as a signed long), class (a fingerprint of the class), component_id (the least doc_id in
     the class).  Equal fingerprints are one leaf.  Of ``budget + 1`` blocks of bits two linked
     fingerprints share one; for each block a trie begins with it, so only pairs of nodes that
-    agree there are traversed, and the tries are dealt out by that block.  Tasks give spanning
-    edges, never all pairs.  With several ``prints`` documents have as many independent
-    fingerprints, in tries of their own, and link by any of them, which finds pairs further apart.
+    agree there are traversed, and the tries are dealt out by that block; crowded tries are cut (``dealt``).
+    Tasks give spanning edges, never all pairs.
 
     Texts without words (null and empty ones too) have fingerprint 0 and link like any
     other.  A null id never names a class unless all its ids are null.  Rows that repeat an
-    id keep a row each.  An empty table gives an empty result.
+    id keep a row each.  An empty table gives an empty result.  Other columns are not looked at.
     """
     small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.mapInArrow(_fingerprints(width, prints), "doc_id long, text_key long, fps array<long>")
-    node = F.col("fps")[0] if prints == 1 else F.xxhash64("fps")
-    found = written(found.withColumn("node", node), "prints")
-    leaves = found.groupBy("node", "fps").agg(F.min("doc_id").alias("least"))
-    blocks = blocks_of(64, budget + 1)
-    turns = F.array(
-        *[
-            F.struct(
-                (F.shiftrightunsigned(F.col("fps")[p], s).bitwiseAND((1 << n) - 1) + F.lit((p * len(blocks) + k) << TURN).cast("long")).alias("trie"),
-                F.col("fps")[p].alias("fp"),
-            )
-            for p in range(prints)
-            for k, (s, n) in enumerate(blocks)
-        ]
-    )
-    dealt = leaves.select("node", F.inline(turns)).select("trie", "fp", "node")
-    dealt = dealt.repartition("trie").sortWithinPartitions("trie")
-    classes = components(dealt.mapInArrow(_linked(blocks, budget), EDGE).where("a <> b"))
-    members = leaves.join(classes, leaves["node"] == classes["node"], "left").select(
-        leaves["node"], "least", F.coalesce("component", leaves["node"]).alias("class")
+    found = rows.mapInArrow(_fingerprints(width), "doc_id long, text_key long, fp long")
+    found = written(found, "prints")
+    leaves = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "leaves")
+    tries, layouts = dealt(leaves.select(F.col("fp").alias("node"), "fp"), budget, crowd)
+    tries = tries.repartition("turn", "trie").sortWithinPartitions("turn", "trie")
+    tries = tries.select(*[F.col(c).cast("long") for c in ("turn", "trie", "fp", "node")])
+    edges = written(tries.mapInArrow(_linked(layouts, budget), EDGE).where("a <> b"), "edges")
+    classes = components(edges)
+    members = leaves.join(classes, leaves["fp"] == classes["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("class")
     )
-    members = written(members, "classes")
+    members = finished(members, "classes", edges, classes, leaves)
     # a written table rather than an aggregate, so that the joins may split a hot class
     ids = written(members.groupBy("class").agg(F.min("least").alias("component_id")), "ids")
-    members = written(members.join(ids, "class").select("node", "class", "component_id"), "members")
-    return found.join(members, "node").select("doc_id", "text_key", F.col("fps")[0].alias("fp"), "class", "component_id")
+    both = finished(members.join(ids, "class").select("fp", "class", "component_id"), "members", members, ids)
+    return finished(found.join(both, "fp").select("doc_id", "text_key", "fp", "class", "component_id"), "near", found, both)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -332,7 +382,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.text_key") == F.col("l.text_key"))
     texts = rows.alias("r").join(named, same).select("node", "text")
     sets = written(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles")
-    classes = components(written(_alike(stars, sets), "alike"))
+    alike = written(_alike(stars, sets), "alike")
+    classes = components(alike)
     labelled = shared.select("key", "node", "n").join(classes, "node", "left")
     labelled = written(labelled.select("key", "node", "n", F.coalesce("component", "node").alias("label")), "labelled")
     apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
@@ -341,10 +392,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = apart.withColumnRenamed("node", "a").join(other, "key").where("a < b AND label <> label_b").where(lengths)
     pairs = written(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     more = written(_alike(pairs, sets), "alike")
-    forget(sets)
-    classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    held = leaves.select("node", "one").join(classes, "node", "left")
-    return held.select(F.coalesce("component", "node").alias("class"), "one")
+    both = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    held = leaves.select("node", "one").join(both, "node", "left").select(F.coalesce("component", "node").alias("class"), "one")
+    return finished(held, "classes", found, leaves, ends, shared, stars, sets, alike, classes, labelled, apart, pairs, more, both)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -352,13 +402,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that repeat an id and a text are one document.
     """
-    kept = near_copies(docs, id_col, text_col, width).groupBy("class").agg(F.min("one").alias("one")).select(
-        F.col("one.doc_id").alias("_kept_id"), F.col("one.text_key").alias("_kept_key")
-    )
-    held = docs.withColumn("_kept_id", docs[id_col].cast("long"))
-    held = held.withColumn("_kept_key", F.xxhash64(docs[text_col].cast("string"))).alias("d")
-    same = F.col("d._kept_id").eqNullSafe(F.col("k._kept_id")) & (F.col("d._kept_key") == F.col("k._kept_key"))
-    chosen = held.join(kept.alias("k"), same, "left_semi").dropDuplicates(["_kept_id", "_kept_key"])
+    doc, key = fresh(docs.columns, "_doc_id", "_text_key")
+    classes = near_copies(docs, id_col, text_col, width)
+    kept = classes.groupBy("class").agg(F.min("one").alias("one")).select("one.doc_id", "one.text_key")
+    kept = finished(kept, "kept", classes).alias("k")
+    held = docs.withColumn(doc, docs[id_col].cast("long")).withColumn(key, F.xxhash64(docs[text_col].cast("string")))
+    same = F.col(doc).eqNullSafe(F.col("k.doc_id")) & (F.col(key) == F.col("k.text_key"))
+    chosen = held.alias("d").join(kept, same, "left_semi").dropDuplicates([doc, key])
     return chosen.select(*docs.columns)
 
 
