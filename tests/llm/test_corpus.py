@@ -154,6 +154,25 @@ def test_near_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.representatives(docs_of(spark, texts)).collect()} == wanted
 
 
+def test_copies_that_only_their_original_links(spark):
+    """Copies like their original but not each other, and texts that share little more than a common passage."""
+    rng = random.Random(21)
+    base = words(rng, 300).split()
+    texts = [" ".join(base)]
+    for _ in range(60):
+        at = set(rng.sample(range(300), 6))
+        texts.append(" ".join("edit" + str(rng.random()) if i in at else w for i, w in enumerate(base)))
+    passage = words(rng, 60)
+    texts += [f"{words(rng, 25)} {passage} {words(rng, 25)}" for _ in range(60)]
+    texts += [f"{passage} {words(rng, rng.randint(1, 12))}" for _ in range(40)]
+    sets = [shingles_by_hand(t) for t in texts]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    hub = [i for i, j in pairs if j == 0]
+    assert len(hub) > 30 and sum(0 < j < i < 61 for i, j in pairs) < 200
+    wanted = set(linked(pairs, range(len(texts))).values())
+    assert {r.doc_id for r in simhash.representatives(docs_of(spark, texts)).collect()} == wanted
+
+
 def targets_by_hand(sizes, weights):
     fixed, total = {}, sum(sizes.values())
     while True:

@@ -22,6 +22,8 @@ EDGE = "a long, b long"
 SIMILAR = (4, 5)
 #: Bands of least hashes, and hashes in each: of pairs at 0.8 all but 1 in 13,000 share a band.
 BANDS, ROWS = 24, 5
+#: Times that each band is compared with a centre.
+ROUNDS = 2
 #: Fingerprints that a trie holds at most before it is cut into tries of its own blocks, and how often that is done.
 CROWD, CUTS = 1 << 14, 3
 
@@ -354,47 +356,100 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(both * under >= union * over).select("a", "b")
 
 
+def _long_enough(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be as similar as ``SIMILAR``."""
+    over, under = SIMILAR
+    return F.least(n, m) * under >= F.greatest(n, m) * over
+
+
+def _apart(bands: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of bands with the class that each is in now, of bands that hold more than one."""
+    held = bands.join(classes, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
+    held = written(held, "labelled")
+    mixed = written(held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
+    return finished(held.join(mixed, "key"), "apart", held, mixed)
+
+
+def _stars(apart: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of members with their band's centre, bands' centres).
+
+    The centre is the member with most company in all of its bands, which the original of many copies has, among
+    those that are in no earlier centre's class.
+    """
+    free = apart
+    if done is not None:
+        past = done.withColumnRenamed("node", "centre").join(apart.select("key", F.col("node").alias("centre"), F.col("label").alias("past")), ["key", "centre"])
+        free = apart.join(past.select("key", "past"), (apart["key"] == past["key"]) & (apart["label"] == past["past"]), "left_anti")
+    best = free.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("c"), F.col("n").alias("m"), F.col("label").alias("l")), F.struct("score", "node")).alias("best"))
+    best = written(best.select("key", "best.*"), "centres")
+    pairs = apart.join(best, "key").where((F.col("label") != F.col("l")) & _long_enough("n", "m"))
+    pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    return written(pairs, "stars"), best.select("key", F.col("c").alias("node"))
+
+
+def _rare_partners(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of sets in different classes that share one of their rarest shingles.
+
+    Two sets of ``SIMILAR`` share at least that part of the larger; so of each set's shingles, in one order
+    for all, the first few (a fifth and one more, for 0.8) hold one that both have.  The order is by how many
+    of these sets have a shingle, so what very many share, such as a common passage, brings nobody together.
+    """
+    over, under = SIMILAR
+    nodes = written(apart.select("node", "n", "label").distinct(), "nodes")
+    each = written(sets.join(nodes, "node").select("node", "n", "label", F.explode("held").alias("s")), "each")
+    common = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "common")
+    held = each.join(common, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("by_rarity"))
+    # shingles of its own come first in a set's order
+    first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - (F.col("n") - F.size("by_rarity"))
+    head = held.where(first > 0).select("node", "n", "label", F.explode(F.slice("by_rarity", 1, first.cast("int"))).alias("one"))
+    head = finished(head.select("node", "n", "label", "one.s"), "heads", nodes, each, common)
+    other = head.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    pairs = head.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _long_enough("n", "m"))
+    return finished(pairs.select("a", "b").distinct(), "pairs", head)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Classes of texts that chain by pairs of ``SIMILAR`` shingle sets: a row (class, one) for each set.
 
     ``one`` is the first of the set's rows: null ids last, then by id and text_key.  Candidates share one
-    of ``BANDS`` keys of least hashes.  All in a band are compared with its first and last set, and then with
-    each other where these links leave them apart, so that every candidate pair is compared
-    or linked already.  A pair links only if its exact Jaccard similarity is ``SIMILAR`` or more.
-    Texts without words are one set, which is like no other.
+    of ``BANDS`` keys of least hashes.  All in a band are compared with a centre (``_stars``, ``ROUNDS`` times), which
+    links most groups without pairs of their members; what these links leave apart is paired by rare shingles
+    (``_rare_partners``), and every such pair is compared.  A pair links only if its exact Jaccard similarity is
+    ``SIMILAR`` or more.  Texts without words are one set, which is like no other.
     """
     small_batches(docs.sparkSession)
-    over, under = SIMILAR
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     found = rows.mapInArrow(_banded(width), "doc_id long, text_key long, node long, n int, keys array<long>")
     found = written(found, "bands")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    leaves = written(found.groupBy("node", "n", "keys").agg(F.min(order).alias("one")), "sets-of")
+    leaves = finished(found.groupBy("node", "n", "keys").agg(F.min(order).alias("one")), "sets-of", found)
     spread = leaves.select("node", "n", F.explode("keys").alias("key"))
-    ends = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    ends = written(ends.where("low.node <> high.node"), "ends")
-    shared = written(spread.join(ends, "key"), "shared")
-    lengths = F.least("n", "m") * under >= F.greatest("n", "m") * over
-    stars = shared.select("node", "n", F.inline(F.array("low", "high")).alias("other", "m")).where("node <> other").where(lengths)
-    stars = written(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "stars")
-    named = shared.select("node").distinct().join(leaves, "node").select("node", "one.doc_id", "one.text_key").alias("l")
+    sizes = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    members = finished(spread.join(sizes, "key"), "members", sizes)
+    scores = written(members.groupBy("node").agg(F.sum("members").alias("score")), "scores")
+    bands = finished(members.join(scores, "node").select("key", "node", "n", "score"), "company", members)
+    named = scores.join(leaves, "node").select("node", "one.doc_id", "one.text_key").alias("l")
     same = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.text_key") == F.col("l.text_key"))
     texts = rows.alias("r").join(named, same).select("node", "text")
-    sets = written(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles")
-    alike = written(_alike(stars, sets), "alike")
-    classes = components(alike)
-    labelled = shared.select("key", "node", "n").join(classes, "node", "left")
-    labelled = written(labelled.select("key", "node", "n", F.coalesce("component", "node").alias("label")), "labelled")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    apart = written(labelled.join(apart, "key"), "apart")
-    other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
-    pairs = apart.withColumnRenamed("node", "a").join(other, "key").where("a < b AND label <> label_b").where(lengths)
-    pairs = written(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = written(_alike(pairs, sets), "alike")
-    both = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    sets = finished(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles", scores)
+    apart = bands.withColumn("label", F.col("node"))
+    classes, done, spent = None, None, [bands]
+    for _ in range(ROUNDS):
+        pairs, centres = _stars(apart, done)
+        done = centres if done is None else done.union(centres)
+        alike = written(_alike(pairs, sets), "alike")
+        edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before, classes = classes, components(edges)
+        forget(pairs, alike, *([before] if before is not None else []))
+        apart = _apart(bands, classes)
+        spent.append(apart)
+    pairs = _rare_partners(apart, sets)
+    alike = written(_alike(pairs, sets), "alike")
+    forget(pairs, sets, *spent)
+    both = components(alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     held = leaves.select("node", "one").join(both, "node", "left").select(F.coalesce("component", "node").alias("class"), "one")
-    return finished(held, "classes", found, leaves, ends, shared, stars, sets, alike, classes, labelled, apart, pairs, more, both)
+    return finished(held, "classes", leaves, alike, classes, both)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
