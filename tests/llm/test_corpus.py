@@ -384,10 +384,10 @@ def test_licenses(spark):
 def test_every_license_of_a_long_block_is_found():
     short = [(name, x[0]) for name, x in licenses.TEMPLATES.items()]
     text = "\n".join(x for _, x in short)
-    assert [(x[2], text[x[0] : x[1]], x[10]) for x in licenses.licenses_in(text)] == [(name, x.rstrip("."), True) for name, x in short]
+    assert [(x[2], text[x[0] : x[1]], x[11]) for x in licenses.licenses_in(text)] == [(name, x.rstrip("."), True) for name, x in short]
     whole = [(name, x[1]) for name, x in licenses.TEMPLATES.items() if len(x) > 1] + [short[1], short[-1]]
     got = licenses.licenses_in("\n".join(x for _, x in whole))
-    assert [x[2] for x in got] == [name for name, _ in whole] and all(x[10] for x in got)
+    assert [x[2] for x in got] == [name for name, _ in whole] and all(x[11] for x in got)
 
 
 def test_scattered_words_do_not_hide_a_license():
@@ -403,7 +403,82 @@ def test_licenses_in_paragraphs_are_found():
             text = text.replace(f"{cut} ", f"{cut}\n\n")
         lines = re.sub(r"(.{50}\S*) ", r"\1\n", text)
         assert lines.count("\n\n") and lines.count("\n") > 3
-        assert [(x[2], x[3], x[10]) for x in licenses.licenses_in(f"words before\n\n{lines}\n\nwords after")] == [(name, 1, True)]
+        assert [(x[2], x[4], x[11]) for x in licenses.licenses_in(f"words before\n\n{lines}\n\nwords after")] == [(name, 1, True)]
+
+
+@pytest.mark.parametrize(
+    "text, nearest",
+    [
+        ("Released under the Elastic License.", {"MIT", "ISC", "BSD-3-Clause"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-3.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"GPL-3.0"}),
+        ("Licensed under the Mozilla Public License, Version 2.0.", {"Apache-2.0"}),
+        ("Licensed under CC BY-SA 4.0.", {"CC-BY-4.0", "CC-BY-NC-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-4.0", "CC-BY-NC-4.0"}),
+    ],
+)
+def test_other_licenses_are_unknown_variants(text, nearest):
+    got = licenses.licenses_in(f"some words. {text} more words")
+    assert len(got) == 1 and got[0][2] == licenses.UNKNOWN and got[0][3] in nearest and not got[0][11]
+
+
+def plain_words(text):
+    return [(m[0].lower(), m.start(), m.end()) for m in licenses.WORD.finditer(text)]
+
+
+def test_licenses_equal_brute_force_on_verbatim_texts(spark):
+    """Every verbatim template is found, and nothing else is called exact, in long texts and repeated rows too."""
+    rng = random.Random(16)
+    wordings = [(name, i, x) for name, held in licenses.TEMPLATES.items() for i, x in enumerate(held)]
+    texts = []
+    for n in [1, 2, 5, 12] * 5 + [300]:
+        parts = [y for _ in range(n) for y in (words(rng, rng.randint(0, 40)), rng.choice(wordings)[2].upper() if rng.random() < 0.2 else rng.choice(wordings)[2])]
+        texts.append("\n\n".join(parts))
+    texts += [texts[3], words(rng, 30_000) + " " + wordings[0][2]]
+    got = defaultdict(list)
+    for r in licenses.find_licenses(docs_of(spark, texts)).collect():
+        if r.exact:
+            got[r.doc_id].append((r.start, r.end, r.license, r.template))
+    for doc, text in enumerate(texts):
+        held, want = plain_words(text), []
+        for name, number, wording in wordings:
+            template = [w for w, _, _ in plain_words(wording)]
+            for i in range(len(held) - len(template) + 1):
+                if [w for w, _, _ in held[i : i + len(template)]] == template:
+                    want.append((held[i][1], held[i + len(template) - 1][2], name, number))
+        # a notice that begins a longer verbatim text is part of it
+        want = [x for x in want if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in want)]
+        assert sorted(got[doc]) == sorted(want)
+
+
+def test_chain_equals_plain_arithmetic(spark):
+    import math
+
+    links = (
+        toxicity.Link("rude", {toxicity.words_of("fool")[0]: 2.0, toxicity.words_of("nice")[0]: -1.5}, (), -0.5),
+        toxicity.Link("toxic", {toxicity.words_of("fool")[0]: 1.0}, (3.0,), -2.0),
+    )
+    texts = [None, "", "Fool fool!", "nice fool", "nice", "a" * 100_000 + " FOOL", "Fool fool!"]
+    got = {r.doc_id: r for r in toxicity.classify(docs_of(spark, texts), toxicity.Chain(links, 0.5)).collect()}
+    for i, text in enumerate(texts):
+        held = set(re.findall(r"[a-z]+", (text or "").lower()))
+        rude = 1 / (1 + math.exp(0.5 - 2.0 * ("fool" in held) + 1.5 * ("nice" in held)))
+        toxic = 1 / (1 + math.exp(2.0 - ("fool" in held) - 3.0 * rude))
+        assert got[i].p_rude == pytest.approx(rude) and got[i].p_toxic == pytest.approx(toxic) and got[i].toxic == (toxic >= 0.5)
+
+
+def test_training_reads_no_more_rows_than_its_bound(spark):
+    texts = ["good words here", "bad words here"] * 60
+    repeats_ = docs_of(spark, texts + ["again and again"] * 5000, [*range(120), *[0] * 5000])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = toxicity.fitted
+    try:
+        toxicity.fitted = lambda found, values: seen.append(len(found)) or fit(found, values)
+        toxicity.train(repeats_, labels, queries.categories(labels), sample=100)
+    finally:
+        toxicity.fitted = fit
+    assert seen == [100]
 
 
 def test_toxicity(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,16 +27,17 @@ PENALTY = 2.0
 
 @dataclass(frozen=True)
 class Link:
-    """One category's model: weights of words (by hash), of earlier categories' log-odds, and an intercept."""
+    """One category's model: weights of words (by hash), of earlier categories' probabilities, and an intercept."""
 
     category: str
     words: dict[int, float]
     earlier: tuple[float, ...]
     intercept: float
 
-    def log_odds(self, hashes, before: list[float]) -> float:
+    def probability(self, hashes, before: list[float]) -> float:
         weight = self.words.get
-        return self.intercept + sum(weight(x, 0.0) for x in hashes) + sum(a * b for a, b in zip(self.earlier, before, strict=True))
+        odds = self.intercept + sum(weight(x, 0.0) for x in hashes) + sum(a * b for a, b in zip(self.earlier, before, strict=True))
+        return 1 / (1 + math.exp(-min(20.0, max(-20.0, odds))))
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,13 @@ class Chain:
     #: Probability from which the last category holds, chosen on out-of-fold predictions.
     threshold: float
 
+    def probabilities(self, hashes) -> list[float]:
+        """Of each category in turn; every link sees those of the links before."""
+        out: list[float] = []
+        for link in self.links:
+            out.append(link.probability(hashes, out))
+        return out
+
 
 def words_of(text: str) -> list[int]:
     """Hashes of the distinct words of a text, as signed 32-bit numbers."""
@@ -104,7 +113,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 12) ->
 
 
 def fitted(docs_words: list[np.ndarray], labels: dict[str, np.ndarray], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits a link for each category in turn; each sees out-of-fold log-odds of those before."""
+    """Fits a link for each category in turn; each sees out-of-fold probabilities of those before."""
     n = len(docs_words)
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in docs_words])
     words = np.concatenate([*docs_words, np.zeros(0, np.int32)])
@@ -147,9 +156,9 @@ def fitted(docs_words: list[np.ndarray], labels: dict[str, np.ndarray], features
                 float(w[-1]),
             )
         )
-        held_out = np.clip(held_out, -20, 20)
+        held_out = 1 / (1 + np.exp(-np.clip(held_out, -20, 20)))
         before.append(held_out)
-        threshold = _best_threshold(1 / (1 + np.exp(-held_out)), y)
+        threshold = _best_threshold(held_out, y)
     return Chain(tuple(links), threshold)
 
 
@@ -169,7 +178,9 @@ def train(
     """Fits the chain on at most ``sample`` labelled documents, those whose ids have the least hashes.
 
     ``categories`` maps names, in the order of the chain, to columns of ``labels`` that are true, false or null.
-    Only the sample's word hashes reach the driver.  None if no category has both kinds of rows.
+    Only the sample's word hashes reach the driver: a row for each of its ids, however many rows of documents repeat
+    one (the least text stands for it) or have no label.  Labels that repeat an id count as true if one is; rows with a
+    null label or id are left out.  None if no category has both kinds of rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -179,7 +190,7 @@ def train(
     held = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     # at most ``sample`` short rows: a bounded broadcast
-    texts = rows.join(F.broadcast(held), "doc_id")
+    texts = rows.join(F.broadcast(held), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text"))
     schema = ", ".join(["doc_id long", *[f"{n} int" for n in names], "words array<int>"])
     got = texts.select("doc_id", *names, "text").mapInArrow(_features, schema).toArrow().sort_by("doc_id")
     found = [np.asarray(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else np.zeros(0, np.int32) for x in got["words"]]
@@ -191,12 +202,7 @@ def train(
 def _scored(chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch["text"].to_pylist():
-                hashes, before = words_of(text or ""), []
-                for link in chain.links:
-                    before.append(min(20.0, max(-20.0, link.log_odds(hashes, before))))
-                out.append(1 / (1 + np.exp(-np.array(before))))
+            out = [chain.probabilities(words_of(text or "")) for text in batch["text"].to_pylist()]
             columns = np.array(out).reshape(-1, len(chain.links)).T
             keep = [n for n in batch.schema.names if n != "text"]
             flag = columns[-1] >= chain.threshold
@@ -222,12 +228,7 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 def _kept(chain: Chain, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for text in batch[column].to_pylist():
-                hashes, before = words_of(text or ""), []
-                for link in chain.links:
-                    before.append(min(20.0, max(-20.0, link.log_odds(hashes, before))))
-                kept.append(1 / (1 + np.exp(-before[-1])) < chain.threshold)
+            kept = [chain.probabilities(words_of(text or ""))[-1] < chain.threshold for text in batch[column].to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return run
