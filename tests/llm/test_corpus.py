@@ -627,6 +627,39 @@ def test_neighbours(spark, scale):
     assert scale or [j for j, _ in got[640]] == list(range(700, 720))
 
 
+def recall_of(vectors, x):
+    got = defaultdict(list)
+    for r in neighbours.nearest(vectors).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    want = nearest_by_hand(x, range(len(x)))
+    assert set(got) == set(want) and all(sorted(r for r, _, _ in v) == list(range(1, 21)) for v in got.values())
+    for q in list(want)[:5]:
+        assert all(s == pytest.approx(float(np.dot(x[q].astype(float), x[j].astype(float))), rel=1e-13, abs=1e-13) for _, j, s in got[q])
+    return np.mean([len({j for _, j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want])
+
+
+def test_close_neighbours_take_more_hashes_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = np.concatenate([c + 0.1 * rng.normal(size=(40, 24)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    single = neighbours.fitted(x[:2000], 20, 6, 1.0, True, 2000, 20)
+    many = neighbours.fitted(x[:2000], 20, 6, 1.0, True, 10**9, 20)
+    assert many[0] == 2 and many[1] < 1 << 20 and single[1] >= 1
+    monkeypatch.setattr(neighbours, "HASHES", (2,))
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert recall_of(vectors, x) >= 0.9
+
+
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e7, 1e120):
+        x = rng.normal(size=(400, 8)) * scale
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert recall_of(vectors, x) >= 0.9
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(i * 10, [float(i), 1.0]) for i in range(6)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

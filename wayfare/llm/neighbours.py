@@ -6,23 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from wayfare.llm.common import written
+from wayfare.llm.common import finished, written
 
 TABLES = 6
 #: Rows on which the number of probes is fitted (those of least hash), and queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
 #: Recall that the fit aims at, on the sample.
 AIM = 0.95
-#: Candidates of a bucket that a task holds at once; larger buckets are salted.
+#: Candidates, and queries, of a bucket that are compared at once; larger buckets are dealt out in blocks.
 BLOCK = 8192
+#: Hashes that a table may concatenate, and what a copy of a query costs in comparisons.
+HASHES, COPY = (1, 2), 64
 FOUND = "query_id long, vec_id long, score double"
 
 
-def signs(tables: int, width: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, width))
+def signs(tables: int, hashes: int, width: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).choice([-1.0, 1.0], (tables, hashes, 3, width))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -43,19 +46,48 @@ def rotated(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, sign: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` signed axes nearest to each row, nearest first; the first is its hash."""
-    turned = rotated(x, sign)
-    both = np.concatenate([turned, -turned], axis=1)
-    if count == 1:
-        return both.argmax(axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :count]
+def nearness(x: np.ndarray, sign: np.ndarray) -> list[np.ndarray]:
+    """For each hash of a table, the coordinates of rows along all signed axes."""
+    return [np.concatenate([turned, -turned], axis=1) for turned in (rotated(x, one) for one in sign)]
+
+
+def bucket_of(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """The bucket of each row: its nearest signed axis, of every hash in turn."""
+    out = np.zeros(len(x), np.int64)
+    for along in nearness(x, sign):
+        out = out * along.shape[1] + along.argmax(axis=1)
+    return out
+
+
+def all_buckets(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """How near each row is to every bucket: the sum of its coordinates along the bucket's axes."""
+    out = np.zeros((len(x), 1))
+    for along in nearness(x, sign):
+        out = (out[:, :, None] + along[:, None, :]).reshape(len(x), -1)
+    return out
+
+
+def probed(x: np.ndarray, sign: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` nearest buckets of each row (all, if there are fewer)."""
+    parts = []
+    for at in range(0, len(x), 256):
+        near = all_buckets(x[at : at + 256], sign)
+        count = min(count, near.shape[1])
+        parts.append(np.argpartition(-near, count - 1, axis=1)[:, :count])
+    return np.concatenate(parts) if parts else np.zeros((0, 0), np.int64)
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, scaled so that no square overflows or vanishes."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    top[top == 0] = 1.0
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
 
 
 def lifted(x: np.ndarray, longest: float, query: bool, flat: bool) -> np.ndarray:
     """Rows as unit vectors whose angles order inner products: the missing length is one more coordinate."""
     x = x.astype(float)
-    norm = np.sqrt((x * x).sum(axis=1))
+    norm = lengths(x)
     if flat:
         out = x / norm[:, None]
     elif query:
@@ -66,23 +98,35 @@ def lifted(x: np.ndarray, longest: float, query: bool, flat: bool) -> np.ndarray
     return np.pad(out, ((0, 0), (0, width - out.shape[1])))
 
 
-def fitted_probes(x: np.ndarray, k: int, tables: int, longest: float, flat: bool, aim: float = AIM) -> int:
-    """Probes by table with which ``aim`` of true neighbours within a sample are found."""
+def fitted(x: np.ndarray, k: int, tables: int, longest: float, flat: bool, rows: int, every: int, aim: float = AIM) -> tuple[int, int]:
+    """(hashes, probes) of a table with which ``aim`` of true neighbours within a sample are found, at the least cost.
+
+    A query costs the rows in its buckets, of ``rows`` in all, and its copies: more hashes a table are worth their more
+    copies where there are many rows, or close neighbours.
+    """
     if len(x) <= k + 1:
-        return 1 << 30
-    q = x[: min(SAMPLE_QUERIES, len(x))]
-    score = q.astype(float) @ x.astype(float).T
+        return 1, 1 << 30
+    q = x[: min(SAMPLE_QUERIES, len(x))].astype(float)
+    score = q @ x.astype(float).T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     best = np.argsort(-score, axis=1)[:, :k]
     base, asked = lifted(x, longest, False, flat), lifted(q, longest, True, flat)
-    least = np.full((len(q), k), 1 << 30)
-    for sign in signs(tables, base.shape[1]):
-        own = axes(base, sign, 1)[:, 0]
-        order = axes(asked, sign, 2 * base.shape[1])
-        place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(q), 0), axis=1)
-        least = np.minimum(least, np.take_along_axis(place, own[best], axis=1))
-    return int(np.quantile(least + 1, aim, method="higher"))
+    chosen = None
+    for hashes in HASHES:
+        least, held = np.full((len(q), k), 1 << 30), []
+        for sign in signs(tables, hashes, base.shape[1]):
+            own, near = bucket_of(base, sign), all_buckets(asked, sign)
+            ordered = -np.sort(-near, axis=1)
+            value = near[np.arange(len(q))[:, None], own[best]]
+            rank = np.stack([np.searchsorted(-o, -v, side="right") for o, v in zip(ordered, value, strict=True)])
+            least = np.minimum(least, rank)
+            held.append((own, near, ordered))
+        probes = int(np.quantile(least, aim, method="higher"))
+        share = np.mean([(near[:, own] >= ordered[:, [min(probes, ordered.shape[1]) - 1]]).mean() for own, near, ordered in held])
+        cost = tables * (share * rows + probes * COPY)
+        if chosen is None or cost < chosen[0]:
+            chosen = cost, hashes, probes
+    return chosen[1:]
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -90,7 +134,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def _hashed(dimension: int, probes: int, tables: int, longest: float, flat: bool, every: int):
+def _hashed(dimension: int, hashes: int, probes: int, tables: int, longest: float, flat: bool, every: int):
     """Rows (tab, bucket, asks, vec_id, embedding): each row once by table, each query once more by probe."""
     schema = ["tab", "bucket", "asks", "vec_id", "embedding"]
 
@@ -99,12 +143,13 @@ def _hashed(dimension: int, probes: int, tables: int, longest: float, flat: bool
             x, ids = _matrix(batch["embedding"], dimension), batch["vec_id"].to_numpy()
             asks = np.flatnonzero(ids % every == 0)
             base, asked = lifted(x, longest, False, flat), lifted(x[asks], longest, True, flat)
-            for t, sign in enumerate(signs(tables, base.shape[1])):
-                own = axes(base, sign, 1)[:, 0]
-                parts = [(np.arange(len(ids)), own, False)]
-                if len(asks):
-                    probed = axes(asked, sign, min(probes, 2 * base.shape[1]))
-                    parts.append((np.repeat(asks, probed.shape[1]), probed.ravel(), True))
+            for t, sign in enumerate(signs(tables, hashes, base.shape[1])):
+                parts = [(np.arange(len(ids)), bucket_of(base, sign), False)]
+                # copies of a few queries at a time, so that a batch stays small
+                for at in range(0, len(asks), max(1, (1 << 16) // max(1, min(probes, 1 << 16)))):
+                    some = slice(at, at + max(1, (1 << 16) // max(1, min(probes, 1 << 16))))
+                    buckets = probed(asked[some], sign, probes)
+                    parts.append((np.repeat(asks[some], buckets.shape[1]), buckets.ravel(), True))
                 for rows, buckets, flag in parts:
                     taken = batch["embedding"].take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays(
@@ -119,6 +164,8 @@ def best(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids:
     """(query_id, vec_id, score) arrays of each query's ``k`` nearest in a block, itself left out."""
     out = []
     base64, limit = base.astype(float), 1 << 22
+    # what rounding may add to or take from a block's products
+    slack = 8 * base64.shape[1] * np.finfo(float).eps * lengths(base64).max(initial=0.0)
     step = max(1, limit // max(1, len(base)))
     for at in range(0, len(queries), step):
         q = queries[at : at + step].astype(float)
@@ -126,7 +173,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids:
         score = q @ base64.T
         score[own[:, None] == base_ids[None]] = -np.inf
         if len(base) > k:
-            bar = np.partition(score, len(base) - k, axis=1)[:, len(base) - k] - 1e-9
+            bar = np.partition(score, len(base) - k, axis=1)[:, len(base) - k] - slack * lengths(q)
         else:
             bar = np.full(len(q), -np.finfo(float).max)
         i, j = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
@@ -203,7 +250,8 @@ class Merged:
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows that take part: an id, and a finite, non-zero vector without null components."""
-    x = vectors[vector_col].cast("array<float>")
+    single = vectors.schema[vector_col].dataType == ArrayType(FloatType(), vectors.schema[vector_col].dataType.containsNull)
+    x = vectors[vector_col] if single else vectors[vector_col].cast("array<double>")
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), x.alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return rows.where(
@@ -218,58 +266,66 @@ def nearest(
 
     Queries are the rows whose id is divisible by ``every``; candidates are all others than the query's own
     id.  Vectors are lifted to unit length so that angles order inner products, and hashed to the
-    nearest signed axis after pseudo-rotations.  A query probes the nearest buckets of each table; the number
-    of probes is fitted on a bounded sample, which (being sparser) asks for more than all rows do.  Every row is
-    indexed and each bucket's candidates are reranked exactly.  A query that has found fewer than ``k`` while
-    there are more candidates is run against all rows in blocks.
-
-    Rows with a null id, a null, zero or non-finite vector, or a dimension other than the most frequent (the
-    larger, if tied) take no part; rows that repeat an id count once.  An empty table gives an empty result.
+    nearest signed axes after pseudo-rotations.  A query probes the nearest buckets of each table; the number
+    of hashes and of probes is fitted on a bounded sample, which (being sparser) asks for more than all rows do.  Every
+    row is indexed and each bucket's candidates are reranked exactly, in double precision.  A query that has found fewer
+    than ``k`` while there are more candidates is run against all rows in blocks.
+
+    Single-precision vectors stay so, others are taken in double precision.  Rows with a null id, a null, zero or
+    non-finite vector, or a dimension other than the most frequent (the
+    larger, if tied) take no part; of rows that repeat an id the least vector counts.  An empty table gives an empty
+    result.  Other columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"])
+    rows = usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = written(rows, "vectors")
     size = F.size("embedding")
     common = rows.groupBy(size.alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dimension = common["d"]
-    rows = rows.where(size == dimension)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    dimension, total = common["d"], common["count"]
+    whole, rows = rows, rows.where(size == dimension)
+    top = F.array_max(F.transform("embedding", F.abs)).cast("double")
+    norm = top * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v.cast("double") / top) * (v.cast("double") / top)))
     low, longest = rows.agg(F.min(norm), F.max(norm)).first()
     flat = low > longest * (1 - 1e-6)
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("embedding").toArrow()
-    probes = fitted_probes(_matrix(sample["embedding"], dimension), k, tables, longest, flat)
-    schema = "tab int, bucket int, asks boolean, vec_id long, embedding array<float>"
-    hashed = rows.mapInArrow(_hashed(dimension, probes, tables, longest, flat, every), schema)
-    # a bucket with many candidates is split by salt, and its queries go to every part
-    parts = written(hashed.where("not asks").groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "buckets")
-    parted = hashed.join(F.broadcast(parts) if tables * 4 * dimension < 1 << 16 else parts, ["tab", "bucket"])
-    salt = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    hashes, probes = fitted(_matrix(sample["embedding"], dimension), k, tables, longest, flat, total, every)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    schema = f"tab int, bucket int, asks boolean, vec_id long, embedding {kind}"
+    hashed = rows.mapInArrow(_hashed(dimension, hashes, probes, tables, longest, flat, every), schema)
+    # buckets with many candidates or queries are blocks of both: each candidate meets each query in one of them
+    def blocks(which: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.count(F.when(which, 1)) / BLOCK)).cast("int")
+
+    parts = hashed.groupBy("tab", "bucket").agg(blocks(~F.col("asks")).alias("down"), blocks(F.col("asks")).alias("across"))
+    parts = written(parts.where("down > 1 or across > 1"), "buckets")
+    parted = hashed.join(parts, ["tab", "bucket"], "left")
+    down, across = F.coalesce("down", F.lit(1)), F.coalesce("across", F.lit(1))
+    mine = F.xxhash64("vec_id")
+    salts = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), down - 1), lambda i: i * across + F.pmod(mine, across).cast("int"))).otherwise(
+        F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.pmod(mine, down).cast("int") * across + j)
     )
-    dealt = parted.withColumn("salt", F.explode(salt)).select("tab", "bucket", "salt", "asks", "vec_id", "embedding")
+    dealt = parted.withColumn("salt", F.explode(salts)).select("tab", "bucket", "salt", "asks", "vec_id", "embedding")
     dealt = dealt.repartition("tab", "bucket", "salt").sortWithinPartitions("tab", "bucket", "salt", "asks")
-    found = written(dealt.mapInArrow(_ranked(dimension, k), FOUND), "found")
-    total = rows.count()
+    found = finished(dealt.mapInArrow(_ranked(dimension, k), FOUND), "found", parts)
     queries = rows.where(F.col("vec_id") % every == 0)
     held = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
     short = queries.join(held, F.col("vec_id") == F.col("query_id"), "left").where(
         F.coalesce("n", F.lit(0)) < min(k, total - 1)
     )
     short = written(short.select("vec_id", "embedding"), "short")
-    if short.head(1):
-        found = found.unionByName(exhaustive(short, rows, dimension, k))
+    every_one = found.unionByName(exhaustive(short, rows, dimension, k)) if short.head(1) else found
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(first))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = every_one.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(first))
+    return finished(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest", whole, found, short)
 
 
 def exhaustive(queries: DataFrame, rows: DataFrame, dimension: int, k: int) -> DataFrame:
     """``queries`` against all ``rows``, block by block: both are dealt out in parts of BLOCK rows at most."""
-    parts = -(-rows.count() // BLOCK)
-    base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("salt"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("salt"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    both = base.unionByName(asked).select(F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "salt", "asks", "vec_id", "embedding")
+    down, across = (-(-x.count() // BLOCK) for x in (rows, queries))
+    mine = F.xxhash64("vec_id")
+    base = rows.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: F.pmod(mine, F.lit(down)) * across + j)).alias("salt"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asked = queries.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda i: i * across + F.pmod(mine, F.lit(across)))).alias("salt"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    both = base.unionByName(asked).select(F.lit(0).alias("tab"), F.lit(0).alias("bucket"), F.col("salt").cast("int").alias("salt"), "asks", "vec_id", "embedding")
     return both.repartition("salt").sortWithinPartitions("salt", "asks").mapInArrow(_ranked(dimension, k), FOUND)
-
