@@ -520,6 +520,8 @@ def test_tokens(spark):
     rng = random.Random(8)
     letters = [*" \t\n\r'  stmdrevlab ABC12½é中 　.,!?-", "'re", "'ll", "<|endoftext|>", "  ", "😀", "́", "²", "n't", " the"]
     texts = [None, "", "a" * 5000, " " * 3000 + "x", "ab cd " * 2000, *["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)]]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x2000, 0xD7FF), rng.randrange(0x10000, 0x1F9FF)])) for _ in range(50)) for _ in range(300)]
+    texts += ["ab" * 4000 + "é" * 900, words(rng, 150_000, "etaoinshr"), "x" * 700_000 + " the end", texts[7], texts[7]]
     got = {r.doc_id: r for r in tokens.token_counts(docs_of(spark, texts), path).collect()}
     want = [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [got[i].n_tokens for i in range(len(texts))] == want
@@ -527,6 +529,52 @@ def test_tokens(spark):
     assert tokens.token_counts(docs_of(spark, []), path).count() == 0
 
 
+def test_classes_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    kinds = tokens.classes()
+    for point in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
+        c = chr(point)
+        kind = tokens.LETTER if len(split("a" + c)) == 1 else tokens.NUMBER if len(split("1" + c)) == 1 else tokens.OTHER if len(split("!" + c)) == 1 else tokens.BLANK
+        assert kinds[point] == kind
+
+
+def test_transitions_add_up_to_the_merges_of_every_prefix():
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in json.load(file)["model"]["merges"]]
+    machine = tokens.Transducer({x: i for i, x in enumerate(pairs)})
+    rng = random.Random(12)
+    for _ in range(300):
+        word = "".join(rng.choice("etaoin shrdlu'é") for _ in range(rng.randint(1, 40))).encode()
+        symbols = [machine.symbol[b] for b in word]
+        for n in range(1, len(word) + 1):
+            assert machine.run(word[:n]) == len(machine.merged(symbols[:n]))
+        assert machine.once(word) == machine.run(word)
+
+
+def test_long_texts_are_cut_where_words_start(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 50)
+    rng = random.Random(3)
+    text = "".join(rng.choice(["a b", "it's ", "  ", "12 ", "é x", "'re go", "y" * 80]) for _ in range(400))
+    parts = list(tokens._pieces(text))
+    assert "".join(parts) == text and len(parts) > 10
+
+    def starts(x):
+        return tokens.word_starts(np.frombuffer(x.encode("utf-32-le"), np.uint32), np.array([0]))
+
+    at, apart = 0, []
+    for part in parts:
+        apart += (starts(part) + at).tolist()
+        at += len(part)
+    assert apart == starts(text).tolist()
+
+
 def test_chunk_maps_compose_as_one_run():
     rng = np.random.default_rng(9)
     text = "".join(rng.choice(list("ab 1.'s\n"), 3000))

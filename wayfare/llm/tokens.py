@@ -1,20 +1,22 @@
 """Token counts by finite-state transducers (operator 8).
 
-Byte-level BPE is a cascade.  The first machine splits a text into words: it reads
+Byte-level BPE is a cascade of two machines.  The first splits a text into words: it reads
 character classes with two characters of lookahead and has eight states.  The second
-has an arc for each word, annotated with the number of tokens that the merges leave of
-it; arcs are compiled when a word is first met.
+reads the bytes of a word, and each of its transitions is annotated with the change in the number of tokens; its
+transitions are compiled from the merges when they are first taken.
 
 The first machine is deterministic, so a chunk of text is a map from the state before it
 to the state after it.  Chunks of all texts of a batch are run side by side from every
 state at once, their maps compose by a parallel prefix scan, and a second run, now from
-known states, marks where words start.
+known states, marks where words start.  A chunk's count depends on the state before it alone; as the scan has
+found that, the counts of the pairs (state, count) add up by running sums.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -31,11 +33,16 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, ONE_MORE, TWO_MORE, IN_BL
 STATES = 8
 WORD_STARTS = 8  # flag on a state
 CHUNK = 128
-#: Characters that are run at once, and arcs that are kept.
+#: Characters that are run at once, about.
 RUN = 1 << 19
-ARCS = 400_000
-#: Words of so many bytes are compiled pair by pair, longer ones with a queue.
-SHORT = 32
+#: States and words that are kept, about.
+STATES_KEPT, WORDS_KEPT = 1_000_000, 1_000_000
+#: Words of at most so many characters are looked up by hash.
+SHORT = 64
+#: Words of more bytes leave no states behind.
+LONG = 1024
+#: A letter before a space.
+BEFORE_CUT = re.compile(r"[A-Za-z](?= )")
 NEVER = 1 << 30
 
 
@@ -64,6 +71,19 @@ def _goes_to(state: int, c: int, n1: int, n2: int) -> tuple[int, bool]:
     return IN_LETTERS if letter else IN_NUMBERS if c == NUMBER else IN_OTHERS, True
 
 
+#: Letters and numbers that Unicode 16 added, which the tokenizer library knows and Python 3.13 does not (fixed values).
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9),
+    (0x1E5F1, 0x1E5FA),
+)
+
+
 @cache
 def machine() -> np.ndarray:
     """Transitions by (first character of a text, class, next, next but one) and state."""
@@ -88,6 +108,9 @@ def classes() -> np.ndarray:
             table[point] = LETTER
         elif kind == "N":
             table[point] = NUMBER
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for first, last in ranges:
+            table[first : last + 1] = kind
     # white space is a fixed list of Unicode's
     for point in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
         table[point] = BLANK
@@ -135,69 +158,173 @@ def composed(maps: np.ndarray) -> np.ndarray:
     return np.r_[np.uint8(START), scan[:-1, START]]
 
 
-class Arcs(dict):
-    """Words with the number of tokens that each emits."""
+class Transducer:
+    """The merges of a byte-level BPE as a deterministic machine over the bytes of a word.
+
+    A state is what has been read of a word; its last token and the number of tokens so far go with it.  The
+    transition by a byte is annotated with how that number changes.  Transitions are compiled when they are first
+    taken, and from the states before alone: a token t that ends here is the last one if what was read before it is
+    nothing, or ends in a token that stays apart from t when both are merged.  One does, whatever else the word holds.
+    """
 
     def __init__(self, merges: dict[tuple[str, str], int]):
-        super().__init__()
         self.merges = merges
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         # bytes that print stand for themselves, others for code points from 256 up
         self.symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= ARCS:
-            self.clear()
-        parts = [self.symbol[b] for b in word.encode("utf-8")]
-        self[word] = count = self.compiled(parts) if len(parts) > SHORT else self.compiled_short(parts)
-        return count
-
-    def compiled_short(self, parts: list[str]) -> int:
-        """As ``compiled``, by looking at all pairs for each merge."""
+        self.tokens = {*self.symbol.values(), *(a + b for a, b in merges)}
+        self.longest = max(map(len, self.tokens))
+        self.apart: dict[tuple[str, str], bool] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Forgets all states but the first."""
+        self.to: dict[int, int] = {}
+        self.emitted: dict[int, int] = {}
+        self.count, self.last, self.before, self.read = [0], [""], [-1], [""]
+
+    def merged(self, parts: list[str]) -> list[str]:
+        """What is left after all merges, lowest rank first and leftmost among equals."""
         rank = self.merges.get
-        ranks = [rank(x, NEVER) for x in zip(parts, parts[1:])]  # noqa: B905
-        while ranks and (least := min(ranks)) != NEVER:
+        while len(parts) > 1:
+            ranks = [rank(x, NEVER) for x in zip(parts, parts[1:])]  # noqa: B905
+            least = min(ranks)
+            if least == NEVER:
+                break
             i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
-        return len(parts)
-
-    def compiled(self, parts: list[str | None]) -> int:
-        """Tokens left after all merges, lowest rank first and leftmost among equals."""
-        after = [*range(1, len(parts)), -1]
-        before = [*range(-1, len(parts) - 1)]
-        queue = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j >= 0 and (rank := self.merges.get((parts[i], parts[j]))) is not None:
-                heapq.heappush(queue, (rank, i, parts[i], parts[j]))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        left = len(parts)
-        while queue:
-            _, i, a, b = heapq.heappop(queue)
-            j = after[i] if parts[i] == a else -1
-            if j < 0 or parts[j] != b:
-                continue
-            parts[i], parts[j] = a + b, None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            left -= 1
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return left
-
-
-def counts(texts: list[str], arcs: Arcs, specials: list[str]) -> np.ndarray:
+        return parts
+
+    def stay_apart(self, s: str, t: str) -> bool:
+        """Whether the tokens ``s`` (or nothing) and ``t`` are what the merges leave of both."""
+        found = self.apart.get((s, t))
+        if found is None:
+            found = self.apart[s, t] = self.merged(list(s + t)) == ([s, t] if s else [t])
+        return found
+
+    def compiled(self, key: int) -> int:
+        """The state that a transition (state, byte) leads to, with its annotation."""
+        state, byte = divmod(key, 256)
+        suffix, origin = self.symbol[byte], state
+        # the last token, sought among the suffixes of what was read
+        while not (suffix in self.tokens and self.stay_apart(self.last[origin], suffix)):
+            if not origin or len(suffix) > self.longest:
+                raise ValueError("the merges do not make a machine: no token ends here")
+            suffix, origin = self.read[origin] + suffix, self.before[origin]
+        new = len(self.count)
+        self.count.append(self.count[origin] + 1)
+        self.last.append(suffix)
+        self.before.append(state)
+        self.read.append(self.symbol[byte])
+        self.to[key] = new
+        self.emitted[key] = self.count[new] - self.count[state]
+        return new
+
+    def run(self, word: bytes) -> int:
+        """Tokens of a word: the sum of the annotations on its path."""
+        if len(word) > LONG:
+            return self.once(word)
+        if len(self.count) > STATES_KEPT:
+            self.restart()
+        state = total = 0
+        to, emitted = self.to, self.emitted
+        for byte in word:
+            key = state << 8 | byte
+            after = to.get(key)
+            state = self.compiled(key) if after is None else after
+            total += emitted[key]
+        return total
+
+
+    def once(self, word: bytes) -> int:
+        """The same of a very long word, whose states are not kept."""
+        read = [self.symbol[b] for b in word]
+        count, last = [0], [""]
+        for end in range(1, len(read) + 1):
+            begin = end - 1
+            suffix = read[begin]
+            while not (suffix in self.tokens and self.stay_apart(last[begin], suffix)):
+                if not begin or len(suffix) > self.longest:
+                    raise ValueError("the merges do not make a machine: no token ends here")
+                begin -= 1
+                suffix = read[begin] + suffix
+            count.append(count[begin] + 1)
+            last.append(suffix)
+        return count[-1]
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    """base**0, base**1, ... modulo 2**64."""
+    out = np.full(count, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """Token counts of words that were run before, by hash, so that a batch looks all of its words up at once."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
+        self.up = self.down = np.zeros(0, np.uint64)
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
+
+    def hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each word of at most ``SHORT`` characters, from prefix sums of a polynomial modulo 2**64."""
+        if len(self.up) <= len(points):
+            base = int(np.random.default_rng(17).integers(1 << 60, 1 << 62)) * 8 + 5
+            self.up, self.down = (powers(x, len(points) + RUN) for x in (base, pow(base, -1, 1 << 64)))
+        value = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        upto = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(value * self.up[: len(points)], out=upto[1:])
+        held = (upto[ends] - upto[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
+        held ^= held >> np.uint64(32)
+        return held * np.uint64(0xD6E8FEB86659FD93)
+
+    def emitted(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each word of ``text``."""
+        out = np.zeros(len(starts), np.int64)
+        long = ends - starts > SHORT
+        for i in np.flatnonzero(long):
+            out[i] = self.machine.run(text[starts[i] : ends[i]].encode("utf-8"))
+        own = np.flatnonzero(~long)
+        if not len(own):
+            return out
+        names, first, place = np.unique(self.hashes(points, starts[own], ends[own]), return_index=True, return_inverse=True)
+        found, missing = np.zeros(len(names), np.int64), np.ones(len(names), bool)
+        for keys, values in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, names), len(keys) - 1)
+                hit = keys[at] == names
+                found[hit], missing = values[at[hit]], missing & ~hit
+        new = np.flatnonzero(missing)
+        run = self.machine.run
+        for i in new.tolist():
+            w = own[first[i]]
+            found[i] = run(text[starts[w] : ends[w]].encode("utf-8"))
+        self.learn(names[new], found[new])
+        out[own] = found[place]
+        return out
+
+    def learn(self, names: np.ndarray, counts: np.ndarray) -> None:
+        """Adds new words to the small table, and that to the large one when it has grown."""
+        if not len(names):
+            return
+
+        def joined(a, b):
+            keys, values = (np.concatenate(x) for x in zip(a, b, strict=True))
+            order = np.argsort(keys)
+            return keys[order], values[order]
+
+        large, small = self.known
+        small = joined(small, (names, counts))
+        if len(small[0]) > 1 << 14:
+            large, small = small if len(large[0]) > WORDS_KEPT else joined(large, small), (small[0][:0], small[1][:0])
+        self.known = [large, small]
+
+
+def counts(texts: list[str], words: Words, specials: list[str]) -> np.ndarray:
     """Tokens of each text; special strings are cut out first and emit one token each."""
     out = np.zeros(len(texts), np.int64)
     held: list[str] = []
@@ -212,11 +339,11 @@ def counts(texts: list[str], arcs: Arcs, specials: list[str]) -> np.ndarray:
             sizes = np.array([len(x) for x in held])
             begins = np.cumsum(sizes) - sizes
             starts = word_starts(points, begins)
-            ends = np.r_[starts[1:], len(points)]
-            words = [joined[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            emitted = np.fromiter(map(arcs.__getitem__, words), np.int64, len(words))
-            at = np.searchsorted(begins, starts, "right") - 1
-            np.add.at(out, np.array(owners)[at], emitted)
+            emitted = words.emitted(joined, points, starts, np.r_[starts[1:], len(points)])
+            # states are known, so the counts of the scan's (state, count) pairs are running sums
+            upto = np.r_[0, np.cumsum(emitted)]
+            edges = np.searchsorted(starts, np.r_[begins, len(points)])
+            np.add.at(out, np.array(owners), np.diff(upto[edges]))
         held.clear()
         owners.clear()
         size = 0
@@ -227,30 +354,56 @@ def counts(texts: list[str], arcs: Arcs, specials: list[str]) -> np.ndarray:
             segments = [y for x in segments for y in _between(x, special)]
         out[i] += len(segments) // 2
         for segment in segments[::2] if len(segments) > 1 else segments:
-            if segment:
-                held.append(segment)
+            for piece in _pieces(segment):
+                if size + len(piece) > 2 * RUN:
+                    flush()
+                held.append(piece)
                 owners.append(i)
-                size += len(segment)
+                size += len(piece)
         if size >= RUN:
             flush()
     flush()
     return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """Long texts in parts, cut between a letter and a space, where a word starts whatever comes before and after."""
+    at = 0
+    while len(text) - at > RUN:
+        cut = text.rfind(" ", at + 1, at + RUN)
+        while cut > at and not BEFORE_CUT.match(text, cut - 1):
+            cut = text.rfind(" ", at + 1, cut)
+        if cut <= at:
+            found = BEFORE_CUT.search(text, at + RUN - 1)
+            if found is None:
+                break
+            cut = found.end()
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
+
+
 def _between(text: str, special: str) -> list[str]:
     """What lies between occurrences of ``special``, and the occurrences, in turn."""
     parts = text.split(special)
     return [x for p in parts for x in (p, special)][:-1]
 
 
-def _counted(merges, specials):
+#: What this Python worker has compiled, by digest of the merges.
+_COMPILED: dict[str, Words] = {}
+
+
+def _counted(merges, digest: str, specials: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arcs = Arcs(merges.value)
+        if digest not in _COMPILED:
+            _COMPILED[digest] = Words(Transducer(merges.value))
+        words = _COMPILED[digest]
         for batch in batches:
             texts = [x or "" for x in batch["text"].to_pylist()]
             sizes = pa.array([len(x.encode("utf-8")) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], sizes, pa.array(counts(texts, arcs, specials))], names=["doc_id", "n_bytes", "n_tokens"]
+                [batch["doc_id"], sizes, pa.array(counts(texts, words, specials))], names=["doc_id", "n_bytes", "n_tokens"]
             )
 
     return run
@@ -269,8 +422,9 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         held = json.load(file)
     pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in held["model"]["merges"]]
     merges = spark.sparkContext.broadcast({x: i for i, x in enumerate(pairs)})
+    digest = hashlib.sha256(json.dumps(pairs).encode()).hexdigest()
     specials = [x["content"] for x in held["added_tokens"] if x["special"]]
     if len(specials) > 1:
         raise ValueError("more than one special string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_counted(merges, specials), "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(_counted(merges, digest, specials), "doc_id long, n_bytes long, n_tokens long")
