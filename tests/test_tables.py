@@ -10,7 +10,7 @@ from wayfare.functions import ieee, rng
 from wayfare.functions.expressions import Compiler, UnsupportedExpression, names, skims
 from wayfare.operators import aggregates, chains, inputs, lookup, sampling, timetable, tours
 from wayfare.operators import skims as matrices
-from wayfare.operators.spec import Spec, resolved, utilities
+from wayfare.operators.spec import Spec, resolved, split_stateful, utilities
 from wayfare.plans.stages import Graph
 from wayfare.sources.tables import dense_matrix, read_artifact, read_spec, write_artifact, write_matrices
 
@@ -53,6 +53,22 @@ def test_expressions(spark):
             compiler.compile(bad)
 
 
+def test_restricted_grammar_and_stateful_rows(spark):
+    df = spark.createDataFrame([(3.0, 8, 17)], "x double, start int, end int")
+    narrow = Compiler({c: F.col(c) for c in df.columns}, restricted=True)
+    assert df.select(narrow.number("(x > 2) * 3 - (start == 8 and not end < 3)")).first()[0] == 2.0
+    for bad in ("df.x", "np.log(x)", "x.clip(0, 1)", "skims['D']", "x == 'a'"):
+        with pytest.raises(UnsupportedExpression):
+            narrow.compile(bad)
+    spec = Spec("s", ("a",), ("p", "l", "q", "r"), ("x * 2", "_free@tt.remaining(person, start, end)", "_free / 2", "@tt.ends(df.person, df.start)"), ((1.0,), (0.0,), (2.0,), (3.0,)))
+    plain, stateful = split_stateful(spec)
+    assert plain.labels == ("p",) and stateful.labels == ("l", "q", "r")
+    asked = Compiler({"x": F.col("x"), "_free": F.lit(4.0)}, timetable={"ends": F.lit(True), "remaining": F.lit(4)})
+    assert df.select(asked.number("@tt.ends(df.person, df.start)"), asked.number("_free / 2")).first() == (1.0, 2.0)
+    with pytest.raises(UnsupportedExpression):
+        asked.compile("tt.unknown(x)")
+
+
 def test_specification(spark, tmp_path):
     rows = [
         {"Label": "t1", "Description": "", "Expression": "x * 2", "a": "0.1", "b": "beta"},
@@ -295,9 +311,13 @@ def test_availability(spark):
     row = {"i_tour_mode": 13, "auto_ownership": 1, "outbound": True} | {f"{k}_{s}": 1 for k in ("WLK", "DRV", "BRV") for s in inputs.TRANSIT}
     got = inputs.trip_availability(spark.createDataFrame([row])).first()
     assert got.walk_com_available and not got.drive_loc_available
-    times = {f"{d}_{m}": 100.0 for d in ("out", "in") for m in ("SOV", "HOV2", "HOV3", "WALK", "BIKE", *[f"{w}_{s}" for w in ("WLK", "DRV") for s in inputs.TRANSIT])}
-    got = inputs.tour_availability(spark.createDataFrame([times | {"auto_ownership": 0, "in_SOV": 0.0}])).first()
-    assert not got.sov_available and got.hov2_available and got.walk_loc_available and not got.drive_loc_available
+    times = dict.fromkeys(inputs.tour_availability_columns(), 100.0) | {"auto_ownership": 0}
+    got = inputs.tour_availability(spark.createDataFrame([times | {"in_SOV_TIME": 0.0, "in_SOVTOLL_VTOLL": 0.0, "in_HOV2_TIME": 0.0, "in_WLK_EXP_WLK_KEYIVT": 0.0}])).first()
+    assert not got.sov_available and got.sovtoll_available and got.hov2_available and got.walk_express_available and not got.drive_local_available
+    none = {"auto_ownership": 1, "out_WLK_LRF_WLK_FERRYIVT": 0.0, "in_WLK_LRF_WLK_FERRYIVT": 0.0, "in_WLK_LRF_DRV_KEYIVT": 0.0, "out_DRV_LRF_WLK_KEYIVT": 0.0}
+    got = inputs.tour_availability(spark.createDataFrame([times | none])).first()
+    assert got.walk_lrf_available and not got.walk_ferry_available and not got.drive_lrf_available and got.drive_local_available
+    assert sum(c.endswith("_available") for c in got.asDict()) == 18
 
 
 def test_artifacts_matrices_and_stages(spark, tmp_path):

@@ -56,8 +56,18 @@ def skims(text: str) -> list[tuple[str, str, str]]:
     return found
 
 
+def is_stateful(text: str) -> bool:
+    """Whether an expression asks the timetable."""
+    return any(isinstance(node, ast.Name) and node.id == "tt" for node in ast.walk(parsed(text)))
+
+
 class Compiler:
-    """Compiles trees over named Columns; ``booleans`` tells which names are true or false."""
+    """Compiles trees over named Columns; ``booleans`` tells which names are true or false.
+
+    ``restricted`` leaves names, constants, arithmetic, comparisons and logic, without calls, attributes, subscripts
+    and text, as utilities of schedules are written (E12).  ``timetable`` names what ``tt.`` calls stand for; their
+    arguments are the row's own person and hours, so they are not compiled (E15).
+    """
 
     def __init__(
         self,
@@ -65,8 +75,11 @@ class Compiler:
         constants: Mapping[str, float] | None = None,
         booleans: set[str] | frozenset[str] = frozenset(),
         lookup: Lookup | None = None,
+        restricted: bool = False,
+        timetable: Mapping[str, Column] | None = None,
     ):
         self.columns, self.constants, self.booleans, self.lookup = columns, constants or {}, set(booleans), lookup
+        self.restricted, self.timetable = restricted, timetable or {}
 
     def compile(self, text: str) -> Column:
         return self._visit(parsed(text))[0]
@@ -77,7 +90,7 @@ class Compiler:
 
     def _visit(self, node: ast.AST) -> tuple[Column, bool]:
         method = getattr(self, f"_{type(node).__name__.lower()}", None)
-        if method is None:
+        if method is None or self.restricted and isinstance(node, (ast.Attribute, ast.Call, ast.Subscript)):
             raise UnsupportedExpression(ast.unparse(node))
         return method(node)
 
@@ -86,7 +99,7 @@ class Compiler:
             return F.lit(node.value), True
         if isinstance(node.value, (int, float)):
             return F.lit(float(node.value)), False
-        if isinstance(node.value, str):
+        if isinstance(node.value, str) and not self.restricted:
             return F.lit(node.value), False
         raise UnsupportedExpression(repr(node.value))
 
@@ -165,6 +178,8 @@ class Compiler:
         if not isinstance(node.func, ast.Attribute):
             raise UnsupportedExpression(ast.unparse(node))
         name, owner = node.func.attr, node.func.value
+        if isinstance(owner, ast.Name) and owner.id == "tt" and name in self.timetable:
+            return self.timetable[name], False
         if isinstance(owner, ast.Name) and owner.id == "np":
             values = [self._visit(x) for x in node.args]
             numbers = [v.cast("double") for v, _ in values]

@@ -115,6 +115,21 @@ def make_choices(df: DataFrame, probs: str, draw: str, allow_bad: bool = False,
     return df.withColumn("choice", choose_from_probabilities(p, F.col(draw)))
 
 
+def choose_fixed(df: DataFrame, utilities: str, draw: str) -> DataFrame:
+    """Adds choice and logsum of a small fixed model: probabilities cut when faint and held in [0, 1], taken by ordered
+    subtraction; the first largest utility if none is reached: A9."""
+    probs, logsum = probabilities(F.col(utilities))
+    held = df.withColumn("_p", F.transform(probs, lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))).withColumn("logsum", logsum)
+    start = F.struct(checked_draw(F.col(draw)).alias("left"), F.lit(0).alias("at"), F.lit(-1).alias("found"))
+
+    def step(a: Column, p: Column) -> Column:
+        left = a["left"] - p
+        return F.struct(left.alias("left"), (a["at"] + 1).alias("at"), F.when((a["found"] < 0) & (left <= 0), a["at"]).otherwise(a["found"]).alias("found"))
+
+    hit = F.aggregate("_p", start, step, lambda a: a["found"])
+    return held.withColumn("choice", F.when(hit >= 0, hit).otherwise(largest(F.col(utilities)))).drop("_p")
+
+
 def labelled(choice: Column, labels: list) -> Column:
     """Positions to labels; -1 stays: A4."""
     return F.when(choice >= 0, F.element_at(F.array(*map(F.lit, labels)), choice + 1)).otherwise(F.lit(-1))
@@ -188,3 +203,16 @@ def choose_long(rows: DataFrame, chooser: str, position: str, utility: str, draw
         F.when(some, F.max("_top") + F.log(F.max("_total"))).otherwise(NONE).alias("logsum"),
         F.min(F.abs(F.col("_upto") - bar)).alias("boundary_distance"),
     )
+
+
+def choose_long_single(rows: DataFrame, chooser: str, position: str, utility: str, draw: str) -> DataFrame:
+    """(chooser, choice, boundary_distance) as schedules are chosen: utilities and probabilities in single precision, the
+    draw less each probability in double; the last row if nothing is reached: A23."""
+    own = Window.partitionBy(chooser)
+    u = F.col(utility).cast("float").cast("double")
+    held = rows.withColumn("_u", u).withColumn("_w", F.exp(F.col("_u") - F.max("_u").over(own)).cast("float").cast("double"))
+    p = (F.col("_w") / F.sum("_w").over(own).cast("float").cast("double")).cast("float").cast("double")
+    left = checked_draw(F.col(draw)) - F.sum("_p").over(own.orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_p", p).withColumn("_left", left)
+    hit = F.min(F.when(F.col("_left") <= 0, F.col(position)))
+    return held.groupBy(chooser).agg(F.coalesce(hit, F.max(position)).alias("choice"), F.min(F.abs("_left")).alias("boundary_distance"))

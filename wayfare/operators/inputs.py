@@ -70,20 +70,51 @@ WALK_FROM = {"LOC": 9, "LRF": 10, "EXP": 11, "HVY": 12, "COM": 13}
 DRIVE_FROM = {"LOC": 14, "LRF": 15, "EXP": 16, "HVY": 17, "COM": 18}
 
 
-def tour_availability(tours: DataFrame, times: str = "time") -> DataFrame:
-    """Adds availability of each mode of a tour from out- and inbound times, in hundredths for transit.
-
-    Needs ``out_/in_`` columns of SOV, HOV2, HOV3, WALK, BIKE times and of WLK_x and DRV_x in-vehicle time; driving to
-    transit needs a car.
+#: How both directions of an automobile matrix decide, and which services need time on their own line besides (fixed values).
+AUTOS = {
+    "sov": ("SOV_TIME", "both"),
+    "sovtoll": ("SOVTOLL_VTOLL", "either"),
+    "hov2": ("HOV2_TIME", "sum"),
+    "hov2toll": ("HOV2TOLL_VTOLL", "sum"),
+    "hov3": ("HOV3_TIME", "both"),
+    "hov3toll": ("HOV3TOLL_VTOLL", "sum"),
+}
+SERVICES_BY_LINE = {"local": "LOC", "commuter": "COM", "express": "EXP", "heavyrail": "HVY", "lrf": "LRF", "ferry": "LRF"}
+
+
+def tour_availability_columns() -> list[str]:
+    """The matrix columns that ``tour_availability`` reads, each out and in."""
+    legs = [f"out_{a}_{s}_WLK_{t}" for a in ("WLK", "DRV") for s in TRANSIT for t in ("TOTIVT", "KEYIVT")]
+    legs += [f"in_WLK_{s}_{e}_{t}" for e in ("WLK", "DRV") for s in TRANSIT for t in ("TOTIVT", "KEYIVT")]
+    ferry = ["out_WLK_LRF_WLK_FERRYIVT", "out_DRV_LRF_WLK_FERRYIVT", "in_WLK_LRF_WLK_FERRYIVT"]
+    return [f"{way}_{key}" for key, _ in AUTOS.values() for way in ("out", "in")] + legs + ferry
+
+
+def tour_availability(tours: DataFrame) -> DataFrame:
+    """Adds the 18 availabilities of a tour's modes from out- and inbound matrix values, hundredths for transit.
+
+    Reads ``tour_availability_columns`` and auto_ownership.  Transit needs time in vehicles both ways; all but the local
+    bus also time on the service's own line, in one direction at least, and the ferry time aboard; driving to transit
+    needs a car.
     """
-    out = tours
-    for mode in ("SOV", "HOV2", "HOV3", "WALK", "BIKE"):
-        out = out.withColumn(f"{mode.lower()}_available", round_trip(F.col(f"out_{mode}"), F.col(f"in_{mode}")))
-    for service in TRANSIT:
-        walk = round_trip(F.col(f"out_WLK_{service}") / 100, F.col(f"in_WLK_{service}") / 100)
-        drive = round_trip(F.col(f"out_DRV_{service}") / 100, F.col(f"in_DRV_{service}") / 100) & (F.col("auto_ownership") > 0)
-        out = out.withColumn(f"walk_{service.lower()}_available", walk).withColumn(f"drive_{service.lower()}_available", drive)
-    return out
+
+    def total(out: str, back: str) -> Column:
+        return F.col(f"out_{out}") / 100 + F.col(f"in_{back}") / 100
+
+    found = {}
+    for mode, (key, how) in AUTOS.items():
+        out, back = F.col(f"out_{key}"), F.col(f"in_{key}")
+        found[mode] = {"both": round_trip(out, back), "either": (out > 0) | (back > 0), "sum": out + back > 0}[how]
+    for way, there, home in (("walk", "WLK", "WLK"), ("drive", "DRV", "DRV")):
+        for service, line in SERVICES_BY_LINE.items():
+            out, back = f"{there}_{line}_WLK", f"WLK_{line}_{home}"
+            open_ = round_trip(F.col(f"out_{out}_TOTIVT") / 100, F.col(f"in_{back}_TOTIVT") / 100)
+            if service != "local":
+                open_ = open_ & (total(f"{out}_KEYIVT", f"{back}_KEYIVT") > 0)
+            if service == "ferry":
+                open_ = open_ & (total(f"{out}_FERRYIVT", "WLK_LRF_WLK_FERRYIVT") > 0)
+            found[f"{way}_{service}"] = open_ & (F.col("auto_ownership") > 0) if way == "drive" else open_
+    return tours.withColumns({f"{mode}_available": value for mode, value in found.items()})
 
 
 def trip_availability(trips: DataFrame) -> DataFrame:

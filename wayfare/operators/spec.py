@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.functions.expressions import Compiler, names, skims
+from wayfare.functions.expressions import Compiler, is_stateful, names, skims
 from wayfare.operators.choice import linear_utilities
 
 FORMAT = "wayfare-specification-2"
@@ -85,6 +85,27 @@ def _value(expression: str) -> str:
     return expression.split("@", 1)[1] if is_local(expression) else expression
 
 
+def split_stateful(spec: Spec) -> tuple[Spec, Spec]:
+    """(rows that any batch can compute beforehand, rows that need the timetable of the moment): E15.
+
+    A row is stateful if it asks the timetable, or reads a local that does; such locals go with it.
+    """
+    asking: set[str] = set()
+    for name, expression in spec.locals:
+        if is_stateful(expression) or names(expression) & asking:
+            asking.add(name)
+    rows = list(zip(spec.labels, spec.expressions, spec.coefficients, strict=True))
+
+    def late(expression: str) -> bool:
+        return is_stateful(_value(expression)) or bool(names(_value(expression)) & asking)
+
+    def part(stateful: bool) -> Spec:
+        own = [r for r in rows if late(r[1]) is stateful]
+        return Spec(f"{spec.name}-{'stateful' if stateful else 'plain'}", spec.alternatives, *(tuple(x) for x in zip(*own, strict=True))) if own else Spec(spec.name, spec.alternatives, (), (), ())
+
+    return part(False), part(True)
+
+
 def write_document(spec: Spec, path: str) -> None:
     with open(path, "w") as out:
         json.dump(spec.document(), out, indent=1)
