@@ -1,6 +1,7 @@
 """All registered queries of the choice operators, with their SQL."""
 
-from wayfare.plans import choice_queries, table_queries
+from wayfare.plans import choice_queries, component_queries, table_queries
 
-QUERIES: dict = choice_queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL: dict[str, str] = choice_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+_PARTS = (choice_queries, table_queries, component_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

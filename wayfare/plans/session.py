@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders of sessions on one machine that set none, by application.
+_OWN: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder's name that the driver and every executor see, in ``spark.checkpoint.dir``.
+
+    Where a session on one machine has set none, as in tests, it is in a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        folder = _OWN.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _OWN[app] = folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str = "*", partitions: int = 8, **settings: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", str(partitions))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.functions.rng import Ledger
 from wayfare.sources.tables import artifact_metadata, read_artifact, write_artifact
 
 
@@ -21,6 +22,8 @@ class Graph:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     versions: dict[str, int] = field(default_factory=dict)
+    #: Draw ledgers of tables' entities, by table.
+    ledgers: dict[str, Ledger] = field(default_factory=dict)
     sealed: bool = False
 
     def ingress(self, name: str, df: DataFrame) -> None:
@@ -58,10 +61,19 @@ class Graph:
         return self.tables[name].select(*columns)
 
     def checkpoint(self, folder: str, names: list[str], metadata: dict | None = None) -> None:
+        """Writes tables with their versions, and the ledgers that go with them, so that draws go on where they stood."""
         for name in names:
-            write_artifact(self.tables[name], f"{folder}/{name}", {"version": self.versions[name], **(metadata or {})})
+            held = {"version": self.versions[name], **(metadata or {})}
+            if name in self.ledgers:
+                held["entity"] = self.ledgers[name].entity
+                write_artifact(self.ledgers[name].rows, f"{folder}/{name}-ledger")
+            write_artifact(self.tables[name], f"{folder}/{name}", held)
 
     def restore(self, folder: str, names: list[str]) -> None:
+        """Reads what ``checkpoint`` wrote; a table that differs from its manifest raises."""
         for name in names:
             self.tables[name] = read_artifact(self.spark, f"{folder}/{name}")
-            self.versions[name] = artifact_metadata(self.spark, f"{folder}/{name}")["version"]
+            held = artifact_metadata(self.spark, f"{folder}/{name}")
+            self.versions[name] = held["version"]
+            if "entity" in held:
+                self.ledgers[name] = Ledger(read_artifact(self.spark, f"{folder}/{name}-ledger"), held["entity"])
