@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segmented_sum(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Sum of each group: partial sums before the shuffle."""
-    return rows.groupBy(group).agg(F.sum(value).alias(value))
+def segmented_sum(rows: DataFrame, group: str, value: str, *more: Column) -> DataFrame:
+    """Sum of each group, and more aggregates beside it: partial sums before the shuffle."""
+    return rows.groupBy(group).agg(F.sum(value).alias(value), *more)
 
 
 def ordered_sum(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -9,6 +9,8 @@ from wayfare.functions import ieee
 from wayfare.functions.expressions import Compiler
 from wayfare.operators import aggregates, chains, choice, inputs, lookup, scheduling, timetable, tours
 from wayfare.plans.choice_queries import _LINES, CHOOSE, draw, draw_sql, lines, rounded, table
+from wayfare.plans.session import kept
+from wayfare.sources.tables import matrix_cells
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,7 +151,7 @@ def feasible_tours(spark: SparkSession, folder: str) -> DataFrame:
     FROM ok LEFT JOIN win a ON a.id = ok.id AND a.p = s LEFT JOIN win b ON b.id = ok.id AND b.p = e LEFT JOIN win c ON c.id = ok.id AND c.p = s - 1 LEFT JOIN win d ON d.id = ok.id AND d.p = e + 1 LEFT JOIN mid ON mid.id = ok.id"""
 )
 def scheduling_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Feasible tours with what utilities ask of the timetable."""
+    """Feasible tours with what utilities ask of the timetable."""
     windows, alternatives, prints = timetabled(spark, folder)
     rows = timetable.vocabulary(timetable.feasible(windows, alternatives), prints.first, prints.width)
     return rows.select("person_id", "tdd", "previous_ends", "previous_begins", "adjacent_before", "adjacent_after", F.col("remaining").cast("int").alias("remaining"))
@@ -221,7 +223,7 @@ def tour_schedule(spark: SparkSession, folder: str) -> DataFrame:
         base = F.abs(F.col("start") - 8) * -0.1 - F.abs(F.col("end") - 17) * 0.05 + F.col("duration") * 0.02
         return rows.withColumn("utility", base + F.when(F.col("previous_ends"), 0.5).otherwise(0.0))
 
-    done = scheduling.schedule_batches(held, timetable.hourly(), utility, [1, 2], lambda df, name: df.persist())
+    done = scheduling.schedule_batches(held, timetable.hourly(), utility, [1, 2], kept)
     return done.select("tour_id", "tdd", rounded(F.col("logsum")).alias("logsum"))
 
 
@@ -333,8 +335,8 @@ def od_matrix(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dest"))
     joined = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     joined = joined.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    cells = joined.groupBy("orig", "dest").agg(F.sum(F.col("l_quantity") / 10.0).alias("value")).where("value <> 0")
-    return cells.withColumn("value", F.round("value", 3))
+    cells = matrix_cells(joined.withColumn("weight", F.lit(10.0)), {"quantity": ["l_quantity"]}, "weight")
+    return cells.select("orig", "dest", F.round("value", 3).alias("value"))
 
 
 _ZONES = """
@@ -380,7 +382,7 @@ _TIMES = {s: i for i, s in enumerate(inputs.TRANSIT)}
     + " FROM orders"
 )
 def trip_availability(spark: SparkSession, folder: str) -> DataFrame:
-    """Transit availability of trips by times, tour mode, direction and cars."""
+    """Transit availability of trips by times, tour mode, direction and cars."""
     key = F.col("o_orderkey")
     rows = table(spark, folder, "orders").select(
         "o_orderkey", (F.col("o_custkey") % 19).alias("i_tour_mode"), (F.col("o_custkey") % 3).alias("auto_ownership"), (key % 2 == 0).alias("outbound"),
@@ -404,11 +406,10 @@ def bins_and_codes(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT c_nationkey AS zone, c_mktsegment AS segment, round(sum(c_acctbal), 2) AS total, min(c_custkey) AS first FROM customer GROUP BY 1, 2"""
 )
 def segmented_sums(spark: SparkSession, folder: str) -> DataFrame:
-    """Sums by segment and each segment's first row, both by partial aggregation."""
+    """Sums by segment and each segment's first row, by one partial aggregation."""
     rows = table(spark, folder, "customer").withColumn("group", F.struct(F.col("c_nationkey").alias("zone"), F.col("c_mktsegment").alias("segment")))
-    totals = aggregates.segmented_sum(rows, "group", "c_acctbal")
-    firsts = rows.groupBy("group").agg(F.min("c_custkey").alias("first"))
-    return totals.join(firsts, "group").select("group.zone", "group.segment", F.round("c_acctbal", 2).alias("total"), "first")
+    found = aggregates.segmented_sum(rows, "group", "c_acctbal", F.min("c_custkey").alias("first"))
+    return found.select("group.zone", "group.segment", F.round("c_acctbal", 2).alias("total"), "first")
 
 
 @query(

@@ -52,19 +52,17 @@ def artifact_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(_manifest(spark, path).first()[0])["metadata"]
 
 
-def write_matrices(trips: DataFrame, fields: dict[str, list[str]], path: str, weight: str | None = None) -> None:
-    """Trip matrices in sparse long form, one partition each: cells are trips over the expansion weight.
-
-    Each field is divided once, however many matrices use it; cells without trips are left out.
-    """
+def matrix_cells(trips: DataFrame, fields: dict[str, list[str]], weight: str | None = None) -> DataFrame:
+    """(matrix, orig, dest, value): trips over the expansion weight summed by cell, cells without trips left out."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    parts = None
-    for matrix, names in fields.items():
-        value = sum((F.col(n).cast("double") for n in names), F.lit(0.0)) / w
-        one = trips.select(F.lit(matrix).alias("matrix"), "orig", "dest", value.alias("value"))
-        parts = one if parts is None else parts.unionByName(one)
-    cells = parts.groupBy("matrix", "orig", "dest").agg(F.sum("value").alias("value")).where("value <> 0")
-    cells.write.mode("errorifexists").partitionBy("matrix").parquet(path)
+    values = [F.struct(F.lit(m).alias("matrix"), (sum((F.col(n).cast("double") for n in names), F.lit(0.0)) / w).alias("value")) for m, names in fields.items()]
+    each = trips.select("orig", "dest", F.inline(F.array(*values)))
+    return each.groupBy("matrix", "orig", "dest").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
+def write_matrices(trips: DataFrame, fields: dict[str, list[str]], path: str, weight: str | None = None) -> None:
+    """Trip matrices in sparse long form, one partition each; trips are read once, however many matrices."""
+    matrix_cells(trips, fields, weight).write.mode("errorifexists").partitionBy("matrix").parquet(path)
 
 
 def dense_matrix(cells: DataFrame, zones: list[int]) -> DataFrame:
