@@ -256,10 +256,10 @@ def test_chains(spark, seed, attempts):
     assert chains.schedule_chains(df.limit(0), 5, attempts).count() == 0
     one = df.where("outbound and fixed_hour < 0").select("tour_id", "trip_id", "trip_num", "low", "high", F.col("probs"), F.col("draws")[0].alias("draw"))
     assert chains.forward_leg(one, 5).count() == one.count()
-    hour = chains.clipped_departure(F.col("probs"), 5, F.col("low"), F.col("high"), F.col("draw"), F.col("trip_num") == 1)
+    timed = chains.clipped_departures(one, "probs", 19, 5, F.col("low"), F.col("high"), F.col("draw"), F.col("trip_num") == 1, "hour")
     held = dict(zip(names_, zip(*rows, strict=True), strict=True))
     by_trip = {t: dict(zip(names_, r, strict=True)) for t, r in zip(held["trip_id"], rows, strict=True)}
-    for r in one.select("trip_id", hour.alias("hour")).collect():
+    for r in timed.select("trip_id", "hour").collect():
         t = by_trip[r.trip_id]
         assert (hour_by_hand(t, 5, t["low"], t["high"], 0, t["trip_num"] == 1) or -1) == r.hour
 

@@ -252,8 +252,8 @@ def departures(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(
         "o_orderkey", draw(key, 11).alias("z"), (key % 9 + 5).alias("low"), (F.col("o_custkey") % 10 + 14).alias("high"), (key % 2 == 0).alias("norm"), hour_probs(key).alias("p")
     )
-    hour = chains.clipped_departure(F.col("p"), 5, F.col("low"), F.col("high"), F.col("z"), F.col("norm"))
-    return rows.select("o_orderkey", hour.cast("int").alias("depart"))
+    held = chains.clipped_departures(rows, "p", PERIODS, 5, F.col("low"), F.col("high"), F.col("z"), F.col("norm"))
+    return held.select("o_orderkey", "depart")
 
 
 #: Parts of SQL for chains: hours from 1, bounds ``lo`` and ``hi``, a draw ``z``; an hour beyond ``hi`` is a failure.
