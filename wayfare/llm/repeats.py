@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import forget, small_batches, written
+from wayfare.llm.common import finished, forget, small_batches, written
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 PIECE = 1 << 19  # bytes that are hashed at once; must stay below 2**POSITION_BITS
@@ -292,8 +292,10 @@ def remove_repeats(
         .groupBy("id", "fp")
         .agg(F.collect_set(F.struct("h", "lo", "hi", "at", lone.alias("lone"))).alias("spans"))
     )
+    # lists by text are written too, so that the joins with whole texts may split a text that very many rows repeat
+    wanted = written(wanted, "wanted")
     open_ = long_enough.select("id", "fp", "text").join(wanted, ["id", "fp"]).mapInArrow(_slices(length), PART)
-    read = [found, names]
+    read, spans = [found, names, wanted], [covered]
     for size in PARTS:
         parts = written(open_.mapInArrow(_parts(length, size), PART), "parts")
         forget(*read)
@@ -302,12 +304,13 @@ def remove_repeats(
         )
         read = [parts, names]
         repeated = parts.where("lone").join(names.where("copies > 1").select("h", "c"), ["h", "c"]).select(place)
-        covered = covered.unionByName(written(repeated, "covered"))
+        spans.append(written(repeated, "covered"))
+        covered = covered.unionByName(spans[-1])
         several = names.groupBy("h").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("h")
         rest = parts.withColumn("rid", rid).join(names.join(several, "h"), ["h", "c"])
         rest = rest.where(lone | (F.col("rid") == F.col("first")))
         open_ = rest.select(*[F.col(x.split()[0]) for x in PART.split(", ")[:-2]], (lone & F.col("lone")).alias("lone"), "data")
     forget(*read)
-    by_text = covered.groupBy("id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    by_text = finished(covered.groupBy("id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "by-text", *spans)
     schema = "doc_id long, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
     return keyed.join(by_text, ["id", "fp"], "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), schema)
