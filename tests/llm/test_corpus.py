@@ -590,6 +590,97 @@ def test_chunk_maps_compose_as_one_run():
     assert whole.tolist() == slow
 
 
+def plain_tokens(text):
+    """(kind, lower case) of a text's tokens by the rules as stated, one after another; None ends a sentence."""
+    out, begins = [], True
+    for piece in re.findall(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[$€£%]|[.!?]|\n", text or ""):
+        low = piece.casefold()
+        if piece in ".!?\n":
+            out.append(None)
+            begins = True
+            continue
+        if piece[0].isdigit():
+            kind = "number"
+        elif low in decontaminate.UNITS or piece in "$€£%":
+            kind = "unit"
+        elif piece.istitle() and len(piece) > 1 and not begins:
+            kind = "name"
+        else:
+            kind = "word"
+        out.append((kind, low))
+        begins = False
+    return out
+
+
+def plain_templates(text):
+    """([(mark, value)], [token]): runs of names are one name, numbers, units and names are marks with values."""
+    template, plain = [], []
+    run = None
+    for token in plain_tokens(text):
+        if token is None:
+            run = None
+            continue
+        kind, low = token
+        plain.append(low)
+        if kind == "name" and run is not None:
+            run[1].append(low)
+            continue
+        run = [kind, [low]] if kind == "name" else None
+        template.append(run or [kind, [low]])
+    return [(k if k != "word" else "=" + v[0], tuple(v) if k != "word" else None) for k, v in template], plain
+
+
+def plain_coverage(doc, item, size=8):
+    """The larger share of an item's windows that a document holds, by tokens or by templates with one value a slot."""
+    (dt, dp), (it, ip) = plain_templates(doc), plain_templates(item)
+    best = 0.0
+    n = min(size, len(ip))
+    if n:
+        held = {tuple(dp[i : i + n]) for i in range(len(dp) - n + 1)}
+        own = [tuple(ip[i : i + n]) for i in range(len(ip) - n + 1)]
+        best = sum(w in held for w in own) / len(own)
+    n = min(size, len(it))
+    if n:
+        own = [it[i : i + n] for i in range(len(it) - n + 1)]
+        rich = [sum(m[0] == "=" for m, _ in w) >= min(3, n) for w in own]
+        matched = set()
+        for shift in range(-len(own), len(dt)):
+            hit = [i for i, w in enumerate(own) if 0 <= i + shift <= len(dt) - n and [m for m, _ in dt[i + shift : i + shift + n]] == [m for m, _ in w]]
+            for chosen in (hit, [i for i in hit if rich[i]]):
+                values = {(v, dt[i + shift + j][1]) for i in chosen for j, (_, v) in enumerate(own[i]) if v is not None}
+                if any(rich[i] for i in chosen) and len({a for a, _ in values}) == len(values):
+                    matched |= set(chosen)
+                    break
+        best = max(best, len(matched) / len(own))
+    return best
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(31)
+    vocabulary = [words(rng, 1, "abcdefgh") for _ in range(60)] + ["kg", "hours", "Anna", "Bert", "12", "3.5", "$", "."]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 5, 8, 12, 20, 40]))) for _ in range(40)]
+    items += [f"Then Anna buys {n} apples and {n + 2} pears for Bert who had {n} of them already in {n} hours" for n in (3, 4)]
+
+    def altered(item):
+        out = []
+        for w in item.split():
+            x = rng.random()
+            out.append(str(rng.randint(1, 9)) if w.isdigit() and x < 0.5 else "Carl" if w == "Anna" and x < 0.5 else w.upper() if x < 0.03 else rng.choice(vocabulary) if x < 0.08 else w)
+        return " ".join(out)
+
+    docs = [None, "", "x"] + [f"{words(rng, 20)} {altered(i) if rng.random() < 0.7 else i} {words(rng, 20)}" for i in items for _ in range(3)]
+    docs += [f"{words(rng, 30_000)} {items[4]}", docs[9], docs[9], " ".join(items[:12]), "12 3 $ Anna 4"]
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            if (share := plain_coverage(doc, item)) >= 0.5:
+                want[d, i] = share
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(spark, docs), benchmark).collect()}
+    assert len(want) > 100 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_decontamination(spark):
     rng = random.Random(10)
     items = [
