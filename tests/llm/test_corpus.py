@@ -806,6 +806,89 @@ def test_few_vectors_are_all_found(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def kept_by_hand(docs, items):
+    """Ids of documents that hold no item by ``plain_coverage``; pairs without a common window are left out early."""
+    def windows_of(text):
+        template, plain = plain_templates(text)
+        marks = [m for m, _ in template]
+        return {n: {tuple(x[i : i + n]) for x in (marks, plain) for i in range(len(x) - n + 1)} for n in range(1, 9)}
+
+    wanted = [windows_of(x) for x in items]
+    sizes = [max((n for n, w in own.items() if w), default=0) for own in wanted]
+    out = set()
+    for d, text in docs:
+        held = windows_of(text)
+        near = [x for x, own, n in zip(items, wanted, sizes, strict=True) if any(own[k] & held[k] for k in range(1, n + 1) if k == n or k == 8)]
+        if not any(plain_coverage(text, x) >= 0.5 for x in near):
+            out.add(d)
+    return out
+
+
+def hidden_by_hand(text):
+    cut = set()
+    for x in spans_by_hand(text).split(","):
+        if x:
+            cut |= set(range(int(x.split(":")[1]), int(x.split(":")[2])))
+    return "".join(c for i, c in enumerate(text or "") if i not in cut)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    chain = toxicity.train(docs, labels, queries.categories(labels))
+
+    def step(name, held):
+        stages[name](spark, held, folder).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    clean = step("toxicity", docs)
+    want = {i for i, t in rows.items() if chain.probabilities(toxicity.words_of(t or ""))[-1] < chain.threshold}
+    assert {r.doc_id for r in clean.collect()} == want
+    ids = sorted(want)
+    sets = [shingles_by_hand(re.sub("[A-Z]", lambda m: m[0].lower(), rows[i] or "")) for i in ids]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    single = step("simhash_near_dedup", clean)
+    want = {ids[i] for i in set(linked(pairs, range(len(ids))).values())}
+    assert {r.doc_id for r in single.collect()} == want
+    fair = step("decontamination", single)
+    assert {r.doc_id for r in fair.collect()} == kept_by_hand([(i, rows[i]) for i in want], items)
+    hidden = step("secret_scan", fair)
+    assert all(r.text.replace("[secret]", "") == hidden_by_hand(rows[r.doc_id]).replace("[secret]", "") for r in hidden.collect())
+    mixed = step("mixing", hidden).collect()
+    sizes = Counter()
+    for r in mixed:
+        sizes[r.source] += r.size
+    order = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
+    goal = targets_by_hand(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    for source in sizes:
+        assert sum(r.taken for r in mixed if r.source == source) == pytest.approx(goal[source], rel=0.01, abs=3)
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    texts = [None, "", "token=abcdefghijkl0 end", "plain words here", "plain words here", "plain words here"]
+    names = ("_doc_key", "_doc_id", "_text_key", "_kept_id", "_kept_key", "_own_blob", "_found_spans", "secret_spans", "secret_blob", "class", "key", "kind", "taken")
+    docs = docs_of(spark, texts, [None, 1, 2, 3, 3, None], ["a", None, "a", "b", "b", "b"]).drop("fp").withColumns({n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table_ in (docs, docs.limit(0)):
+            out = stage(spark, table_, folder)
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert all(r[n] == f"own {n}" for r in rows for n in names)
+            if table_ is docs:
+                assert len(rows) == {"simhash_near_dedup": 3}.get(name, 6)
+    assert sum(r.taken for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()) > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
