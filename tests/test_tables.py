@@ -275,6 +275,9 @@ def test_trip_numbers(spark):
 
 
 def test_draws(spark):
+    odd = [-1, -(1 << 63), (1 << 63) - 1, 1 << 40, 0]
+    ids_ = spark.createDataFrame([(i,) for i in odd], "id long").select("id", rng.entity_uniform(F.col("id"), 1 << 35, 9).alias("u")).collect()
+    assert [np.float32({r.id: r.u for r in ids_}[i]) for i in odd] == rng.counter_uniforms(np.array(odd), 1 << 35, 9).tolist()
     ids = spark.range(100).repartition(7)
     got = {r.id: r.u for r in ids.select("id", rng.entity_uniform(F.col("id"), 7, 3).alias("u")).collect()}
     assert [np.float32(got[i]) for i in range(100)] == rng.counter_uniforms(np.arange(100), 7, 3).tolist() and max(got.values()) < 1
@@ -294,6 +297,9 @@ def test_draws(spark):
 def test_aggregates(spark):
     df = spark.createDataFrame([(1, 1, 1e16), (1, 2, 1.0), (1, 3, -1e16), (2, 1, 5.0)], "g int, o int, v double")
     assert {r.g: r.v for r in aggregates.ordered_sum(df.repartition(3), "g", "o", "v").collect()} == {1: 0.0, 2: 5.0}
+    texts = spark.createDataFrame([(str(i * 7919 % 1000), i) for i in range(3000)] + [(None, -1)], "v string, i int")
+    coded = {r.v: r.code for r in aggregates.codes(texts, "v", "code", 8).collect()}
+    assert coded == {None: None} | {v: i for i, v in enumerate(sorted({str(i) for i in range(1000)}))}
     parts = aggregates.in_ranges(spark.range(5), "id", 2).collect()
     assert [(r.id, r.part) for r in sorted(parts)] == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
     with pytest.raises(Exception, match="varies"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,14 +32,45 @@ def counter_uniforms(ids: np.ndarray, seed: int, stream: int) -> np.ndarray:
     return np.minimum(u.astype(np.float32), np.nextafter(np.float32(1), np.float32(0)))
 
 
-def entity_uniform(entity: Column, seed: int, stream: int) -> Column:
-    """R1 as a column: wrapping 64-bit products need NumPy, so batches go through Arrow."""
+LOW = (1 << 32) - 1
+
+
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def _wrapped_sum(terms: list[Column]) -> Column:
+    """The sum of longs modulo 2**64, by halves, which no addition overflows."""
+    low = sum((t.bitwiseAND(LOW) for t in terms[1:]), terms[0].bitwiseAND(LOW))
+    high = sum((F.shiftrightunsigned(t, 32) for t in terms[1:]), F.shiftrightunsigned(terms[0], 32))
+    return F.shiftleft(high + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(LOW))
+
 
-    @F.pandas_udf("float")
-    def draw(ids: pd.Series) -> pd.Series:
-        return pd.Series(counter_uniforms(ids.to_numpy(), seed, stream))
+def _wrapped_product(x: Column, by: int) -> Column:
+    """``x * by`` modulo 2**64: halves of x times quarters of ``by`` stay below 2**48."""
+    low, high = x.bitwiseAND(LOW), F.shiftrightunsigned(x, 32)
+    parts = [F.lit(by >> 16 * i & 0xFFFF).cast("long") for i in range(4)]
+    terms = [F.shiftleft(low * p, 16 * i) for i, p in enumerate(parts)]
+    return _bound(F.array(*terms, F.shiftleft(high * parts[0], 32), F.shiftleft(high * parts[1], 48)), lambda t: _wrapped_sum([t[i] for i in range(6)]))
 
-    return draw(entity)
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _folded(x: Column, by: int) -> Column:
+    return _bound(x, lambda z: z.bitwiseXOR(F.shiftrightunsigned(z, by)))
+
+
+def entity_uniform(entity: Column, seed: int, stream: int) -> Column:
+    """R1 as a column: ``counter_uniforms`` in the JVM, with wrapping products in parts."""
+    key = _signed((seed * SEED_STEP) & WORD ^ (stream * STREAM_STEP) & WORD)
+    z = _wrapped_sum([entity.cast("long").bitwiseXOR(F.lit(key)), F.lit(_signed(GAMMA))])
+    z = _bound(_folded(z, 30), lambda x: _wrapped_product(x, MIX1))
+    z = _bound(_folded(z, 27), lambda x: _wrapped_product(x, MIX2))
+    u = (F.shiftrightunsigned(_folded(z, 31), 40) + 0.5) * 2.0**-24
+    return F.least(u.cast("float"), F.lit(float(np.nextafter(np.float32(1), np.float32(0)))).cast("float"))
 
 
 def row_seed(entity: Column, base: int, channel: str, step: str) -> Column:

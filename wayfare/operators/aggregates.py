@@ -47,10 +47,23 @@ def directional_state(legs: DataFrame, trip: str, direction: str, columns: list[
     return stable(keyed, "_key", columns).select(f"_key.{trip}", f"_key.{direction}", *columns)
 
 
-def codes(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds dense codes of a column's values from 0, in order of value (E30, W8); distinct values are few."""
-    values = rows.select(column).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(column)) - 1)
-    return rows.join(values, column)
+def codes(rows: DataFrame, column: str, name: str, parts: int = 256) -> DataFrame:
+    """Adds dense codes of a column's values from 0, in order of value; a null has none.
+
+    A bounded sample of values gives limits between ``parts`` ranges; ranges are counted (a small table) and numbered
+    each for itself, so no task holds all values.
+    """
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    seen = sorted(r[0] for r in values.orderBy(F.xxhash64(column)).limit(16 * parts).collect())
+    limits = seen[:: max(1, -(-len(seen) // parts))][1:]
+    part = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(column))) if limits else F.lit(0)
+    dealt = values.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    coded = dealt.withColumn("_own", within).join(bases, "_part").select(column, (F.col("_base") + F.col("_own")).cast("int").alias(name))
+    return rows.join(coded, column, "left")
 
 
 def bin_labels(value: Column, edges: list[float], how: str = "mid") -> Column:
