@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfare.llm.common import small_batches, written
@@ -249,11 +249,14 @@ def contaminated(
         values = np.sort(np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64))
         wanted = spark.sparkContext.broadcast(values if len(values) else np.zeros(1, np.uint64))
     found = rows.mapInArrow(_windows_of(sizes, wanted), MATCH)
-    if wanted is not None:
-        # few are left, which two joins read
-        found = written(found, "windows")
+    if wanted is None:
+        found = found.join(distinct, "hash", "left_semi")
+    # few are left, which three joins read
+    found = written(found, "windows")
+    near = written(_candidates(found, own, coverage), "candidates")
+    mine = own.join(near, "item_key")
     shift = F.col("at") - F.col("item_at")
-    sure = found.where(F.col("kind") != POOR).join(own.where(F.col("kind") != POOR), ["hash", "size", "kind"]).withColumn("shift", shift)
+    sure = found.where(F.col("kind") != POOR).join(mine.where(F.col("kind") != POOR), ["key", "hash", "size", "kind"]).withColumn("shift", shift)
     run = ["doc_id", "key", "item_id", "item_key", "kind", "shift"]
     # poor windows count where a rich one matches at the same distance
     begun = sure.where(F.col("kind") == RICH).select(*run).distinct().drop("kind", "doc_id")
@@ -298,5 +301,20 @@ def contaminated(
     return best.select("doc_id", "doc_key", "item_id", *(f"best.{x}" for x in ("matched", "item_windows", "coverage", "start", "end", "reparameterised")))
 
 
+def _candidates(found: DataFrame, own: DataFrame, coverage: float) -> DataFrame:
+    """(key, item_key) of documents that may hold ``coverage`` of an item: those with one of its rarest windows.
+
+    Of n windows a document may lack n - n * coverage, so it holds one of any one more than that.  The rarest
+    are taken, so that a window which very many items share brings nobody together.
+    """
+    items = own.select("item_key", "item_at", "hash", "size", "kind").distinct().withColumn("plain", F.col("kind") == PLAIN)
+    share = items.groupBy("hash").agg(F.count_distinct("item_key").alias("items"))
+    each = Window.partitionBy("item_key", "plain")
+    n = F.count(F.lit(1)).over(each)
+    ranked = items.join(share, "hash").withColumn("nth", F.row_number().over(each.orderBy("items", "hash", "item_at")))
+    rare = ranked.withColumn("least", n - F.ceil(n * coverage) + 1).where("nth <= least")
+    return found.join(rare.select("item_key", "hash", "size", "kind").distinct(), ["hash", "size", "kind"]).select("key", "item_key").distinct()
+
+
 def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))

@@ -371,28 +371,30 @@ def _apart(bands: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _stars(apart: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs of members with their band's centre, bands' centres).
+    """(pairs of members with their band's centre, bands' centres c).
 
     The centre is the member with most company in all of its bands, which the original of many copies has, among
     those that are in no earlier centre's class.
     """
     free = apart
     if done is not None:
-        past = done.withColumnRenamed("node", "centre").join(apart.select("key", F.col("node").alias("centre"), F.col("label").alias("past")), ["key", "centre"])
+        past = done.select("key", F.col("c").alias("centre")).join(apart.select("key", F.col("node").alias("centre"), F.col("label").alias("past")), ["key", "centre"])
         free = apart.join(past.select("key", "past"), (apart["key"] == past["key"]) & (apart["label"] == past["past"]), "left_anti")
     best = free.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("c"), F.col("n").alias("m"), F.col("label").alias("l")), F.struct("score", "node")).alias("best"))
     best = written(best.select("key", "best.*"), "centres")
     pairs = apart.join(best, "key").where((F.col("label") != F.col("l")) & _long_enough("n", "m"))
     pairs = pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    return written(pairs, "stars"), best.select("key", F.col("c").alias("node"))
+    return written(pairs, "stars"), best
 
 
 def _rare_partners(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets in different classes that share one of their rarest shingles.
 
     Two sets of ``SIMILAR`` share at least that part of the larger; so of each set's shingles, in one order
-    for all, the first few (a fifth and one more, for 0.8) hold one that both have.  The order is by how many
-    of these sets have a shingle, so what very many share, such as a common passage, brings nobody together.
+    for all, the first few (a fifth and one more, for 0.8) hold one that both have.  The first one that both have is
+    followed in each set by all others that both have, so by enough of them for ``SIMILAR``: a pair meets only where that
+    many are left.  The order is by how many of these sets have a shingle, so neither what very many share,
+    such as a common passage, nor copies that each were changed too much bring anybody together.
     """
     over, under = SIMILAR
     nodes = written(apart.select("node", "n", "label").distinct(), "nodes")
@@ -400,11 +402,14 @@ def _rare_partners(apart: DataFrame, sets: DataFrame) -> DataFrame:
     common = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "common")
     held = each.join(common, "s").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("by_rarity"))
     # shingles of its own come first in a set's order
-    first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - (F.col("n") - F.size("by_rarity"))
-    head = held.where(first > 0).select("node", "n", "label", F.explode(F.slice("by_rarity", 1, first.cast("int"))).alias("one"))
-    head = finished(head.select("node", "n", "label", "one.s"), "heads", nodes, each, common)
-    other = head.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = head.withColumnRenamed("node", "a").join(other, "s").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _long_enough("n", "m"))
+    alone = F.col("n") - F.size("by_rarity")
+    first = F.col("n") - F.ceil(F.col("n") * over / under) + 1 - alone
+    head = held.where(first > 0).select("node", "n", "label", alone.alias("alone"), F.posexplode(F.slice("by_rarity", 1, first.cast("int"))).alias("at", "one"))
+    head = finished(head.select("node", "n", "label", "one.s", (F.col("n") - F.col("alone") - F.col("at")).alias("left")), "heads", nodes, each, common)
+    other = head.select("s", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("left").alias("after"))
+    enough = F.least("left", "after") * (over + under) >= (F.col("n") + F.col("m")) * over
+    apart_ = (F.col("a") < F.col("b")) & (F.col("label") != F.col("other"))
+    pairs = head.withColumnRenamed("node", "a").join(other, "s").where(apart_ & enough & _long_enough("n", "m"))
     return finished(pairs.select("a", "b").distinct(), "pairs", head)
 
 
@@ -438,6 +443,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for _ in range(ROUNDS):
         pairs, centres = _stars(apart, done)
         done = centres if done is None else done.union(centres)
+        spent.append(centres)
         alike = written(_alike(pairs, sets), "alike")
         edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
         before, classes = classes, components(edges)
