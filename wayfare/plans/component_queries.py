@@ -13,7 +13,7 @@ from wayfare.operators.spec import Spec, split_stateful, utilities
 from wayfare.plans.choice_queries import _CUBE, _LINES, _NESTS, CHOOSE, TREE, cube, draw, draw_sql, lines, mode_utility, rounded, table
 from wayfare.plans.stages import Graph
 from wayfare.plans.table_queries import _TDD, timetabled
-from wayfare.sources.tables import artifact_metadata, read_artifact, write_artifact
+from wayfare.sources.tables import artifact_metadata, read_artifact, read_spec, write_artifact
 from wayfare.plans.session import workspace
 
 QUERIES: dict = {}
@@ -378,6 +378,29 @@ def daily_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("c_custkey", F.col("name").alias("pattern"), rounded(F.col("logsum")).alias("logsum"))
 
 
+#: A specification as files hold it: symbols, blanks, a row without an expression and one without weights.
+_SPEC_ROWS = (
+    ("price", "", "@df.o_totalprice / 70001", "0.25", "beta_price"),
+    ("heading", "", "", "1", "1"),
+    ("urgent", "", "(o_orderpriority == '1-URGENT')", "", "0.5"),
+    ("nothing", "", "o_totalprice", "0", ""),
+)
+
+
+@query(
+    "SELECT o_orderkey, round(0.25::DOUBLE * o_totalprice / 70001, 5) AS ship, round(-0.125::DOUBLE * o_totalprice / 70001 + 0.5::DOUBLE * (o_orderpriority = '1-URGENT')::INT, 5) + 0.0 AS hold FROM orders"
+)
+def specification_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A specification and its coefficients read from CSV files, through its document and back, and its utilities."""
+    place = workspace(spark, "specification")
+    rows = spark.createDataFrame(_SPEC_ROWS, "Label string, Description string, Expression string, ship string, hold string")
+    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{place}/spec")
+    spark.createDataFrame([("beta_price", -0.125)], "coefficient_name string, value double").coalesce(1).write.option("header", True).csv(f"{place}/coefficients")
+    spec = Spec.of_document(read_spec(spark, "orders", f"{place}/spec", f"{place}/coefficients").document())
+    held = utilities(table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), spec)
+    return held.select("o_orderkey", *[rounded(F.col("utilities")[i], 5).alias(name) for i, name in enumerate(spec.alternatives)])
+
+
 @query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS customers, CAST(2 AS INTEGER) AS version FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def restored_stage(spark: SparkSession, folder: str) -> DataFrame:
     """A graph of stages whose checkpoint another one restores, ledger and all."""
