@@ -12,7 +12,7 @@ from wayfare.operators import aggregates, chains, inputs, lookup, sampling, time
 from wayfare.operators import skims as matrices
 from wayfare.operators.spec import Spec, resolved, split_stateful, utilities
 from wayfare.plans.stages import Graph
-from wayfare.sources.tables import dense_matrix, read_artifact, read_spec, write_artifact, write_matrices
+from wayfare.sources.tables import dense_matrix, read_artifact, read_cube, read_spec, write_artifact, write_cube, write_matrices
 
 
 def test_ieee_functions(spark):
@@ -339,6 +339,12 @@ def test_artifacts_matrices_and_stages(spark, tmp_path):
     cells = spark.read.parquet(str(tmp_path / "m"))
     assert {(r.matrix, r.orig): r.value for r in cells.collect()} == {("all", 1): 2.0, ("all", 2): 2.5, ("twice", 1): 4.0, ("twice", 2): 5.0}
     assert {r.orig: (r["1"], r["2"]) for r in dense_matrix(cells.where("matrix = 'all'"), [1, 2]).collect()} == {1: (0.0, 2.0), 2: (2.5, 0.0)}
+    write_cube(df.withColumn("cost", F.col("trips") * 2), str(tmp_path / "cube"), ["trips", "cost"])
+    assert read_cube(spark, str(tmp_path / "cube"), ["cost"]).columns == ["orig", "dest", "cost"]
+    changed = spark.createDataFrame([(9, 9, 1.0, 0.0)], "orig int, dest int, trips double, cost double")
+    changed.write.mode("append").parquet(str(tmp_path / "cube/data"))
+    with pytest.raises(ValueError, match="manifest"):
+        read_cube(spark, str(tmp_path / "cube"), ["trips"])
     graph = Graph(spark)
     graph.ingress("t", df)
     graph.seal()

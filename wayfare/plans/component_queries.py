@@ -13,7 +13,7 @@ from wayfare.operators.spec import Spec, split_stateful, utilities
 from wayfare.plans.choice_queries import _CUBE, _LINES, _NESTS, CHOOSE, TREE, cube, draw, draw_sql, lines, mode_utility, rounded, table
 from wayfare.plans.stages import Graph
 from wayfare.plans.table_queries import _TDD, timetabled
-from wayfare.sources.tables import artifact_metadata, read_artifact, read_spec, write_artifact
+from wayfare.sources.tables import artifact_metadata, read_artifact, read_cube, read_spec, write_artifact, write_cube
 from wayfare.plans.session import workspace
 
 QUERIES: dict = {}
@@ -418,6 +418,20 @@ def restored_stage(spark: SparkSession, folder: str) -> DataFrame:
     return held.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.lit(again.versions["persons"]).alias("version"))
 
 
+@query(
+    f"WITH {_CUBE} o AS (SELECT o_orderkey, c_nationkey AS a, (o_orderkey % 25)::INTEGER AS b, (o_orderkey % 5)::INTEGER AS p FROM orders JOIN customer ON c_custkey = o_custkey) SELECT o_orderkey, dist * (10 + p) / 10.0 AS time FROM o JOIN k ON orig = a AND dest = b AND period = p"
+)
+def verified_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    """One matrix of a cube, checked by its own fingerprint, and looked up."""
+    place = workspace(spark, "cube")
+    write_cube(cube(spark, folder), place, ["DIST", "TIME"])
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("orig"))
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(customers, "o_custkey")
+    rows = rows.select("o_orderkey", "orig", (F.col("o_orderkey") % 25).cast("int").alias("dest"), (F.col("o_orderkey") % 5).cast("int").alias("period"))
+    held = skims.lookup(rows, read_cube(spark, place, ["TIME"]), ["TIME"], "orig", "dest", "period")
+    return held.select("o_orderkey", F.col("TIME").alias("time"))
+
+
 @query("SELECT s_nationkey, round(sum(s_acctbal), 2) AS balance, 'suppliers' AS source FROM supplier GROUP BY 1")
 def verified_artifact(spark: SparkSession, folder: str) -> DataFrame:
     """A table written once with a manifest, and read back checked, only the columns that are wanted."""

@@ -48,6 +48,28 @@ def read_artifact(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*columns) if columns else df
 
 
+def write_cube(cube: DataFrame, path: str, keys: list[str]) -> dict:
+    """Matrices of one cube (orig, dest[, period] and a column for each) with a fingerprint of each in the manifest."""
+    spark = cube.sparkSession
+    cube.write.mode("errorifexists").parquet(f"{path}/data")
+    held = spark.read.parquet(f"{path}/data")
+    places = [c for c in held.columns if c not in keys]
+    manifest = {"matrices": {k: fingerprint(held.select(*places, k)) for k in keys}, "metadata": {"places": places}}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/_manifest_json")
+    return manifest
+
+
+def read_cube(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The matrices ``keys`` of a cube: only their columns are scanned, and each is checked against its own fingerprint."""
+    manifest = json.loads(_manifest(spark, path).first()[0])
+    held = spark.read.parquet(f"{path}/data")
+    places = manifest["metadata"]["places"]
+    for key in keys:
+        if fingerprint(held.select(*places, key)) != manifest["matrices"].get(key):
+            raise ValueError(f"{key} in {path} does not match its manifest")
+    return held.select(*places, *keys)
+
+
 def artifact_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(_manifest(spark, path).first()[0])["metadata"]
 
