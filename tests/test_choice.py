@@ -11,6 +11,8 @@ def chosen(spark, rows, **columns):
     schema = "id long, u array<double>, z double" + (", open array<boolean>" if len(rows[0]) == 4 else "")
     df = spark.createDataFrame(rows, schema)
     got = choice.choose(df, "u", "z", "open" if "open" in df.columns else None).orderBy("id").collect()
+    columns = choice.choose(df, "u", "z", "open" if "open" in df.columns else None, 2).orderBy("id").collect()
+    assert [(r.choice, r.logsum) for r in got] == [(r.choice, r.logsum) for r in columns]
     return [(r.choice, r.logsum) for r in got]
 
 
@@ -48,6 +50,9 @@ def test_array_and_long_forms_agree(spark, alternatives):
     wide = spark.createDataFrame([(i, [float(x) for x in row], float(d)) for i, (row, d) in enumerate(zip(u, z))], "id long, u array<double>, z double")
     long = wide.select("id", "z", F.posexplode("u").alias("alt", "util"))
     a = {r.id: (r.choice, r.logsum) for r in choice.choose(wide, "u", "z").collect()}
+    columns = {r.id: (r.choice, r.logsum) for r in choice.choose(wide, "u", "z", width=alternatives).collect()}
+    assert {i: c for i, (c, _) in columns.items()} == {i: c for i, (c, _) in a.items()}
+    assert all(s == pytest.approx(a[i][1], abs=1e-12) for i, (_, s) in columns.items())
     w = np.exp(u - u.max(axis=1, keepdims=True))
     want = (np.cumsum(w, axis=1) >= (z * w.sum(axis=1))[:, None]).argmax(axis=1)
     assert [a[i][0] for i in range(40)] == want.tolist()

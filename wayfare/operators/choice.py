@@ -18,6 +18,8 @@ from wayfare.functions import ieee
 NONE = float("-inf")
 #: Weights up to this are no probability (a fixed value).
 FAINT = 1e-300
+#: Alternatives that are columns at most, and products of coefficients that are written out.
+COMPILED, PRODUCTS = 32, 256
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -71,12 +73,15 @@ def checked_draw(draw: Column) -> Column:
     )
 
 
-def choose(df: DataFrame, utilities: str, draw: str, availability: str | None = None) -> DataFrame:
+def choose(df: DataFrame, utilities: str, draw: str, availability: str | None = None, width: int | None = None) -> DataFrame:
     """Adds choice (position, -1 if nothing is available) and logsum (-inf then): A1.
 
     The first alternative whose running weight reaches draw * total; the first largest if none does.
-    A draw of 0 takes the first position, available or not.
+    A draw of 0 takes the first position, available or not.  If all rows have ``width`` alternatives, and these are few,
+    they are columns instead of array elements, and all is compiled code.
     """
+    if width is not None and width <= COMPILED:
+        return _choose_columns(df, utilities, draw, availability, width)
     u = masked(F.col(utilities), None if availability is None else F.col(availability))
     held = df.withColumn("_u", u).withColumn("_w", weights(F.col("_u"))).withColumn("_total", total(F.col("_w")))
     hit = first_reaching(F.col("_w"), checked_draw(F.col(draw)) * F.col("_total"))
@@ -86,6 +91,31 @@ def choose(df: DataFrame, utilities: str, draw: str, availability: str | None =
     return held.withColumn("choice", choice).withColumn("logsum", logsum).drop("_u", "_w", "_total")
 
 
+def _choose_columns(df: DataFrame, utilities: str, draw: str, availability: str | None, width: int) -> DataFrame:
+    """``choose`` over ``width`` columns; each projection reads what the one before it has computed once."""
+    each = range(width)
+    u, w = ([f"_{x}{i}" for i in each] for x in "uw")
+
+    def usable(i: int) -> Column:
+        value = F.col(utilities)[i]
+        open_ = ieee.finite(value) if availability is None else ieee.finite(value) & F.col(availability)[i]
+        return F.when(open_, value.cast("double")).otherwise(NONE)
+
+    held = df.withColumns({u[i]: usable(i) for i in each} | {"_z": checked_draw(F.col(draw))})
+    held = held.withColumn("_top", F.greatest(*u) if width > 1 else F.col(u[0]))
+    held = held.withColumns({w[i]: F.when(F.col(u[i]) == NONE, 0.0).otherwise(F.exp(F.col(u[i]) - F.col("_top"))) for i in each})
+    held = held.withColumn("_total", sum((F.col(x) for x in w), F.lit(0.0)))
+    held = held.withColumns({"_bar": F.col("_z") * F.col("_total"), "_most": F.greatest(*w) if width > 1 else F.col(w[0])})
+    some, running = F.col("_total") > 0, F.lit(0.0)
+    found, best = F.when(~some, -1), F
+    for i in each:
+        running = running + F.col(w[i])
+        found = found.when(running >= F.col("_bar"), i)
+        best = best.when(F.col(w[i]) == F.col("_most"), i)
+    logsum = F.when(some, F.col("_top") + F.log("_total")).otherwise(NONE)
+    return held.select(*df.columns, found.otherwise(best).alias("choice"), logsum.alias("logsum"))
+
+
 def probabilities(utilities: Column) -> tuple[Column, Column]:
     """(probabilities, logsum) with faint weights cut: A8."""
     w = F.transform(weights(utilities), lambda x: F.when(x <= FAINT, 0.0).otherwise(x))
@@ -138,6 +168,10 @@ def labelled(choice: Column, labels: list) -> Column:
 def linear_utilities(features: Column, coefficients: list[list[float]], constants: list[float]) -> Column:
     """Dot products of a feature array with each alternative's coefficients, plus constants: A2, A7, A10."""
 
+    if sum(map(len, coefficients)) <= PRODUCTS:
+        x = [features[i].cast("double") for i in range(len(coefficients[0]))]
+        return F.array(*[F.lit(float(c)) + sum((x[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0)) for beta, c in zip(coefficients, constants, strict=True)])
+
     def dot(beta: list[float], constant: float) -> Column:
         b = F.array(*[F.lit(float(x)) for x in beta])
         products = F.zip_with(features, b, lambda x, y: x.cast("double") * y)

@@ -67,7 +67,7 @@ b(alt, b1, b2, b3, b4) AS (VALUES (0, 0.05, 0.2, 0.0, 0.0), (1, 0.1, 0.1, 0.4, 0
 def region_choice(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     held = utilities(customers, REGION_SPEC).withColumn("z", draw(F.col("c_custkey")))
-    return choice.choose(held, "utilities", "z")
+    return choice.choose(held, "utilities", "z", width=5)
 
 
 @query(f"WITH {_REGION_U} u AS (SELECT id, alt, b1::DOUBLE*f1 + b2::DOUBLE*f2 + b3::DOUBLE*f3 + b4::DOUBLE AS util, {draw_sql('id')} AS z FROM f, b), {CHOOSE} SELECT id AS c_custkey, choice, logsum FROM chosen")
@@ -84,7 +84,7 @@ def available_choice(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     held = utilities(customers, REGION_SPEC).withColumn("z", draw(F.col("c_custkey"), 1))
     held = held.withColumn("open", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("c_custkey") + i) % 3 != 0))
-    return choice.choose(held, "utilities", "z", "open").select("c_custkey", "choice", rounded(F.col("logsum")).alias("logsum"))
+    return choice.choose(held, "utilities", "z", "open", 5).select("c_custkey", "choice", rounded(F.col("logsum")).alias("logsum"))
 
 
 def beta(alternative: int, feature: int) -> float:
@@ -101,7 +101,7 @@ def linear_choice(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
     value = choice.linear_utilities(F.col("embedding"), [[beta(a, f) for f in range(64)] for a in range(10)], [a / 20 for a in range(10)])
     held = rows.withColumn("u", value).withColumn("z", draw(F.col("vec_id")))
-    return choice.choose(held, "u", "z").select("vec_id", "choice", rounded(F.col("logsum")).alias("logsum"))
+    return choice.choose(held, "u", "z", width=10).select("vec_id", "choice", rounded(F.col("logsum")).alias("logsum"))
 
 
 @query(
@@ -394,7 +394,7 @@ def household_chain(spark: SparkSession, folder: str) -> DataFrame:
     coefficients = [[beta(a, f) for f in range(8)] for a in range(21)]
     for name, step in (("first", 8), ("second", 9)):
         rows = rows.withColumn("u", choice.linear_utilities(F.col("x"), coefficients, [0.0] * 21)).withColumn("z", draw(F.col("c_custkey"), step))
-        rows = choice.choose(rows, "u", "z").withColumnRenamed("choice", name).drop("logsum", "u", "z")
+        rows = choice.choose(rows, "u", "z", width=21).withColumnRenamed("choice", name).drop("logsum", "u", "z")
         rows = rows.withColumn("x", F.concat(F.slice("x", 1, 7), F.array(F.col(name) / 20.0)))
     return rows.groupBy(F.col("c_nationkey").alias("zone")).agg(
         F.sum("first").alias("first_sum"), F.sum("second").alias("second_sum"), F.count(F.lit(1)).alias("households")
@@ -423,4 +423,4 @@ def calibrated_chain(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
     held = gather(orders, autos, ["o_custkey"], ["autos"])
     held = utilities(held, FREQUENCY_SPEC).withColumn("z", draw(F.col("o_orderkey"), 10))
-    return choice.choose(held, "utilities", "z").select("o_orderkey", F.col("choice").alias("frequency"))
+    return choice.choose(held, "utilities", "z", width=3).select("o_orderkey", F.col("choice").alias("frequency"))

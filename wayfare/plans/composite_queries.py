@@ -123,7 +123,7 @@ def resident_chain(spark: SparkSession, folder: str) -> DataFrame:
     jobs = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("jobs"))
     people = gather(table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), autos, ["c_custkey"], ["autos"])
     people = gather(people, jobs, ["c_nationkey"], ["jobs"], {"jobs": 0})
-    chosen = choice.choose(utilities(people, FREQUENCY_OF_DAY).withColumn("z", draw(F.col("c_custkey"), 14)), "utilities", "z")
+    chosen = choice.choose(utilities(people, FREQUENCY_OF_DAY).withColumn("z", draw(F.col("c_custkey"), 14)), "utilities", "z", width=5)
     zone = F.col("c_nationkey")
     persons = kept(
         chosen.select(
