@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontaminate, licenses, mixing, neighbours, repeats, secrets, simhash, tokens, toxicity, warc
+from wayfare.llm import audit, decontaminate, licenses, mixing, neighbours, repeats, secrets, simhash, spelling, tokens, topk, toxicity, warc
 from wayfare.llm.common import shared_folder, table
 
 TOKEN_LIMIT = 1024
@@ -92,6 +92,18 @@ def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.exact_top(table(spark, folder, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -105,6 +117,9 @@ QUERIES = {
         op8_tokens,
         op9_decontamination,
         op10_neighbours,
+        op11_filter_audit,
+        op12_exact_topk,
+        op13_spelling,
     )
 }
 
@@ -180,4 +195,38 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM c
 """
 
-ORACLE_SQL = {"op2_mixing": _MIXING, "op3_secrets": _SECRETS, "op5_warc": _WARC}
+#: Masks counted by part, as strings of failed letters, against all orders and steps.
+_AUDIT = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+    FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+    WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+    FROM o, (SELECT unnest(range(1, 6)) AS step)),
+y AS (SELECT s.*, g.*, contains(fails, letter) AS failing, length(translate(before, fails, '')) < length(before) AS gone FROM s, g),
+c AS (SELECT part, filter_order, step, letter,
+    sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN failing AND NOT gone THEN n * good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN failing AND NOT gone THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM y GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM c
+"""
+
+_TOPK = """
+WITH r AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(64 * CAST(v AS DOUBLE))) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+p AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+    FROM r q JOIN r c ON q.row <> c.row AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op11_filter_audit": _AUDIT, "op12_exact_topk": _TOPK, "op2_mixing": _MIXING, "op3_secrets": _SECRETS, "op5_warc": _WARC}
