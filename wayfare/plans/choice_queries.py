@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.functions.rng import entity_uniform, seeded_uniforms, row_seed
+from wayfare.functions.rng import entity_uniform
 from wayfare.operators import choice, nested, sampling, skims
 from wayfare.operators.lookup import gather
 from wayfare.operators.spec import Spec, utilities
@@ -340,14 +340,6 @@ def entity_draws(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("c_custkey", F.round(entity_uniform(F.col("c_custkey"), 7, 3).cast("double"), 7).alias("u"))
 
 
-@query()
-def seeded_draws(spark: SparkSession, folder: str) -> DataFrame:
-    """Three Mersenne Twister draws of each customer after skipping one (R2, R3); SQL has no such generator."""
-    rows = table(spark, folder, "customer").select("c_custkey")
-    seed = row_seed(F.col("c_custkey"), 0, "persons", "auto_ownership")
-    return rows.select("c_custkey", seeded_uniforms(seed, F.lit(1), 3).alias("draws"))
-
-
 def household_features(rows: DataFrame) -> DataFrame:
     key, balance = F.col("c_custkey"), F.col("c_acctbal")
     derived = [

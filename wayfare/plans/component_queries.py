@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import ieee
 from wayfare.functions.expressions import Compiler
-from wayfare.functions.rng import Ledger, row_seed, seeded_normals
+from wayfare.functions.rng import Ledger, row_seed
 from wayfare.operators import aggregates, chains, choice, inputs, lookup, nested, skims, timetable, tours
 from wayfare.operators.spec import Spec, split_stateful, utilities
 from wayfare.plans.choice_queries import _CUBE, _LINES, _NESTS, CHOOSE, TREE, cube, draw, draw_sql, lines, mode_utility, rounded, table
@@ -166,25 +166,15 @@ def run_positions(spark: SparkSession, folder: str) -> DataFrame:
     return aggregates.in_ranges(held, "o_custkey", 100)
 
 
-_HASH32 = "('0x' || md5('{x}')[25:32])::BIGINT"
+HASH32 = "('0x' || md5('{x}')[25:32])::BIGINT"
 
 
-@query(f"SELECT c_custkey, (c_custkey + 5 + {_HASH32.format(x='persons')} + {_HASH32.format(x='auto_ownership')}) % 4294967296 AS seed FROM customer")
+@query(f"SELECT c_custkey, (c_custkey + 5 + {HASH32.format(x='persons')} + {HASH32.format(x='auto_ownership')}) % 4294967296 AS seed FROM customer")
 def entity_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Seeds of entities in a channel and a step."""
     return table(spark, folder, "customer").select("c_custkey", row_seed(F.col("c_custkey"), 5, "persons", "auto_ownership").alias("seed"))
 
 
-@query()
-def ledger_draws(spark: SparkSession, folder: str) -> DataFrame:
-    """Two reservations of a ledger, the second for some entities only, and normals from where each stands."""
-    ledger = Ledger.start(table(spark, folder, "customer").select("c_custkey"), "c_custkey", 5, "persons", "step")
-    first, ledger = ledger.reserve(2)
-    second, ledger = ledger.reserve(1, table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")))
-    held = first.join(second.withColumnRenamed("draws", "more"), "c_custkey", "left").join(ledger.rows, "c_custkey")
-    return held.select("c_custkey", "draws", "more", "rng_offset", seeded_normals(F.col("seed"), F.col("rng_offset"), 1).alias("normals"))
-
-
 FIXED_SPEC = Spec(
     "fixed",
     ("none", "one", "two"),
