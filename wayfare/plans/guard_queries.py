@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators import guards
+from wayfare.operators import guards, pairs
 from wayfare.plans.choice_queries import draw, draw_sql, rounded, table
 from wayfare.plans.session import kept
 
@@ -59,3 +59,24 @@ def guarded_destinations(spark: SparkSession, folder: str) -> DataFrame:
         coarse, draws, "c_custkey", "alt", "utility", "bound", lambda ids: exact(customers.join(ids, "c_custkey", "left_semi")), kept
     )
     return found.select("c_custkey", "draw_no", F.col("choice").cast("int").alias("choice"), "guarded", rounded(F.col("prob"), 9).alias("prob"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, (o_orderkey % 19 + 5)::SMALLINT AS s, (23 - o_custkey % (19 - o_orderkey % 19))::SMALLINT AS e FROM orders),
+    r AS (SELECT *, CAST(dense_rank() OVER (ORDER BY s, e) - 1 AS INTEGER) AS slot, count(*) OVER (PARTITION BY s, e) AS sharing FROM o)
+    SELECT o_orderkey, slot, sharing, round((SELECT sum(exp(-((h - s)::DOUBLE * (h - s) / 8.0 + (h - e)::DOUBLE * (h - e) / 8.0))) FROM range(5, 24) x(h)), 9) + 0.0 AS value FROM r"""
+)
+def pair_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """A sum over the day's hours for each distinct pair of start and end, scattered back to all orders that have the pair."""
+    start = F.col("o_orderkey") % 19
+    rows = table(spark, folder, "orders").select("o_orderkey", (start + 5).cast("short").alias("s"), (23 - F.col("o_custkey") % (19 - start)).cast("short").alias("e"))
+
+    def evaluated(found: DataFrame) -> DataFrame:
+        def near(h: Column) -> Column:
+            a, b = (h - F.col("s")).cast("double"), (h - F.col("e")).cast("double")
+            return F.exp(-(a * a / 8.0 + b * b / 8.0))
+
+        total = F.aggregate(F.transform(F.sequence(F.lit(5), F.lit(23)), near), F.lit(0.0), lambda x, y: x + y)
+        return pairs.pair_slots(found, "s", "e").withColumn("value", rounded(total, 9))
+
+    return pairs.on_distinct(rows, ["s", "e"], evaluated, kept).select("o_orderkey", "slot", "sharing", "value")
