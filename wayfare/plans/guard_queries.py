@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators import guards, pairs
-from wayfare.plans.choice_queries import draw, draw_sql, rounded, table
+from wayfare.plans import choice_queries
+from wayfare.plans.choice_queries import cube, draw, draw_sql, rounded, table
 from wayfare.plans.session import kept
+from wayfare.sources import cubes
+
+PERIODS = ("EA", "AM", "MD", "PM", "EV")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,3 +84,24 @@ def pair_evaluation(spark: SparkSession, folder: str) -> DataFrame:
         return pairs.pair_slots(found, "s", "e").withColumn("value", rounded(total, 9))
 
     return pairs.on_distinct(rows, ["s", "e"], evaluated, kept).select("o_orderkey", "slot", "sharing", "value")
+
+
+@query(f"SELECT o_orderkey, od_dist, round(odt_time, 4) + 0.0 AS odt_time, round(dot_time, 4) + 0.0 AS dot_time, do_dist, max_dist FROM ({choice_queries.ORACLE_SQL['skim_lookup']})")
+def dense_skims(spark: SparkSession, folder: str) -> DataFrame:
+    """The reads of ``skim_lookup`` from a dense cube in memory: two joins on one end, cells by position."""
+    nations = cubes.zone_map(table(spark, folder, "nation").select(F.col("n_nationkey").alias("zone")))
+    held = cube(spark, folder)
+    blocks = cubes.long_blocks(held.where("period = 0"), nations, ["DIST"]).unionByName(cubes.long_blocks(held, nations, ["TIME"], "period", PERIODS))
+    dense = cubes.load_cube(kept(blocks, "blocks"), nations, {"DIST": 2, "TIME": 3}, 64 << 20, PERIODS)
+    customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("orig"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("c_custkey") == F.col("o_custkey"))
+    rows = orders.select(
+        "o_orderkey", "orig", (F.col("o_orderkey") % 25).cast("int").alias("dest"),
+        (F.col("o_orderkey") % 5).cast("int").alias("out_period"), (F.col("o_custkey") % 5).cast("int").alias("in_period"),
+    )
+    reads = {
+        "od_dist": ("DIST", "orig", "dest", None), "odt_time": ("TIME", "orig", "dest", "out_period"),
+        "dot_time": ("TIME", "dest", "orig", "in_period"), "do_dist": ("DIST", "dest", "orig", None),
+    }
+    found = dense.lookup(rows, reads).withColumn("max_dist", F.greatest("od_dist", "do_dist"))
+    return found.select("o_orderkey", "od_dist", *[rounded(F.col(c), 4).alias(c) for c in ("odt_time", "dot_time")], "do_dist", "max_dist")
