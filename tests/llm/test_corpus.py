@@ -204,14 +204,14 @@ def test_mixing(spark):
     for r in got:
         assert r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 3 + 0.01 * want[s] for s in sizes)
+    assert all(taken[s] == int(want[s] + 1e-6) for s in sizes)
     shifted = mixing.mix(docs_of(spark, texts, ids, sources), block=64, point=lambda slot: mixing.golden(slot + 7_000_000)).collect()
     others = Counter()
     for r in shifted:
         others[r.source] += r.taken
-    # the schedule's points decide what is taken, and any low-discrepancy points keep near the targets
+    # the schedule's points decide in which slots words are taken, and any run of them meets the targets
     assert Counter((r.doc_id, r.taken, r.first_slot) for r in shifted) != Counter((r.doc_id, r.taken, r.first_slot) for r in got)
-    assert all(abs(others[s] - want[s]) <= 3 + 0.01 * want[s] for s in sizes)
+    assert others == taken
     alone = mixing.mix(docs_of(spark, texts, ids, sources), block=64, point=lambda slot: slot * 0).collect()
     assert {r.source for r in alone if r.taken} == {order[0]}
     again = mixing.mix(docs_of(spark, texts, ids, sources).repartition(5), block=64)
@@ -219,16 +219,48 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, [])).count() == 0
 
 
+def schedule_of(spark, needed, slots, start=0):
+    table = spark.createDataFrame(list(enumerate(needed)), "place int, needed long")
+    return sorted((r.slot, r.place, r["rank"]) for r in mixing.schedule(table, slots, lambda slot: mixing.golden(slot + start)).collect())
+
+
 def test_schedule_keeps_weights_in_every_prefix(spark):
-    targets = spark.createDataFrame([(0, 500), (1, 300), (2, 200)], "place int, needed long")
-    rows = sorted((r.slot, r.place, r["rank"]) for r in mixing.schedule(targets, 5000).collect())
-    assert [s for s, _, _ in rows] == list(range(5000))
-    seen = Counter()
-    for slot, place, rank in rows:
+    needed = [500, 300, 200]
+    rows = schedule_of(spark, needed, mixing.SPAN * 1000)
+    seen, done = Counter(), False
+    for i, (slot, place, rank) in enumerate(rows):
         assert rank == seen[place]
         seen[place] += 1
-        for p, share in enumerate((0.5, 0.3, 0.2)):
-            assert abs(seen[p] - share * (slot + 1)) < 6
+        if not done:
+            assert slot == i and all(abs(seen[p] - n / 1000 * (i + 1)) < 6 for p, n in enumerate(needed))
+        done = done or any(seen[p] == n for p, n in enumerate(needed))
+    assert [seen[p] for p in range(3)] == needed
+
+
+def test_schedule_gives_every_source_all_it_needs(spark):
+    rng = random.Random(21)
+    for _ in range(6):
+        needed = [rng.choice([1, 1, 2, 7, 60, 900]) for _ in range(rng.randint(1, 25))]
+        rows = schedule_of(spark, needed, mixing.SPAN * sum(needed), rng.randrange(1 << 30))
+        assert Counter(p for _, p, _ in rows) == dict(enumerate(needed))
+
+
+def test_slots_follow_the_targets_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = docs.select("source", mixing.word_count(docs.text).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = mixing.blocks_of(mixing.source_targets(sizes), mixing.BLOCK)
+    held = {r.place: r for r in sources.collect()}
+    total, words_ = sum(r.needed for r in held.values()), sum(r.target for r in held.values())
+    assert all(r.needed == -(-int(r.target) // mixing.BLOCK) for r in held.values())
+    seen = Counter()
+    for i, (_, place, _) in enumerate(sorted((r.slot, r.place, r["rank"]) for r in mixing.schedule(sources, mixing.SPAN * total).collect())):
+        seen[place] += 1
+        if i < 0.9 * total:
+            # a block more or less for the points, and what rounding a target up to whole blocks adds
+            assert all(abs(seen[p] - r.target / words_ * (i + 1)) < 4 for p, r in held.items())
+    assert all(seen[p] == r.needed for p, r in held.items())
+    taken = {r.source: r.t for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert all(taken[r.source] == int(r.target) for r in held.values())
 
 
 KINDS = {

@@ -18,8 +18,11 @@ POINTS, HALF = 1 << 40, 20
 GOLDEN = 679535556991
 #: Bits of a point within a cell, of which there are 4,096.
 CELL = 28
-#: Blocks that a target has at least, unless they would be shorter than a word.
-PARTS = 1024
+#: Words of a block, the same for every source.
+BLOCK = 1024
+#: Slots of a schedule for each that the targets need.  Points that turn by the golden ratio leave gaps of less than 1.9 / n
+#: after n of them, so that with twice as many every needed slot's share of the circle has been met.
+SPAN = 2
 
 
 def word_count(text: Column) -> Column:
@@ -77,18 +80,12 @@ def running(df: DataFrame, key: list[str], order: list[str], value: Column, name
 
 
 def blocks_of(targets: DataFrame, block: int) -> DataFrame:
-    """Adds length, blocks and needed to sources: words of a block, blocks of the source's line, slots that its target needs.
+    """Adds goal and needed to sources that give anything: the words to take, and the blocks of ``block`` words that these fill.
 
-    A block has ``block`` words, or a thousandth of the target (``PARTS``) if that is less, so that a few slots more or
-    less are little of any target; the line's last block may be shorter.
+    Blocks are as long for every source; only the last one that a source gives may be shorter.
     """
-    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / PARTS))).cast("long")
-    goal = F.floor("target").cast("long")
-    whole = F.floor(goal / F.col("source_size")).cast("long")
-    rows = targets.where("source_size > 0 AND target > 0").withColumn("length", length)
-    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
-    rest = F.ceil((goal - whole * F.col("source_size")) / F.col("length")).cast("long")
-    return rows.withColumn("needed", whole * F.col("blocks") + rest)
+    rows = targets.withColumn("goal", F.floor("target").cast("long")).where("source_size > 0 AND goal > 0")
+    return rows.withColumn("needed", F.ceil(F.col("goal") / F.lit(block)).cast("long"))
 
 
 def golden(slot: Column) -> Column:
@@ -98,11 +95,12 @@ def golden(slot: Column) -> Column:
 
 
 def schedule(sources: DataFrame, slots: int, point: Callable[[Column], Column] = golden) -> DataFrame:
-    """The order in which sources give blocks: rows (slot, place, rank).
+    """The order in which sources give blocks: rows (slot, place, rank) of ``slots`` slots, but for those of sources that are done.
 
-    ``point`` maps slot i to a point, the cumulative ``needed`` slots map that to a source; the rank counts the
-    source's slots so far, and names its block.  Golden-ratio points of any run of slots fall evenly, so every
-    prefix of the schedule keeps the weights.  Cells of equal width make the search for a point's source an equi-join.
+    ``point`` maps slot i to a point, and the cumulative weights (blocks ``needed``) map that to a source; the rank counts the
+    source's slots so far, and names its block.  Golden-ratio points of any run of slots fall evenly, so until the first
+    source has given all it needs, every prefix of the schedule keeps the weights; slots of a source that is done are passed over.
+    Cells of equal width make the search for a point's source an equi-join.
     """
     total = F.sum("needed").over(Window.partitionBy())
     upto = F.sum("needed").over(Window.orderBy("place"))
@@ -115,7 +113,8 @@ def schedule(sources: DataFrame, slots: int, point: Callable[[Column], Column] =
     points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
     points = points.withColumn("cell", F.shiftright("point", CELL))
     drawn = points.join(cells, "cell").where("point >= low and point < high").select("slot", "place")
-    return running(drawn, ["place"], ["slot"], F.lit(1), "rank", F.shiftright("slot", 14))
+    ranked = running(drawn, ["place"], ["slot"], F.lit(1), "rank", F.shiftright("slot", 14))
+    return ranked.join(sources.select("place", "needed"), "place").where("rank < needed").select("slot", "place", "rank")
 
 
 def mix(
@@ -123,7 +122,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    block: int = 1024,
+    block: int = BLOCK,
     weights: tuple[int, ...] = WEIGHTS,
     seed: str = "mix",
     point: Callable[[Column], Column] = golden,
@@ -132,11 +131,9 @@ def mix(
 
     Returns a row for each row: doc_id, size (words), source, source_size, weight,
     target (the source's), taken (words, repeats counted), first_slot (of the schedule, that takes words of it; null if
-    none does).  The documents of a source are shuffled (by a hash of id and ``seed``) and laid end to end; blocks are
-    cut from that line.  The schedule has as many slots as all targets need; the source of a slot gives
-    its next block, from the first again after the last, and nothing once it has given all ``EPOCHS`` times.  What a
-    source gives is thus what the schedule's points give it: off its target by the few slots (of a thousand or more) by
-    which low-discrepancy points miss a share.
+    none does).  The documents of a source are shuffled (by a hash of id and ``seed``) and laid end to end, and that line is
+    repeated ``EPOCHS`` times.  A slot of the schedule takes the next ``block`` words of its source's line, up to the target;
+    slots come to sources by golden-ratio points on the cumulative weights, and what they take of a document is what the mix takes.
 
     Null and empty texts have no words and give none; null sources are a source; rows that repeat an id
     keep apart; an empty table gives an empty result; other columns are not looked at.
@@ -152,9 +149,7 @@ def mix(
     targets = written(source_targets(sizes, weights), "targets")
     sources = blocks_of(targets, block)
     slots = sources.agg(F.sum("needed")).first()[0] or 0
-    drawn = schedule(sources, slots, point).join(sources.select("place", "blocks"), "place")
-    given = drawn.where(F.col("rank") < EPOCHS * F.col("blocks")).groupBy("place", (F.col("rank") % F.col("blocks")).alias("block"))
-    given = given.agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
+    given = schedule(sources, SPAN * slots, point)
     placed = running(
         rows.where("size > 0"),
         ["source"],
@@ -164,13 +159,17 @@ def mix(
         F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int"),
     )
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    placed = written(placed.alias("d").join(sources.select("source", "place", "length").alias("t"), same).select("d.*", "t.place", "t.length"), "placed")
-    end, length = F.col("start") + F.col("size"), F.col("length")
-    each = F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))
-    pieces = placed.select("place", "start", end.alias("end"), "length", F.explode(each).alias("block"))
-    held = F.least("end", (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
-    taken = pieces.join(given, ["place", "block"]).groupBy("place", "start")
-    taken = taken.agg(F.sum(held * F.col("times")).alias("taken"), F.min("slot").alias("first_slot"))
+    known = sources.select("source", "place", "source_size", "goal").alias("t")
+    placed = written(placed.alias("d").join(known, same, "left").select("d.*", "t.place", "t.source_size", "t.goal"), "placed")
+    # a document's words in each repeat of its source's line, and the blocks in which they lie
+    begins = F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda i: i * F.col("source_size") + F.col("start"))
+    times = placed.select("place", "start", "size", "goal", F.explode(begins).alias("begin")).where("begin < goal")
+    times = times.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("goal")))
+    each = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))
+    pieces = times.select("place", "start", "begin", "end", F.explode(each).alias("rank"))
+    held = F.least("end", (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block)
+    taken = pieces.join(given, ["place", "rank"]).groupBy("place", "start")
+    taken = taken.agg(F.sum(held).alias("taken"), F.min("slot").alias("first_slot"))
     found = placed.join(taken, ["place", "start"], "left").select("doc_id", "size", "source", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
     nothing = F.lit(None).cast("long").alias("first_slot")
     none = rows.where("size = 0").select("doc_id", "size", "source", F.lit(0).cast("long").alias("taken"), nothing)

@@ -140,19 +140,17 @@ t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT level FROM
 _MIXING = (
     _SIZES
     + f"""
-, k AS (SELECT p.source, place, source_size, target, CAST(greatest(1, least(1024, floor(target / {mixing.PARTS}))) AS BIGINT) AS length, CAST(floor(target) AS BIGINT) AS goal
-    FROM t JOIN (SELECT source, place FROM p) p ON p.source IS NOT DISTINCT FROM t.source WHERE source_size > 0 AND target > 0),
-b AS (SELECT *, (source_size + length - 1) // length AS blocks FROM k),
-n AS (SELECT *, goal // source_size * blocks + (goal % source_size + length - 1) // length AS needed FROM b),
+, n AS (SELECT p.source, place, source_size, target, CAST(floor(target) AS BIGINT) AS goal, (CAST(floor(target) AS BIGINT) + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS needed
+    FROM t JOIN (SELECT source, place FROM p) p ON p.source IS NOT DISTINCT FROM t.source WHERE source_size > 0 AND floor(target) > 0),
 c AS (SELECT *, floor((sum(needed) OVER o - needed)::DOUBLE * {mixing.POINTS} / sum(needed) OVER ()) AS low, floor((sum(needed) OVER o)::DOUBLE * {mixing.POINTS} / sum(needed) OVER ()) AS high FROM n WINDOW o AS (ORDER BY place)),
-slots AS (SELECT i AS slot, (i::HUGEINT * {mixing.GOLDEN}) % {mixing.POINTS} AS point FROM (SELECT unnest(range((SELECT sum(needed)::BIGINT FROM n))) AS i)),
-r AS (SELECT slot, place, blocks, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM slots JOIN c ON point >= low AND point < high),
-g AS (SELECT place, rank % blocks AS block, count(*) AS times, min(slot) AS slot FROM r WHERE rank < {mixing.EPOCHS} * blocks GROUP BY 1, 2),
-o AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, t.source_size, t.target, place, length,
+slots AS (SELECT i AS slot, (i::HUGEINT * {mixing.GOLDEN}) % {mixing.POINTS} AS point FROM (SELECT unnest(range({mixing.SPAN} * (SELECT sum(needed)::BIGINT FROM n))) AS i)),
+r AS (SELECT slot, place, needed, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM slots JOIN c ON point >= low AND point < high),
+o AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, t.source_size, t.target, place, goal,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS begins
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT row, place, begins, begins + size AS ends, length, unnest(range(begins // length, (begins + size - 1) // length + 1)) AS block FROM o WHERE size > 0),
-x AS (SELECT row, sum((least(ends, (e.block + 1) * length) - greatest(begins, e.block * length)) * times) AS taken, min(slot) AS first_slot FROM e JOIN g ON g.place = e.place AND g.block = e.block GROUP BY row)
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON n.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT row, place, goal, size, repeat * source_size + begins AS a FROM o, (SELECT unnest(range({mixing.EPOCHS})) AS repeat) WHERE size > 0 AND repeat * source_size + begins < goal),
+e AS (SELECT *, least(a + size, goal) AS b, unnest(range(a // {mixing.BLOCK}, (least(a + size, goal) - 1) // {mixing.BLOCK} + 1)) AS rank FROM a),
+x AS (SELECT row, sum(least(b, (e.rank + 1) * {mixing.BLOCK}) - greatest(a, e.rank * {mixing.BLOCK})) AS taken, min(slot) AS first_slot FROM e JOIN r ON r.place = e.place AND r.rank = e.rank AND r.rank < needed GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot FROM o LEFT JOIN x USING (row)"""
 )
 
