@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from wayfare.operators import guards, pairs
 from wayfare.plans import choice_queries
 from wayfare.plans.choice_queries import cube, draw, draw_sql, rounded, table
-from wayfare.plans.session import kept
+from wayfare.plans.session import kept, workspace
 from wayfare.sources import cubes
+from wayfare.sources.caches import NumericInputs
 
 PERIODS = ("EA", "AM", "MD", "PM", "EV")
 
@@ -105,3 +106,20 @@ def dense_skims(spark: SparkSession, folder: str) -> DataFrame:
     }
     found = dense.lookup(rows, reads).withColumn("max_dist", F.greatest("od_dist", "do_dist"))
     return found.select("o_orderkey", "od_dist", *[rounded(F.col(c), 4).alias(c) for c in ("odt_time", "dot_time")], "do_dist", "max_dist")
+
+
+@query("SELECT o_custkey % 50 AS bucket, count(*) AS orders, round(sum(o_totalprice), 2) AS price, 2::BIGINT AS hits, 1::BIGINT AS misses FROM orders GROUP BY 1")
+def cached_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV table read before it is cached, from the cache, and from the cache again under a new object."""
+    place = workspace(spark, "inputs")
+    table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice").write.option("header", True).csv(f"{place}/orders")
+    types = {"o_orderkey": "long", "o_custkey": "long", "o_totalprice": "double"}
+    first, second = NumericInputs(spark, f"{place}/cache"), NumericInputs(spark, f"{place}/cache")
+    first.read(f"{place}/orders", types)
+    first.prepare(f"{place}/orders", types)
+    first.read(f"{place}/orders", types)
+    held = second.read(f"{place}/orders", types)
+    events = first.events + second.events
+    hits = sum(e["hit"] for e in events)
+    sums = held.groupBy((F.col("o_custkey") % 50).alias("bucket")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return sums.select("*", F.lit(hits).cast("long").alias("hits"), F.lit(len(events) - hits).cast("long").alias("misses"))
