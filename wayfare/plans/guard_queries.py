@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators import guards, pairs
+from wayfare.operators import comparisons, guards, pairs
 from wayfare.plans import choice_queries
 from wayfare.plans.choice_queries import cube, draw, draw_sql, rounded, table
 from wayfare.plans.session import kept, workspace
 from wayfare.sources import cubes
 from wayfare.sources.caches import NumericInputs
+from wayfare.sources.tables import matrix_cells
 
 PERIODS = ("EA", "AM", "MD", "PM", "EV")
 
@@ -123,3 +124,50 @@ def cached_inputs(spark: SparkSession, folder: str) -> DataFrame:
     hits = sum(e["hit"] for e in events)
     sums = held.groupBy((F.col("o_custkey") % 50).alias("bucket")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("price"))
     return sums.select("*", F.lit(hits).cast("long").alias("hits"), F.lit(len(events) - hits).cast("long").alias("misses"))
+
+
+_WEIGHTS = {"stay": [0.5, 0.25, -0.125], "go": [0.25, -0.5, 1.0], "wait": [1.0, 0.0, 0.0]}
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, (o_custkey % 9)::FLOAT AS x, (o_orderkey % 16 / 8.0)::FLOAT AS y, (o_custkey % 5)::FLOAT AS z, o_orderkey % 50 = 0 AS bad, o_orderkey % 70 = 0 AS off FROM orders),
+    p AS (SELECT *, CASE WHEN bad THEN y + 1 ELSE y END AS w FROM o),
+    c AS (SELECT o_orderkey, 'feature' AS kind, 'y' AS name, NULL AS first_term, 'expression' AS category FROM p WHERE bad
+        UNION ALL SELECT o_orderkey, 'utility', 'stay', 'y', 'inputs' FROM p WHERE bad
+        UNION ALL SELECT o_orderkey, 'utility', 'go', CASE WHEN bad THEN 'y' END, CASE WHEN off THEN 'accumulation' ELSE 'inputs' END FROM p WHERE (bad AND NOT off) OR off)
+    SELECT *, (SELECT count(*) FROM c) AS reported FROM c"""
+)
+def evaluation_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Two evaluations of a specification, one with a faulty term and a faulty sum; cells that differ, and the number that a written report gives."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    features = [(owner % 9).cast("float"), (key % 16 / 8.0).cast("float"), (owner % 5).cast("float")]
+    rows = table(spark, folder, "orders").select("o_orderkey", F.array(*features).alias("features"))
+    names = list(_WEIGHTS)
+
+    def evaluated(held: DataFrame) -> DataFrame:
+        return held.withColumn("utilities", F.array(*[comparisons.ordered_utility(F.col("features"), w) for w in _WEIGHTS.values()]))
+
+    faulty = rows.withColumn("features", F.transform("features", lambda x, i: (x + F.when((i == 1) & (key % 50 == 0), 1.0).otherwise(0.0)).cast("float")))
+    other = evaluated(faulty).withColumn("utilities", F.transform("utilities", lambda u, i: (u + F.when((i == 1) & (key % 70 == 0), 8.0).otherwise(0.0)).cast("float")))
+    strict = evaluated(rows)
+    found = kept(comparisons.divergences(strict, other, "o_orderkey", ["x", "y", "z"], names, _WEIGHTS), "divergences")
+    place = f"{workspace(spark, 'report')}/report"
+    comparisons.write_report(spark, comparisons.report(strict, found, "o_orderkey", ["x", "y", "z"], names), place)
+    counted = sum(comparisons.read_report(spark, place)["categories"].values())
+    return found.select("o_orderkey", "kind", "name", "first_term", "category", F.lit(counted).cast("long").alias("reported"))
+
+
+@query(
+    """WITH a AS (SELECT 'O' || o_orderstatus AS matrix, c_nationkey AS orig, o_orderkey % 7 AS dest, count(*)::DOUBLE AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    b AS (SELECT 'O' || o_orderstatus AS matrix, c_nationkey AS orig, o_orderkey % 7 AS dest, count(*)::DOUBLE AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 97 <> 0 GROUP BY ALL),
+    j AS (SELECT a.matrix, coalesce(a.v, 0) AS r, coalesce(b.v, 0) AS c FROM a LEFT JOIN b ON a.matrix = b.matrix AND a.orig = b.orig AND a.dest = b.dest)
+    SELECT matrix, sum(r) AS reference, sum(c) AS candidate, count(*) FILTER (r <> c) AS differing, max(abs(r - c)) AS largest FROM j GROUP BY matrix"""
+)
+def matrix_differences(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse trip matrices beside those that some trips are missing from, by total and by cell."""
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("orig"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(customers, "o_custkey")
+    trips = orders.select("orig", (F.col("o_orderkey") % 7).alias("dest"), "o_orderkey", *[(F.col("o_orderstatus") == s).cast("double").alias(s) for s in "FOP"])
+    fields = {f"O{s}": [s] for s in "FOP"}
+    whole, part = (matrix_cells(t, fields) for t in (trips, trips.where("o_orderkey % 97 <> 0")))
+    return comparisons.compare_matrices(whole, part)[1]
