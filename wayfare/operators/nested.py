@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.operators.choice import FAINT, NONE
 
+#: The least float; utilities at or below it do not count in single precision.
+LEAST = float(np.finfo(np.float32).min)
+
 
 @dataclass(frozen=True)
 class Nest:
@@ -53,12 +57,11 @@ def _nests(tree: Nest, scale: float = 1.0, depth: int = 0) -> list[tuple[int, Ne
     return [(depth, tree, own), *below]
 
 
-def with_logsums(df: DataFrame, tree: Nest, shift: bool = True, single: bool = False) -> DataFrame:
+def with_logsums(df: DataFrame, tree: Nest, shift: bool = True) -> DataFrame:
     """Adds ``_s_<nest>`` for every nest, from the deepest up; leaves are columns of their own names.
 
-    A nest's value is coefficient * ln(sum of exp(part)) (A16); ``single`` rounds each to single precision
-    (A17), without ``shift`` exponentials are taken as they are (A18).  A level is a projection, so nothing is
-    evaluated twice; -inf stands for a nest without an available part.
+    A nest's value is coefficient * ln(sum of exp(part)) (A16); without ``shift`` exponentials are taken as they are (A18).  A
+    level is a projection, so nothing is evaluated twice; -inf stands for a nest without an available part.
     """
     nests = _nests(tree)
     for level in range(max(d for d, _, _ in nests), -1, -1):
@@ -73,19 +76,50 @@ def with_logsums(df: DataFrame, tree: Nest, shift: bool = True, single: bool = F
             top = F.col(f"_t_{nest.name}") if shift else F.lit(0.0)
             terms = [F.exp(F.col(f"_p_{nest.name}")[i] - top) for i in range(len(nest.parts))]
             total = sum(terms[1:], terms[0])
-            value = F.when(F.col(f"_t_{nest.name}") == NONE, NONE).otherwise((top + F.log(total)) * nest.coefficient)
-            sums[f"_s_{nest.name}"] = value.cast("float").cast("double") if single else value
+            sums[f"_s_{nest.name}"] = F.when(F.col(f"_t_{nest.name}") == NONE, NONE).otherwise((top + F.log(total)) * nest.coefficient)
         df = df.withColumns(sums)
     return df
 
 
+def single_logsum(df: DataFrame, tree: Nest, name: str = "logsum") -> DataFrame:
+    """Adds the root's log-sum in single precision, every quotient, exponential, sum and product of which is rounded.
+
+    Nests hold utilities, so a part is divided by the product of coefficients down to its nest and the nest's log-sum multiplied
+    by it again.  A part at or below the least float, or not a number, does not count; the largest part counts as 1,
+    and the others are added in order.  Without a part that counts the value is -inf.
+    """
+    nests = _nests(tree)
+    held = df.withColumns({f"_v_{x}": F.col(x).cast("float") for x in tree.leaves()})
+    for level in range(max(d for d, _, _ in nests), -1, -1):
+        here = [(nest, float(np.float32(scale))) for depth, nest, scale in nests if depth == level]
+        names = {nest.name: [part if isinstance(part, str) else part.name for part in nest.parts] for nest, _ in here}
+
+        def scaled(part: str, mu: float) -> Column:
+            value = F.col(f"_v_{part}")
+            return F.when((value > LEAST) & ~F.isnan(value), (value.cast("double") / mu).cast("float"))
+
+        held = held.withColumns({f"_z_{x}": scaled(x, mu) for nest, mu in here for x in names[nest.name]})
+        tops = {f"_t_{nest.name}": F.array_max(F.array(*[F.col(f"_z_{x}") for x in names[nest.name]])) for nest, _ in here}
+        held = held.withColumns(tops)
+        values = {}
+        for nest, mu in here:
+            top, total = F.col(f"_t_{nest.name}"), F.lit(0.0).cast("float")
+            for x in names[nest.name]:
+                weight = F.exp((F.col(f"_z_{x}") - top).cast("float").cast("double")).cast("float")
+                total = (total + F.coalesce(weight, F.lit(0.0).cast("float"))).cast("float")
+            logarithm = (F.log(total.cast("double")).cast("float") + top).cast("float")
+            values[f"_v_{nest.name}"] = F.coalesce((logarithm * F.lit(mu).cast("float")).cast("float"), F.lit(NONE).cast("float"))
+        held = held.withColumns(values)
+    return held.select(*df.columns, F.col(f"_v_{tree.name}").alias(name))
+
+
 def _part(part: str | Nest, scale: float) -> Column:
     return F.col(part).cast("double") / scale if isinstance(part, str) else F.col(f"_s_{part.name}")
 
 
-def logsum(df: DataFrame, tree: Nest, name: str = "logsum", shift: bool = True, single: bool = False) -> DataFrame:
+def logsum(df: DataFrame, tree: Nest, name: str = "logsum", shift: bool = True) -> DataFrame:
     """Adds the root's log-sum."""
-    held = with_logsums(df, tree, shift, single)
+    held = with_logsums(df, tree, shift)
     return held.select(*df.columns, F.col(f"_s_{tree.name}").alias(name))
 
 

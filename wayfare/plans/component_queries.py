@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,14 +118,34 @@ def policy_sums(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", *sums)
 
 
-@query(f"WITH {_NESTS} SELECT id AS c_custkey, round(logsum, 3) + 0.0 AS single, round(logsum, 6) + 0.0 AS unshifted FROM root")
+def single_sql(tree: nested.Nest, leaf: str) -> str:
+    """Tables after v, from columns v_<leaf> to v_<root>: a nest's value in single precision, level by level."""
+    found = nested._nests(tree)
+    deepest = max(d for d, _, _ in found)
+    out = [f"v{deepest + 1} AS ({leaf})"]
+    for level in range(deepest, -1, -1):
+        here = [(n, f"{float(np.float32(scale))!r}") for d, n, scale in found if d == level]
+        parts = {n.name: [x if isinstance(x, str) else x.name for x in n.parts] for n, _ in here}
+        z = ", ".join(f"(v_{x}::DOUBLE / {mu}::DOUBLE)::FLOAT AS z_{x}" for n, mu in here for x in parts[n.name])
+        tops = ", ".join(f"greatest({', '.join(f'z_{x}' for x in parts[n.name])}) AS t_{n.name}" for n, _ in here)
+        values = ", ".join(
+            f"((ln(({' + '.join(f'exp((z_{x} - t_{n.name})::FLOAT::DOUBLE)::FLOAT' for x in parts[n.name])})::DOUBLE)::FLOAT + t_{n.name})::FLOAT * {mu}::FLOAT)::FLOAT AS v_{n.name}" for n, mu in here
+        )
+        out.append(f"v{level} AS (SELECT *, {values} FROM (SELECT *, {tops} FROM (SELECT *, {z} FROM v{level + 1})))")
+    return ", ".join(out)
+
+
+_LEAVES = "SELECT id, " + ", ".join(f"max(util) FILTER (m = {i})::FLOAT AS v_m{i}" for i in range(21)) + " FROM v GROUP BY id"
+
+
+@query(f"WITH {_NESTS}, {single_sql(TREE, _LEAVES)} SELECT id AS c_custkey, v_root::DOUBLE AS single, round(logsum, 6) + 0.0 AS unshifted FROM root JOIN v0 USING (id)")
 def nested_policies(spark: SparkSession, folder: str) -> DataFrame:
-    """Log-sums rounded to single precision at every nest, and without a shift, over a checked tree."""
+    """Log-sums in single precision at every step, to the last bit, and without a shift, over a checked tree."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     rows = customers.select("c_custkey", *[mode_utility(i, F.col("c_acctbal"), F.col("c_nationkey")).alias(f"m{i}") for i in range(21)])
     tree = nested.validated(TREE)
-    both = nested.logsum(nested.logsum(rows, tree, "single", single=True), tree, "unshifted", shift=False)
-    return both.select("c_custkey", rounded(F.col("single"), 3).alias("single"), rounded(F.col("unshifted")).alias("unshifted"))
+    both = nested.logsum(nested.single_logsum(rows, tree, "single"), tree, "unshifted", shift=False)
+    return both.select("c_custkey", F.col("single").cast("double").alias("single"), rounded(F.col("unshifted")).alias("unshifted"))
 
 
 @query(

@@ -114,11 +114,14 @@ def _day_batch(n: int) -> str:
     tours AS (SELECT tour_id, person_id, tour_num FROM ({" UNION ALL ".join([_tour_sql(0, 1, 39, "wc >= 1", "1"), _tour_sql(0, 2, 40, "wc >= 2", "2"), _tour_sql(1, 1, 31, "sc >= 1", "wc + 1"), _tour_sql(1, 2, 32, "sc >= 2", "wc + 2")])})
         UNION ALL SELECT {FIRST_OTHER} + o_orderkey, o_custkey, wc + sc + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders JOIN n ON person_id = o_custkey WHERE o_orderstatus = 'O'),
     {_CELLS}, {", ".join(_day_batch(n) for n in range(1, BATCHES + 1))}
-    SELECT id AS tour_id, person_id, tour_num::INTEGER AS tour_num, choice AS tdd, logsum FROM ({" UNION ALL ".join(f"SELECT * FROM chosen{n}" for n in range(1, BATCHES + 1))}) x JOIN tours ON tours.tour_id = x.id"""
+    SELECT id AS tour_id, person_id, tour_num::INTEGER AS tour_num, choice AS tdd, logsum FROM ({" UNION ALL ".join(f"SELECT * FROM chosen{n}" for n in range(1, BATCHES + 1))}) x JOIN tours ON tours.tour_id = x.id
+    UNION ALL SELECT tour_id, person_id, tour_num::INTEGER, -1, NULL FROM tours WHERE tour_num > {BATCHES}"""
 )
 def resident_chain(spark: SparkSession, folder: str) -> DataFrame:
     """A person's day from end to end: vehicles, how many mandatory tours, the tours, and six batches of schedules, each
-    around the ones before; open orders are the tours after the mandatory ones (C2, C3, J1, T1-T6, T10, T12)."""
+    around the ones before; open orders are the tours after the mandatory ones (C2, C3, J1, T1-T6, T10, T12).
+
+    A day has BATCHES scheduled tours at most: later ones are returned unscheduled, with a tdd of -1 and no logsum."""
     autos = region_choice(spark, folder).select("c_custkey", F.col("choice").alias("autos"))
     jobs = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("jobs"))
     people = gather(table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), autos, ["c_custkey"], ["autos"])
@@ -138,7 +141,7 @@ def resident_chain(spark: SparkSession, folder: str) -> DataFrame:
     others = table(spark, folder, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("person_id"), "o_orderkey")
     others = gather(others.withColumn("nth", F.row_number().over(own)), counts, ["person_id"], ["before"])
     others = others.select((F.col("o_orderkey") + FIRST_OTHER).alias("tour_id"), "person_id", (F.col("before") + F.col("nth")).cast("int").alias("tour_num"))
-    both = mandatory.select("tour_id", "person_id", F.col("tour_num").cast("int").alias("tour_num")).unionByName(others).where(F.col("tour_num") <= BATCHES)
+    both = mandatory.select("tour_id", "person_id", F.col("tour_num").cast("int").alias("tour_num")).unionByName(others)
     held = kept(both.withColumn("z", draw(F.col("tour_id"), 13)), "tours")
 
     def utility(rows: DataFrame) -> DataFrame:
@@ -146,4 +149,5 @@ def resident_chain(spark: SparkSession, folder: str) -> DataFrame:
         return rows.withColumn("utility", base + F.when(F.col("previous_ends"), 0.5).otherwise(0.0))
 
     done = scheduling.schedule_batches(held, timetable.hourly(), utility, list(range(1, BATCHES + 1)), kept)
-    return done.select("tour_id", "person_id", "tour_num", "tdd", rounded(F.col("logsum")).alias("logsum"))
+    rest = held.where(F.col("tour_num") > BATCHES).select("tour_id", "person_id", "tour_num", F.lit(-1).alias("tdd"), F.lit(None).cast("double").alias("logsum"))
+    return done.unionByName(rest).select("tour_id", "person_id", "tour_num", "tdd", rounded(F.col("logsum")).alias("logsum"))
