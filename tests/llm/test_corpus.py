@@ -831,6 +831,41 @@ def test_doubles_keep_their_precision(spark):
         assert recall_of(vectors, x) >= 0.9
 
 
+def test_buckets_of_pairs_are_ranked_without_listing_them():
+    rng = np.random.default_rng(31)
+    for width in (2, 4, 16):
+        x, sign = rng.normal(size=(25, width)), neighbours.signs(1, 2, width)[0]
+        along = neighbours.nearness(x, sign)
+        every = (along[0][:, :, None] + along[1][:, None, :]).reshape(25, -1)
+        value = every[:, rng.integers(0, every.shape[1], 6)]
+        assert (neighbours.reached(along, value - 1e-12) == (every[:, None, :] >= value[:, :, None] - 1e-12).sum(axis=2)).all()
+        for count in (1, 3, 10, 10**6):
+            got, count = neighbours.probed(x, sign, count), min(count, every.shape[1])
+            assert got.shape == (25, count) and all(len(set(g)) == count for g in got.tolist())
+            best = np.sort(every, axis=1)[:, ::-1][:, :count]
+            assert np.allclose(np.sort(np.take_along_axis(every, got, axis=1), axis=1)[:, ::-1], best, atol=1e-12)
+            bar = neighbours.bar_of(along, count)
+            assert ((every >= bar[:, None]).sum(axis=1) >= count).all() and (bar >= best[:, -1] - 1e-6).all()
+
+
+def test_ordinary_dimensions_are_fitted_in_bounded_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(32).normal(size=(4096, 768)).astype(np.float32)
+    tracemalloc.start()
+    hashes, probes = neighbours.fitted(x, 20, 6, float(neighbours.lengths(x.astype(float)).max()), False, 10**9, 20)
+    assert tracemalloc.get_traced_memory()[1] < 1e9 and hashes in (1, 2) and 0 < probes
+    tracemalloc.stop()
+
+
+def test_neighbours_in_768_dimensions(spark):
+    rng = np.random.default_rng(33)
+    centres = rng.normal(size=(50, 768))
+    x = np.concatenate([c + 0.5 * rng.normal(size=(30, 768)) for c in centres]).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert recall_of(vectors, x) >= 0.9
+
+
 def test_few_vectors_are_all_found(spark):
     rows = [(i * 10, [float(i), 1.0]) for i in range(6)]
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from wayfare.llm.common import finished, written
 TABLES = 6
 #: Rows on which the number of probes is fitted (those of least hash), and queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
+#: Queries among them on which pairs of hashes are fitted.
+PAIR_QUERIES = 32
 #: Recall that the fit aims at, on the sample.
 AIM = 0.95
 #: Candidates, and queries, of a bucket that are compared at once; larger buckets are dealt out in blocks.
@@ -29,14 +32,25 @@ def signs(tables: int, hashes: int, width: int, seed: int = 11) -> np.ndarray:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of each row; the width is a power of two."""
+    """Fast Walsh-Hadamard transform of each row; the width is a power of two.
+
+    In two passes over factors of the width near its root, each of which is a product with a small matrix.
+    """
     n, width = x.shape
-    step = 1
-    while step < width:
-        y = x.reshape(n, -1, 2, step)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(n, width)
-        step *= 2
-    return x / np.sqrt(width)
+    b = 1 << (width.bit_length() // 2)
+    a = width // b
+    y = (x.reshape(n * a, b) @ butterflies(b)).reshape(n, a, b)
+    y = y.swapaxes(1, 2).reshape(n * b, a) @ butterflies(a)
+    return y.reshape(n, b, a).swapaxes(1, 2).reshape(n, width) / np.sqrt(width)
+
+
+@cache
+def butterflies(width: int) -> np.ndarray:
+    """The Hadamard matrix of a small width."""
+    out = np.ones((1, 1))
+    while len(out) < width:
+        out = np.block([[out, out], [out, -out]])
+    return out
 
 
 def rotated(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
@@ -59,24 +73,59 @@ def bucket_of(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_buckets(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """How near each row is to every bucket: the sum of its coordinates along the bucket's axes."""
-    out = np.zeros((len(x), 1))
-    for along in nearness(x, sign):
-        out = (out[:, :, None] + along[:, None, :]).reshape(len(x), -1)
-    return out
+def rank_pairs(count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ranks (from 0) that the ``count`` largest sums of two sorted lists can have: few beside all ``width`` squared."""
+    first = np.arange(min(count, width))
+    upto = np.minimum(count // (first + 1), width)
+    return np.repeat(first, upto), np.concatenate([np.arange(n) for n in upto])
 
 
 def probed(x: np.ndarray, sign: np.ndarray, count: int) -> np.ndarray:
-    """The ``count`` nearest buckets of each row (all, if there are fewer)."""
+    """The ``count`` nearest buckets of each row (all, if there are fewer): those of the largest sum of coordinates along their axes.
+
+    With two hashes a bucket that is among them has ranks r and s along either with (r + 1)(s + 1) <= count, so that
+    only such pairs are looked at, for some rows at a time.
+    """
+    width = 2 * x.shape[1]
+    count = min(count, width ** len(sign))
+    if len(sign) == 1:
+        pairs = None
+    else:
+        pairs = rank_pairs(count, width)
+    step = max(1, (1 << 21) // (width if pairs is None else max(width, len(pairs[0]))))
     parts = []
-    for at in range(0, len(x), 256):
-        near = all_buckets(x[at : at + 256], sign)
-        count = min(count, near.shape[1])
-        parts.append(np.argpartition(-near, count - 1, axis=1)[:, :count])
+    for at in range(0, len(x), step):
+        along = nearness(x[at : at + step], sign)
+        if pairs is None:
+            parts.append(np.argpartition(-along[0], count - 1, axis=1)[:, :count])
+            continue
+        order = [np.argsort(-y, axis=1) for y in along]
+        high = [np.take_along_axis(y, o, axis=1) for y, o in zip(along, order, strict=True)]
+        best = np.argpartition(-(high[0][:, pairs[0]] + high[1][:, pairs[1]]), count - 1, axis=1)[:, :count]
+        parts.append(np.take_along_axis(order[0], pairs[0][best], axis=1) * width + np.take_along_axis(order[1], pairs[1][best], axis=1))
     return np.concatenate(parts) if parts else np.zeros((0, 0), np.int64)
 
 
+def reached(along: list[np.ndarray], value: np.ndarray) -> np.ndarray:
+    """How many buckets are as near to each row as each of its values (rows, values), or nearer; no list of all buckets is made."""
+    last = np.sort(along[-1], axis=1)
+    out = np.empty(value.shape, np.int64)
+    for i, v in enumerate(value):
+        left = v[:, None] if len(along) == 1 else v[:, None] - along[0][i][None]
+        out[i] = (last.shape[1] - np.searchsorted(last[i], left, side="left")).sum(axis=1)
+    return out
+
+
+def bar_of(along: list[np.ndarray], count: int) -> np.ndarray:
+    """A value for each row that its ``count`` nearest buckets reach, and few others: by bisection."""
+    low, high = sum(y.min(axis=1) for y in along), sum(y.max(axis=1) for y in along)
+    for _ in range(30):
+        middle = (low + high) / 2
+        enough = reached(along, middle[:, None])[:, 0] >= count
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle)
+    return low
+
+
 def lengths(x: np.ndarray) -> np.ndarray:
     """Euclidean lengths, scaled so that no square overflows or vanishes."""
     top = np.abs(x).max(axis=1, initial=0.0)
@@ -102,7 +151,7 @@ def fitted(x: np.ndarray, k: int, tables: int, longest: float, flat: bool, rows:
     """(hashes, probes) of a table with which ``aim`` of true neighbours within a sample are found, at the least cost.
 
     A query costs the rows in its buckets, of ``rows`` in all, and its copies: more hashes a table are worth their more
-    copies where there are many rows, or close neighbours.
+    copies where there are many rows, or close neighbours; where their copies alone cost more than one hash, no more is worked out.
     """
     if len(x) <= k + 1:
         return 1, 1 << 30
@@ -113,16 +162,19 @@ def fitted(x: np.ndarray, k: int, tables: int, longest: float, flat: bool, rows:
     base, asked = lifted(x, longest, False, flat), lifted(q, longest, True, flat)
     chosen = None
     for hashes in HASHES:
-        least, held = np.full((len(q), k), 1 << 30), []
+        some = slice(0, len(q) if hashes == 1 else PAIR_QUERIES)
+        least, held = np.full(best[some].shape, 1 << 60), []
         for sign in signs(tables, hashes, base.shape[1]):
-            own, near = bucket_of(base, sign), all_buckets(asked, sign)
-            ordered = -np.sort(-near, axis=1)
-            value = near[np.arange(len(q))[:, None], own[best]]
-            rank = np.stack([np.searchsorted(-o, -v, side="right") for o, v in zip(ordered, value, strict=True)])
-            least = np.minimum(least, rank)
-            held.append((own, near, ordered))
+            own = [y.argmax(axis=1) for y in nearness(base, sign)]
+            along = nearness(asked[some], sign)
+            value = sum(np.take_along_axis(y, o[best[some]], axis=1) for y, o in zip(along, own, strict=True))
+            # what rounding may take from a sum
+            least = np.minimum(least, reached(along, value - 1e-12))
+            held.append((own, along))
         probes = int(np.quantile(least, aim, method="higher"))
-        share = np.mean([(near[:, own] >= ordered[:, [min(probes, ordered.shape[1]) - 1]]).mean() for own, near, ordered in held])
+        if chosen is not None and tables * probes * COPY >= chosen[0]:
+            continue
+        share = np.mean([(sum(y[:, o] for y, o in zip(along, own, strict=True)) >= bar_of(along, probes)[:, None]).mean() for own, along in held])
         cost = tables * (share * rows + probes * COPY)
         if chosen is None or cost < chosen[0]:
             chosen = cost, hashes, probes
