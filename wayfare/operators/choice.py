@@ -19,7 +19,7 @@ NONE = float("-inf")
 #: Weights up to this are no probability (a fixed value).
 FAINT = 1e-300
 #: Alternatives that are columns at most, and products of coefficients that are written out.
-COMPILED, PRODUCTS = 32, 256
+COMPILED, PRODUCTS = 32, 1024
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -92,28 +92,38 @@ def choose(df: DataFrame, utilities: str, draw: str, availability: str | None =
 
 
 def _choose_columns(df: DataFrame, utilities: str, draw: str, availability: str | None, width: int) -> DataFrame:
-    """``choose`` over ``width`` columns; each projection reads what the one before it has computed once."""
+    """``choose`` over ``width`` columns; each projection reads what the one before it has computed once.
+
+    Projections are written as SQL text, which Spark parses at once, where thousands of Column objects would be made one by one.
+    """
     each = range(width)
+    own = [f"`{c}`" for c in df.columns]
     u, w = ([f"_{x}{i}" for i in each] for x in "uw")
 
-    def usable(i: int) -> Column:
-        value = F.col(utilities)[i]
-        open_ = ieee.finite(value) if availability is None else ieee.finite(value) & F.col(availability)[i]
-        return F.when(open_, value.cast("double")).otherwise(NONE)
-
-    held = df.withColumns({u[i]: usable(i) for i in each} | {"_z": checked_draw(F.col(draw))})
-    held = held.withColumn("_top", F.greatest(*u) if width > 1 else F.col(u[0]))
-    held = held.withColumns({w[i]: F.when(F.col(u[i]) == NONE, 0.0).otherwise(F.exp(F.col(u[i]) - F.col("_top"))) for i in each})
-    held = held.withColumn("_total", sum((F.col(x) for x in w), F.lit(0.0)))
-    held = held.withColumns({"_bar": F.col("_z") * F.col("_total"), "_most": F.greatest(*w) if width > 1 else F.col(w[0])})
-    some, running = F.col("_total") > 0, F.lit(0.0)
-    found, best = F.when(~some, -1), F
-    for i in each:
-        running = running + F.col(w[i])
-        found = found.when(running >= F.col("_bar"), i)
-        best = best.when(F.col(w[i]) == F.col("_most"), i)
-    logsum = F.when(some, F.col("_top") + F.log("_total")).otherwise(NONE)
-    return held.select(*df.columns, found.otherwise(best).alias("choice"), logsum.alias("logsum"))
+    def usable(i: int) -> str:
+        value = f"`{utilities}`[{i}]"
+        open_ = finite_sql(value) + ("" if availability is None else f" AND `{availability}`[{i}]")
+        return f"CASE WHEN {open_} THEN CAST({value} AS DOUBLE) ELSE DOUBLE('-Infinity') END AS {u[i]}"
+
+    def most(columns: list[str]) -> str:
+        return f"greatest({', '.join(columns)})" if width > 1 else columns[0]
+
+    z = f"`{draw}`"
+    checked = f"CASE WHEN {finite_sql(z)} AND {z} >= 0 AND {z} < 1 THEN {z} ELSE CAST(raise_error('draws must lie in [0, 1)') AS DOUBLE) END AS _z"
+    held = df.selectExpr(*own, checked, *map(usable, each))
+    held = held.selectExpr(*own, "_z", *u, f"{most(u)} AS _top")
+    held = held.selectExpr(*own, "_z", "_top", *[f"CASE WHEN {x} = DOUBLE('-Infinity') THEN 0.0D ELSE exp({x} - _top) END AS {y}" for x, y in zip(u, w, strict=True)])
+    held = held.selectExpr(*own, "_z", "_top", *w, f"{' + '.join(['0.0D', *w])} AS _total")
+    held = held.selectExpr(*own, "_top", "_total", *w, "_z * _total AS _bar", f"{most(w)} AS _most")
+    hits = " ".join(f"WHEN {' + '.join(['0.0D', *w[: i + 1]])} >= _bar THEN {i}" for i in each)
+    best = " ".join(f"WHEN {w[i]} = _most THEN {i}" for i in each)
+    choice = f"CASE WHEN NOT (_total > 0) THEN -1 {hits} {best} END AS choice"
+    return held.selectExpr(*own, choice, "CASE WHEN _total > 0 THEN _top + ln(_total) ELSE DOUBLE('-Infinity') END AS logsum")
+
+
+def finite_sql(value: str) -> str:
+    """``ieee.finite`` as SQL text."""
+    return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) <> DOUBLE('Infinity'))"
 
 
 def probabilities(utilities: Column) -> tuple[Column, Column]:
@@ -165,12 +175,15 @@ def labelled(choice: Column, labels: list) -> Column:
     return F.when(choice >= 0, F.element_at(F.array(*map(F.lit, labels)), choice + 1)).otherwise(F.lit(-1))
 
 
-def linear_utilities(features: Column, coefficients: list[list[float]], constants: list[float]) -> Column:
-    """Dot products of a feature array with each alternative's coefficients, plus constants: A2, A7, A10."""
+def linear_utilities(features: str, coefficients: list[list[float]], constants: list[float]) -> Column:
+    """Dot products of an array column with each alternative's coefficients, plus constants: A2, A7, A10.
 
+    Up to PRODUCTS they are written out as SQL text, so that they are compiled and parsed at once.
+    """
     if sum(map(len, coefficients)) <= PRODUCTS:
-        x = [features[i].cast("double") for i in range(len(coefficients[0]))]
-        return F.array(*[F.lit(float(c)) + sum((x[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0)) for beta, c in zip(coefficients, constants, strict=True)])
+        x = [f"CAST(`{features}`[{i}] AS DOUBLE)" for i in range(len(coefficients[0]))] if coefficients else []
+        sums = [f"({float(c)!r}D + ({' + '.join(['0.0D', *(f'{x[i]} * ({float(b)!r}D)' for i, b in enumerate(beta))])}))" for beta, c in zip(coefficients, constants, strict=True)]
+        return F.expr(f"array({', '.join(sums)})")
 
     def dot(beta: list[float], constant: float) -> Column:
         b = F.array(*[F.lit(float(x)) for x in beta])

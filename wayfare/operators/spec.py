@@ -164,5 +164,5 @@ def utilities(df: DataFrame, spec: Spec, **options) -> DataFrame:
     held = features(df, spec, **options)
     rows = [row for _, _, row in spec.terms()]
     by_alternative = [list(x) for x in zip(*rows, strict=True)]
-    value: Column = linear_utilities(F.col("features"), by_alternative, [0.0] * len(spec.alternatives))
+    value: Column = linear_utilities("features", by_alternative, [0.0] * len(spec.alternatives))
     return held.withColumn("utilities", value).drop("features")

@@ -99,7 +99,7 @@ def beta(alternative: int, feature: int) -> float:
 def linear_choice(spark: SparkSession, folder: str) -> DataFrame:
     """Feature arrays times coefficients, then a choice (A2)."""
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    value = choice.linear_utilities(F.col("embedding"), [[beta(a, f) for f in range(64)] for a in range(10)], [a / 20 for a in range(10)])
+    value = choice.linear_utilities("embedding", [[beta(a, f) for f in range(64)] for a in range(10)], [a / 20 for a in range(10)])
     held = rows.withColumn("u", value).withColumn("z", draw(F.col("vec_id")))
     return choice.choose(held, "u", "z", width=10).select("vec_id", "choice", rounded(F.col("logsum")).alias("logsum"))
 
@@ -385,7 +385,7 @@ def household_chain(spark: SparkSession, folder: str) -> DataFrame:
     rows = household_features(table(spark, folder, "customer")).select("c_custkey", "c_nationkey", "x")
     coefficients = [[beta(a, f) for f in range(8)] for a in range(21)]
     for name, step in (("first", 8), ("second", 9)):
-        rows = rows.withColumn("u", choice.linear_utilities(F.col("x"), coefficients, [0.0] * 21)).withColumn("z", draw(F.col("c_custkey"), step))
+        rows = rows.withColumn("u", choice.linear_utilities("x", coefficients, [0.0] * 21)).withColumn("z", draw(F.col("c_custkey"), step))
         rows = choice.choose(rows, "u", "z", width=21).withColumnRenamed("choice", name).drop("logsum", "u", "z")
         rows = rows.withColumn("x", F.concat(F.slice("x", 1, 7), F.array(F.col(name) / 20.0)))
     return rows.groupBy(F.col("c_nationkey").alias("zone")).agg(
