@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from wayfare.functions import ieee
 from wayfare.operators.choice import FAINT, NONE, checked_draw, choose_from_probabilities
 from wayfare.operators.nested import Nest
 
+#: Rows of all trees at most.
+MOST = 1 << 16
 #: Nests above an alternative at most; a tree that goes deeper is taken to be a circle.
 DEEPEST = 12
 #: A scaled utility or a sum of probabilities beyond these asks for a closer look (fixed values).
@@ -35,24 +38,24 @@ def tree_rows(tree: Nest, key: tuple, positions: dict[str, int] | None = None) -
     return out
 
 
-def _faults(tree: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
-    """(fault, node) of whatever makes ``tree`` no tree."""
-    nests, leaves = tree.where("position is null"), tree.where("position is not null")
-    parents = nests.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_there"))
-    children = tree.where("parent is not null").select(*keys, F.col("parent").alias("node")).distinct()
-
-    def named(df: DataFrame, fault: str, node: str = "node") -> DataFrame:
-        return df.select(F.lit(fault).alias("fault"), F.col(node).cast("string").alias("node"))
-
-    found = [
-        named(tree.groupBy(*keys, "node").count().where("count > 1"), "occurs twice"),
-        named(leaves.groupBy(*keys, "position").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("node")).where("count > 1"), "shares its position"),
-        named(tree.where("parent is not null").join(parents, [*keys, "parent"], "left_anti"), "hangs on no nest"),
-        named(nests.join(children, [*keys, "node"], "left_anti"), "is empty"),
-        named(nests.where(f"coefficient is null or not (coefficient between {low} and {high})"), f"has a coefficient outside [{low}, {high}]"),
-        named(tree.groupBy(*keys).agg(F.count_if(F.col("parent").isNull() & F.col("position").isNull()).alias("n"), F.min("node").alias("node")).where("n <> 1"), "has no single root above it"),
-    ]
-    return reduce(DataFrame.unionByName, found)
+def _fault(rows: list[Row], low: float, high: float) -> str | None:
+    """What makes one key's rows no tree, if anything does."""
+    counts, places = Counter(r["node"] for r in rows), Counter(r["position"] for r in rows if r["position"] is not None)
+    nests = {r["node"]: r for r in rows if r["position"] is None}
+    full = {r["parent"] for r in rows}
+    for r in rows:
+        faults = {
+            "occurs twice": counts[r["node"]] > 1,
+            "shares its position": r["position"] is not None and places[r["position"]] > 1,
+            "hangs on no nest": r["parent"] is not None and r["parent"] not in nests,
+            "is empty": r["position"] is None and r["node"] not in full,
+            f"has a coefficient outside [{low}, {high}]": r["position"] is None and not (r["coefficient"] is not None and low <= r["coefficient"] <= high),
+        }
+        for fault, there in faults.items():
+            if there:
+                return f"{r['node']} {fault}"
+    roots = [r for r in rows if r["parent"] is None]
+    return None if len(roots) == 1 and roots[0]["position"] is None else f"{rows[0]['node']} has no single root above it"
 
 
 @dataclass(frozen=True)
@@ -67,34 +70,48 @@ class Branches:
 def branches(tree: DataFrame, keys: list[str], low: float = 0.05, high: float = 1.0) -> Branches:
     """Resolves a table of trees (keys, node, parent, coefficient, position) into one row for each alternative.
 
-    ``scale`` is the product of coefficients from the root down, ``nest_i`` the nest at level i, ``mu_i`` its coefficient,
+    ``scale`` is the product of coefficients from the root down, ``nest_i`` a number of the nest at level i, ``mu_i`` its coefficient,
     and ``first_i`` marks the least position in that nest.  Below its last nest an alternative is its own nest with coefficient 1.
-    Raises where a tree is none.  Trees are specifications, which are small; choosers are not looked at.
+    Raises where a tree is none.  Trees are specifications: up to MOST rows are read as other specifications are, and choosers are
+    not looked at.
     """
-    fault = _faults(tree, keys, low, high).first()
-    if fault is not None:
-        raise ValueError(f"{fault['node']} {fault['fault']}")
-    nests = tree.where("position is null").select(*keys, F.col("node").alias("_up"), F.col("parent").alias("_next"), F.col("coefficient").cast("double").alias("_mu"))
-    held = tree.where("position is not null").select(*keys, "position", F.col("node").alias("alternative"), F.col("parent").alias("_up"), F.array().cast("array<struct<nest:string,mu:double>>").alias("_path"))
-    depth = 0
-    while held.where("_up is not null").head(1):
-        depth += 1
-        if depth > DEEPEST:
-            raise ValueError(f"nests go in a circle, or deeper than {DEEPEST}")
-        step = F.when(F.col("_mu").isNull(), F.col("_path")).otherwise(F.concat(F.array(F.struct(F.col("_up").cast("string").alias("nest"), F.col("_mu").alias("mu"))), "_path"))
-        held = held.join(nests, [*keys, "_up"], "left").select(*keys, "position", "alternative", F.col("_next").alias("_up"), step.alias("_path"))
+    rows = tree.select(*keys, "node", "parent", F.col("coefficient").cast("double").alias("coefficient"), F.col("position").cast("int").alias("position")).limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"trees have over {MOST} rows")
+    trees: dict[tuple, list[Row]] = {}
+    for r in rows:
+        trees.setdefault(tuple(r[k] for k in keys), []).append(r)
+    found = []
+    for key, own in trees.items():
+        fault = _fault(own, low, high)
+        if fault is not None:
+            raise ValueError(fault)
+        by_node = {r["node"]: r for r in own}
+        numbers = {node: i for i, node in enumerate(by_node)}
+        for leaf in (r for r in own if r["position"] is not None):
+            path, up = [], leaf["parent"]
+            while up is not None:
+                path.insert(0, (numbers[up], by_node[up]["coefficient"]))
+                up = by_node[up]["parent"]
+                if len(path) > DEEPEST:
+                    raise ValueError(f"nests go in a circle, or deeper than {DEEPEST}")
+            found.append((key, leaf, path))
+    depth = max((len(path) for _, _, path in found), default=0)
+    # the least position in every nest of a key
+    first: dict[tuple, int] = {}
+    for key, leaf, path in found:
+        for nest, _ in path:
+            first[key, nest] = min(first.get((key, nest), leaf["position"]), leaf["position"])
+    out = []
+    for key, leaf, path in found:
+        place = leaf["position"]
+        nests = [*path, *[(-1 - place, 1.0)] * (depth - len(path))]
+        scale = reduce(lambda a, p: a * p[1], path, 1.0)
+        out.append((*key, place, str(leaf["node"]), scale, *[n for n, _ in nests], *[m for _, m in nests], *[first.get((key, n), place) == place for n, _ in nests]))
     levels = range(1, depth + 1)
-    part = {i: F.get("_path", F.lit(i - 1)) for i in levels}
-    held = held.select(
-        *keys,
-        "position",
-        "alternative",
-        F.aggregate("_path", F.lit(1.0), lambda a, p: a * p["mu"]).alias("scale"),
-        *[F.coalesce(part[i]["nest"], F.concat(F.lit("\0"), F.col("alternative").cast("string"))).alias(f"nest_{i}") for i in levels],
-        *[F.coalesce(part[i]["mu"], F.lit(1.0)).alias(f"mu_{i}") for i in levels],
-    )
-    firsts = {f"first_{i}": F.col("position") == F.min("position").over(Window.partitionBy(*keys, *[f"nest_{j}" for j in range(1, i + 1)])) for i in levels}
-    return Branches(held.withColumns(firsts), keys, depth)
+    types = [f"{k} {tree.schema[k].dataType.simpleString()}" for k in keys] + ["position int", "alternative string", "scale double"]
+    types += [f"nest_{i} int" for i in levels] + [f"mu_{i} double" for i in levels] + [f"first_{i} boolean" for i in levels]
+    return Branches(tree.sparkSession.createDataFrame(out, ", ".join(types)), keys, depth)
 
 
 def with_coefficients(found: Branches, coefficients: DataFrame, segment: list[str], terms: list[str]) -> Branches:
