@@ -11,6 +11,7 @@ from wayfare.plans.choice_queries import cube, draw, draw_sql, rounded, table
 from wayfare.plans.session import kept, workspace
 from wayfare.sources import cubes
 from wayfare.sources.caches import NumericInputs
+from wayfare.sources.ranges import Ranged
 from wayfare.sources.tables import matrix_cells
 
 PERIODS = ("EA", "AM", "MD", "PM", "EV")
@@ -171,3 +172,21 @@ def matrix_differences(spark: SparkSession, folder: str) -> DataFrame:
     fields = {f"O{s}": [s] for s in "FOP"}
     whole, part = (matrix_cells(t, fields) for t in (trips, trips.where("o_orderkey % 97 <> 0")))
     return comparisons.compare_matrices(whole, part)[1]
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS household, count(*) AS orders, sum(o_totalprice) AS price, max(o_orderkey) AS newest FROM orders GROUP BY 1)
+    SELECT c_custkey AS household, coalesce(orders, 0) AS orders, round(coalesce(price, 0), 2) AS price, newest,
+        CAST(((c_custkey + 1) * ((m + 99) // 100) - 1) // m AS INTEGER) AS part FROM customer LEFT JOIN o ON household = c_custkey, (SELECT max(c_custkey) + 1 AS m FROM customer)"""
+)
+def ranged_households(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and customers kept by ranges of 100 households: grouped, and then joined, without another exchange."""
+    place = workspace(spark, "ranges")
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("household"))
+    ranges = Ranged.of(customers, "household", 100)
+    people = ranges.write(customers, "customers", place)
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("household"), "o_orderkey", "o_totalprice")
+    sums = ranges.write(orders, "orders", place).groupBy("part", "household")
+    sums = sums.agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("price"), F.max("o_orderkey").alias("newest"))
+    both = people.join(sums, ["part", "household"], "left")
+    return both.select("household", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("price", F.lit(0.0)), 2).alias("price"), "newest", "part")
