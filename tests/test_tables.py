@@ -294,6 +294,18 @@ def test_draws(spark):
     assert normals == state.standard_normal(3).tolist()
 
 
+def test_compiled_sums_are_those_of_numpy(spark):
+    rng = np.random.default_rng(15)
+    lengths = [0, 1, 2, 7, 8, 9, 15, 16, 17, 64, 127, 128, 129, 136, 200, 255, 256, 257, 300]
+    for part in (lengths[:10], lengths[10:14], lengths[14:]):
+        arrays = [(rng.normal(size=n) * 10.0 ** rng.integers(-3, 4, n)).astype(np.float32) for n in part for _ in range(5)]
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(arrays)], "i int, x array<float>")
+        got = {r.i: r.s for r in rows.select("i", aggregates.pairwise_columns("x", part).alias("s")).collect()}
+        assert all(np.float32(got[i]) == x.sum() for i, x in enumerate(arrays))
+    with pytest.raises(Exception, match="no sum of"):
+        rows.select(aggregates.pairwise_columns("x", [5])).collect()
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([(1, 1, 1e16), (1, 2, 1.0), (1, 3, -1e16), (2, 1, 5.0)], "g int, o int, v double")
     assert {r.g: r.v for r in aggregates.ordered_sum(df.repartition(3), "g", "o", "v").collect()} == {1: 0.0, 2: 5.0}

@@ -103,6 +103,31 @@ def pairwise_sum(values: Column) -> Column:
     return run(values)
 
 
+#: Terms that NumPy adds in eight sums side by side, and what it splits longer lists into (fixed values).
+LANES, BLOCK = 8, 128
+
+
+def pairwise_tree(terms: list[str]) -> str:
+    """SQL text of NumPy's pairwise sum of single-precision terms: under eight from the left, up to 128 in eight lanes, longer ones by halves."""
+    n = len(terms)
+    if n < LANES:
+        return "(" + " + ".join(terms or ["CAST(0 AS FLOAT)"]) + ")"
+    if n <= BLOCK:
+        whole = n - n % LANES
+        lanes = ["(" + " + ".join(terms[i:whole:LANES]) + ")" for i in range(LANES)]
+        while len(lanes) > 1:
+            lanes = [f"({a} + {b})" for a, b in zip(lanes[::2], lanes[1::2], strict=True)]
+        return "(" + " + ".join([lanes[0], *terms[whole:]]) + ")"
+    half = n // 2 - n // 2 % LANES
+    return f"({pairwise_tree(terms[:half])} + {pairwise_tree(terms[half:])})"
+
+
+def pairwise_columns(values: str, lengths: list[int]) -> Column:
+    """``pairwise_sum`` of an array column of single precision as compiled code: one tree for each length; another length raises."""
+    cases = " ".join(f"WHEN {n} THEN {pairwise_tree([f'`{values}`[{i}]' for i in range(n)])}" for n in lengths)
+    return F.expr(f"CASE size(`{values}`) {cases} ELSE CAST(raise_error(concat('no sum of ', size(`{values}`), ' terms was made')) AS FLOAT) END")
+
+
 def compare_outputs(reference: DataFrame, candidate: DataFrame, key: list[str], tolerances: dict[str, float]) -> DataFrame:
     """Differences between two outputs: (key, column, reference, candidate); none means they agree.
 

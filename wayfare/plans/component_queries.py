@@ -138,6 +138,17 @@ def single_sql(tree: nested.Nest, leaf: str) -> str:
 _LEAVES = "SELECT id, " + ", ".join(f"max(util) FILTER (m = {i})::FLOAT AS v_m{i}" for i in range(21)) + " FROM v GROUP BY id"
 
 
+_LANED = aggregates.pairwise_tree([f"embedding[{i + 1}]" for i in range(64)])
+
+
+@query(f"SELECT vec_id, {_LANED}::DOUBLE AS pairwise, {aggregates.pairwise_tree([f'embedding[{i + 1}]' for i in range(13)])}::DOUBLE AS head FROM embeddings")
+def pairwise_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Single-precision sums of arrays in the order of NumPy's lanes, to the last bit."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.slice("embedding", 1, 13).alias("first"))
+    sums = [aggregates.pairwise_columns(c, lengths).cast("double").alias(name) for c, lengths, name in (("embedding", [64], "pairwise"), ("first", [13], "head"))]
+    return rows.select("vec_id", *sums)
+
+
 @query(f"WITH {_NESTS}, {single_sql(TREE, _LEAVES)} SELECT id AS c_custkey, v_root::DOUBLE AS single, round(logsum, 6) + 0.0 AS unshifted FROM root JOIN v0 USING (id)")
 def nested_policies(spark: SparkSession, folder: str) -> DataFrame:
     """Log-sums in single precision at every step, to the last bit, and without a shift, over a checked tree."""
