@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfare.operators.choice import FAINT, NONE
 
+LOWEST = "DOUBLE('-Infinity')"
 #: The least float; utilities at or below it do not count in single precision.
 LEAST = float(np.finfo(np.float32).min)
 
@@ -61,23 +62,20 @@ def with_logsums(df: DataFrame, tree: Nest, shift: bool = True) -> DataFrame:
     """Adds ``_s_<nest>`` for every nest, from the deepest up; leaves are columns of their own names.
 
     A nest's value is coefficient * ln(sum of exp(part)) (A16); without ``shift`` exponentials are taken as they are (A18).  A
-    level is a projection, so nothing is evaluated twice; -inf stands for a nest without an available part.
+    level is a projection, so nothing is evaluated twice; -inf stands for a nest without an available part.  Projections are SQL
+    text, which Spark parses at once.
     """
     nests = _nests(tree)
     for level in range(max(d for d, _, _ in nests), -1, -1):
         here = [(nest, scale) for depth, nest, scale in nests if depth == level]
-        parts = {}
-        for nest, scale in here:
-            terms = [_part(part, scale) for part in nest.parts]
-            parts[f"_p_{nest.name}"] = F.array(*terms)
-        df = df.withColumns(parts).withColumns({f"_t_{nest.name}": F.array_max(f"_p_{nest.name}") for nest, _ in here})
-        sums = {}
+        df = df.selectExpr("*", *[f"array({', '.join(_part(part, scale) for part in nest.parts)}) AS `_p_{nest.name}`" for nest, scale in here])
+        df = df.selectExpr("*", *[f"array_max(`_p_{nest.name}`) AS `_t_{nest.name}`" for nest, _ in here])
+        sums = []
         for nest, _ in here:
-            top = F.col(f"_t_{nest.name}") if shift else F.lit(0.0)
-            terms = [F.exp(F.col(f"_p_{nest.name}")[i] - top) for i in range(len(nest.parts))]
-            total = sum(terms[1:], terms[0])
-            sums[f"_s_{nest.name}"] = F.when(F.col(f"_t_{nest.name}") == NONE, NONE).otherwise((top + F.log(total)) * nest.coefficient)
-        df = df.withColumns(sums)
+            top = f"`_t_{nest.name}`" if shift else "0.0D"
+            total = " + ".join(f"exp(`_p_{nest.name}`[{i}] - {top})" for i in range(len(nest.parts)))
+            sums.append(f"CASE WHEN `_t_{nest.name}` = {LOWEST} THEN {LOWEST} ELSE ({top} + ln({total})) * {float(nest.coefficient)!r}D END AS `_s_{nest.name}`")
+        df = df.selectExpr("*", *sums)
     return df
 
 
@@ -113,8 +111,8 @@ def single_logsum(df: DataFrame, tree: Nest, name: str = "logsum") -> DataFrame:
     return held.select(*df.columns, F.col(f"_v_{tree.name}").alias(name))
 
 
-def _part(part: str | Nest, scale: float) -> Column:
-    return F.col(part).cast("double") / scale if isinstance(part, str) else F.col(f"_s_{part.name}")
+def _part(part: str | Nest, scale: float) -> str:
+    return f"CAST(`{part}` AS DOUBLE) / {float(scale)!r}D" if isinstance(part, str) else f"`_s_{part.name}`"
 
 
 def logsum(df: DataFrame, tree: Nest, name: str = "logsum", shift: bool = True) -> DataFrame:
@@ -127,24 +125,18 @@ def probabilities(df: DataFrame, tree: Nest, name: str = "probabilities") -> Dat
     """Adds each alternative's probability, in the order of the tree's leaves: shares multiplied down the tree."""
     held = with_logsums(df, tree)
     nests = _nests(tree)
-    held = held.withColumn(f"_g_{tree.name}", F.lit(1.0))
+    held = held.selectExpr("*", f"1.0D AS `_g_{tree.name}`")
     for level in range(max(d for d, _, _ in nests) + 1):
         here = [nest for depth, nest, _ in nests if depth == level]
-        weights = {}
-        for nest in here:
-            top = F.col(f"_t_{nest.name}")
-            shifted = F.transform(f"_p_{nest.name}", lambda p: F.when(p == NONE, 0.0).otherwise(F.exp(p - top)))
-            weights[f"_w_{nest.name}"] = F.transform(shifted, lambda x: F.when(x <= FAINT, 0.0).otherwise(x))
-        held = held.withColumns(weights)
-        totals = {f"_n_{n.name}": F.aggregate(f"_w_{n.name}", F.lit(0.0), lambda a, x: a + x) for n in here}
-        held = held.withColumns(totals)
-        given = {}
+        weight = "transform(transform(`_p_{0}`, p -> CASE WHEN p = {1} THEN 0.0D ELSE exp(p - `_t_{0}`) END), x -> CASE WHEN x <= {2!r}D THEN 0.0D ELSE x END) AS `_w_{0}`"
+        held = held.selectExpr("*", *[weight.format(n.name, LOWEST, FAINT) for n in here])
+        held = held.selectExpr("*", *[f"aggregate(`_w_{n.name}`, 0.0D, (a, x) -> a + x) AS `_n_{n.name}`" for n in here])
+        given = []
         for nest in here:
             for i, part in enumerate(nest.parts):
-                total = F.col(f"_n_{nest.name}")
-                share = F.when(total > 0, F.least(F.lit(1.0), F.col(f"_w_{nest.name}")[i] / total)).otherwise(0.0)
-                given[f"_g_{part if isinstance(part, str) else part.name}"] = F.col(f"_g_{nest.name}") * share
-        held = held.withColumns(given)
+                share = f"CASE WHEN `_n_{nest.name}` > 0 THEN least(1.0D, `_w_{nest.name}`[{i}] / `_n_{nest.name}`) ELSE 0.0D END"
+                given.append(f"`_g_{nest.name}` * {share} AS `_g_{part if isinstance(part, str) else part.name}`")
+        held = held.selectExpr("*", *given)
     return held.select(*df.columns, F.array(*[F.col(f"_g_{x}") for x in tree.leaves()]).alias(name))
 
 
