@@ -236,3 +236,14 @@ def test_neighbourhoods_are_full_and_hold_each_word_once():
             want = sorted(hashed(x) for x in near)
             assert sorted(hashes[i][held[i]].tolist()) == want
             assert sorted(x for h, c in pieces for x in h[i][c[i]].tolist()) == want
+
+
+def test_the_filter_keeps_every_hash_of_the_vocabulary(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    hashes = np.r_[rng.integers(-(1 << 63), 1 << 63, 500, dtype=np.int64), [0, -1, (1 << 63) - 1, -(1 << 63), (1 << 15) - 1, 1 << 15]]
+    for bits in (16, 27):
+        monkeypatch.setattr(spelling, "FILTER", bits)
+        kept = spelling.marks(spark.createDataFrame([(int(h),) for h in hashes], "h long"))
+        assert len(kept) == 1 << bits - 3 and spelling.marked(kept, hashes.view(np.uint64)).all()
+        others = rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+        assert spelling.marked(kept, others.view(np.uint64)).mean() < (0.02 if bits == 16 else 0.001)

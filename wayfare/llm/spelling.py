@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 FACTOR = 2
 #: Distinct words, and their characters, that a task counts before it sends them on.
 HELD, HELD_CHARACTERS = 1 << 18, 1 << 25
+#: Bits of a hash that the filter of reduced words goes by.
+FILTER = 27
 #: Hashes that are worked out together.
 HASHES = 1 << 20
 #: Base of the hash of reduced words, odd and so with an inverse modulo 2**64; fixed values.
@@ -127,8 +130,29 @@ def neighbourhood(symbols: np.ndarray, alphabet: int, at: slice | None = None) -
     return np.concatenate(hashes, axis=1), np.concatenate(counts, axis=1)
 
 
-def _reduced(alphabet: int, full: bool):
-    """Each word with its reduced word's hash, or in some rows with the hashes of its full one-edit neighbourhood."""
+def marks(reduced: DataFrame) -> np.ndarray:
+    """A bit for the last FILTER bits of every hash ``h``: 16 MB of bytes, however many hashes there are.
+
+    Spark sets the bits by stretches; the driver only lays these side by side.
+    """
+    place = F.col("h").bitwiseAND((1 << FILTER) - 1)
+    parts = reduced.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    out = np.zeros((1 << FILTER - 15, 1 << 12), np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes & np.uint64((1 << FILTER) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _reduced(alphabet: int, full: bool, kept: Broadcast | None = None):
+    """Each word with its reduced word's hash, or in some rows with the hashes of its full one-edit neighbourhood.
+
+    Of a neighbourhood what has no mark in ``kept`` is left out, as no word has that reduced word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +169,7 @@ def _reduced(alphabet: int, full: bool):
                     for b in range(0, length + 1, places):
                         if full:
                             hashes, held = neighbourhood(symbols, alphabet, slice(b, min(length + 1, b + places)))
+                            held &= marked(kept.value, hashes)
                         else:
                             hashes = own_hash(symbols, alphabet)[:, None]
                             held = np.ones(hashes.shape, bool)
@@ -159,12 +184,16 @@ def near_words(words: DataFrame, alphabet: int) -> DataFrame:
     """(word, near, near_n): both directions of every pair of ``words`` (word, n) that differ by one edit.
 
     Full neighbourhoods of reduced words are joined with the reduced vocabulary by hashes, and what meets is
-    compared as it is.  Words within one edit have reduced words within one edit, so no pair is lost.
+    compared as it is.  Words within one edit have reduced words within one edit, so no pair is lost.  Before the join,
+    neighbours that no word has for its reduced word are left out by a filter of one size for every vocabulary, which lets some others pass.
     """
-    around = words.mapInArrow(_reduced(alphabet, True), REDUCED).select("word", "n", F.explode("hashes").alias("h"))
     held = words.mapInArrow(_reduced(alphabet, False), REDUCED)
-    held = held.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("hashes")[0].alias("h"))
-    return around.join(held, "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    held = written(held.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("hashes")[0].alias("h")), "reduced")
+    kept = words.sparkSession.sparkContext.broadcast(marks(held))
+    around = words.mapInArrow(_reduced(alphabet, True, kept), REDUCED).select("word", "n", F.explode("hashes").alias("h"))
+    pairs = around.join(held, "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    pairs._written_to = held._written_to
+    return pairs
 
 
 def roots(forms: DataFrame, most: int = 64) -> DataFrame:
@@ -207,7 +236,7 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     held = words.join(best, "word", "left").select(
         "word", F.when(follows, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(follows, F.col("form_n")).alias("form_n")
     )
-    held = finished(held, "forms", words, best)
+    held = finished(held, "forms", words, best, near)
     last = roots(held.where("form is not null").select("word", "form"))
     out = held.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     return finished(out, "spelling", held, last)
