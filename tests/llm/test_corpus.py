@@ -590,6 +590,25 @@ def test_transitions_add_up_to_the_merges_of_every_prefix():
         assert machine.once(word) == machine.run(word)
 
 
+def test_the_machine_forgets_within_its_bounds(monkeypatch):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in json.load(file)["model"]["merges"]]
+    rng = random.Random(13)
+    held = ["".join(rng.choice("etaoin shrdlu'é") for _ in range(rng.randint(1, 20))).encode() for _ in range(400)]
+    free = tokens.Transducer({x: i for i, x in enumerate(pairs)})
+    want = [free.run(w) for w in held]
+    assert len(free.apart) > 200 and len(free.count) > 200
+    monkeypatch.setattr(tokens, "PAIRS_KEPT", 100)
+    monkeypatch.setattr(tokens, "STATES_KEPT", 100)
+    bound = tokens.Transducer({x: i for i, x in enumerate(pairs)})
+    for word, n in zip(held, want, strict=True):
+        assert bound.run(word) == n and len(bound.apart) <= 100 and len(bound.count) <= 100 + 1 + len(word)
+
+
 def test_long_texts_are_cut_where_words_start(monkeypatch):
     monkeypatch.setattr(tokens, "RUN", 50)
     rng = random.Random(3)

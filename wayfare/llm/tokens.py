@@ -37,6 +37,8 @@ CHUNK = 128
 RUN = 1 << 19
 #: States and words that are kept, about.
 STATES_KEPT, WORDS_KEPT = 1_000_000, 1_000_000
+#: Pairs of tokens of which it is known whether they stay apart.
+PAIRS_KEPT = 500_000
 #: Words of at most so many characters are looked up by hash.
 SHORT = 64
 #: Words of more bytes leave no states behind.
@@ -200,6 +202,8 @@ class Transducer:
         """Whether the tokens ``s`` (or nothing) and ``t`` are what the merges leave of both."""
         found = self.apart.get((s, t))
         if found is None:
+            if len(self.apart) >= PAIRS_KEPT:
+                self.apart.clear()
             found = self.apart[s, t] = self.merged(list(s + t)) == ([s, t] if s else [t])
         return found
 
