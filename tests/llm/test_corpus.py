@@ -458,6 +458,26 @@ def plain_words(text):
     return [(m[0].lower(), m.start(), m.end()) for m in licenses.WORD.finditer(text)]
 
 
+def test_size_reductions_rank_the_licenses(monkeypatch):
+    class Packer:
+        def __init__(self, size):
+            self.size = size
+
+        def compress(self, data):
+            return b"x" * self.size
+
+    _, templates = licenses._compressors()
+    text = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    for favoured in ("CC-BY-4.0", "CC-BY-NC-4.0"):
+        packed = [(name, i, held, Packer(10 if name == favoured else 90)) for name, i, held, _ in templates]
+        monkeypatch.setattr(licenses, "_compressors", lambda packed=packed: (Packer(100), packed))
+        (got,) = licenses.licenses_in(text)
+        assert got[3] == favoured and got[5:8] == (100, 10, 0.9)
+    # alike to the compressor: the words decide
+    assert licenses.ranked([(0, 0, 9, 1, 0), (1, 0, 9, 0, 0)], [100, 95], [10, 10]) == [1, 0]
+    assert licenses.ranked([(0, 0, 9, 1, 0), (1, 0, 9, 0, 0)], [100, 80], [10, 10]) == [0, 1]
+
+
 def test_licenses_equal_brute_force_on_verbatim_texts(spark):
     """Every verbatim template is found, and nothing else is called exact, in long texts and repeated rows too."""
     rng = random.Random(16)

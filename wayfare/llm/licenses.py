@@ -62,6 +62,8 @@ WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Code points of context around a trigger in a block; least share of a template's words.
 REACH = 1200
 SHARE = 0.8
+#: Savings at places that differ by less than this share are alike.
+NEAR = 0.1
 #: Widths of a template in a range of words that is searched at once.
 TILE = 8
 FOUND = "doc_id long, start int, end int, license string, nearest string, template int, plain_bytes int, given_bytes int, reduction double, words int, missing int, added int, exact boolean"
@@ -173,23 +175,39 @@ def licenses_in(text: str) -> list[tuple]:
         places = [(i, *place) for i, t in enumerate(templates) for place in wording(t[2], words)]
         if not places:
             continue
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(plain.compress(data))
-        gains = {i: size - len(templates[i][3].compress(data)) for i in {x[0] for x in places}}
-        # where places overlap that with most words in common stands, then that whose template saves most
-        places.sort(key=lambda x: (2 * x[3] + x[4] - len(templates[x[0]][2]), -gains[x[0]], x))
+        sizes = []
+        for i, first, last, *_ in places:
+            data = block[found[first].start() : found[last - 1].end()].encode("utf-8", "surrogatepass")
+            sizes.append((len(plain.compress(data)), len(templates[i][3].compress(data))))
         taken: list[tuple[int, int]] = []
-        for i, first, last, missing, added in places:
+        for at in ranked(places, [x - y for x, y in sizes], [len(t[2]) for t in templates]):
+            i, first, last, missing, added = places[at]
             if any(first < y and x < last for x, y in taken):
                 continue
             taken.append((first, last))
             name, number, template, _ = templates[i]
             start, end = a + found[first].start(), a + found[last - 1].end()
             known = name if named(name, number, words[first:last]) else UNKNOWN
-            out.append((start, end, known, name, number, size, size - gains[i], gains[i] / size, len(template), missing, added, missing + added == 0))
+            size, given = sizes[at]
+            out.append((start, end, known, name, number, size, given, (size - given) / size, len(template), missing, added, missing + added == 0))
     return sorted(out)
 
 
+def ranked(places: list[tuple], gains: list[int], sizes: list[int]) -> list[int]:
+    """Which of ``places`` come first: those at which the template saves most bytes.
+
+    Savings within NEAR of the most that is left are alike to the compressor, which sees no order of words; of such
+    places that with most words in common, less those added, is the first.
+    """
+    left, out = sorted(range(len(places)), key=lambda x: -gains[x]), []
+    while left:
+        bar = gains[left[0]] - NEAR * abs(gains[left[0]])
+        group = [x for x in left if gains[x] >= bar]
+        out += sorted(group, key=lambda x: (2 * places[x][3] + places[x][4] - sizes[places[x][0]], -gains[x], places[x]))
+        left = left[len(group) :]
+    return out
+
+
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -206,11 +224,13 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licenses in each whole text: a row for each place.
 
-    Every template is confirmed in each candidate block by a word-for-word comparison: at
-    least ``SHARE`` of the template's words in order, with the counts of words missing and added.  The block
-    compressed alone and with the template as a raw Zstandard dictionary gives the bytes that it saves, which
-    decide between places that overlap and agree alike.  ``license`` is the template's if the place says what that
-    license must say (``NAMES``), and else ``UNKNOWN``, with the nearest one beside it.  A map without a shuffle.  Null and empty texts hold none; rows that repeat are each scanned; ids may be null.
+    Places where a template may be worded are candidates.  Each is compressed alone and with its template as a raw Zstandard
+    dictionary, and the bytes that this saves rank the candidates; they are confirmed by a word-for-word comparison: at least
+    ``SHARE`` of the template's words in order, with the counts of words missing and added.  Of candidates that overlap
+    that which saves more stands, or, where savings are alike, that with most words in common; those apart stand beside it, so no
+    license is lost.  ``license`` is the template's if the place says what that license must say (``NAMES``), and else ``UNKNOWN``,
+    with the nearest one beside it.  A map without a shuffle.  Null and empty texts hold none; rows that repeat are each scanned;
+    ids may be null.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
