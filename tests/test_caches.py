@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from wayfare.operators.spec import Spec, read_document, write_document
 from wayfare.plans.session import workspace
 from wayfare.sources.caches import NumericInputs, SpecificationFiles, bits, source_digest
 
@@ -110,3 +111,18 @@ def test_specifications_by_their_bytes(spark, tmp_path):
     assert (files.hits, files.misses) == (1, 2) and first.coefficients[0][0] == 0.25 and second.coefficients[0][0] == 0.75
     rewritten(coefficients, "0.75", "0.25")
     assert files.get("x", str(spec), str(coefficients)) is first
+
+
+def test_documents_are_written_once_and_checked(spark, tmp_path):
+    spec = Spec("x", ("stay", "go"), ("a", "b"), ("price / 10", "(zone > 3)"), ((0.1, -0.5), (0.0, 2.0)))
+    place = str(tmp_path / "document")
+    write_document(spark, spec, place)
+    assert read_document(spark, place) == spec
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        write_document(spark, spec, place)
+    (file,) = (tmp_path / "document").glob("part-*")
+    changed = file.read_text().replace("0.1", "0.2")
+    (tmp_path / "changed").mkdir()
+    (tmp_path / "changed" / "part-0.txt").write_text(changed)
+    with pytest.raises(ValueError, match="changed after"):
+        read_document(spark, str(tmp_path / "changed"))

@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.functions.expressions import Compiler, is_stateful, names, skims
@@ -106,9 +106,15 @@ def split_stateful(spec: Spec) -> tuple[Spec, Spec]:
     return part(False), part(True)
 
 
-def write_document(spec: Spec, path: str) -> None:
-    with open(path, "w") as out:
-        json.dump(spec.document(), out, indent=1)
+def write_document(spark: SparkSession, spec: Spec, path: str) -> None:
+    """A specification's document as one JSON text file, where Spark writes; an existing one is never overwritten."""
+    text = json.dumps(spec.document(), indent=1, sort_keys=True, allow_nan=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> Spec:
+    """The specification of a written document; one that was changed since raises."""
+    return Spec.of_document(json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())))
 
 
 def resolved(rows: list[dict], coefficients: dict[str, float], name: str = "") -> Spec:

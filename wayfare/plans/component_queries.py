@@ -10,7 +10,7 @@ from wayfare.functions import ieee
 from wayfare.functions.expressions import Compiler
 from wayfare.functions.rng import Ledger, row_seed
 from wayfare.operators import aggregates, chains, choice, inputs, lookup, nested, skims, timetable, tours
-from wayfare.operators.spec import Spec, split_stateful, utilities
+from wayfare.operators.spec import Spec, read_document, split_stateful, utilities, write_document
 from wayfare.plans.choice_queries import _CUBE, _LINES, _NESTS, CHOOSE, TREE, cube, draw, draw_sql, lines, mode_utility, rounded, table
 from wayfare.plans.stages import Graph
 from wayfare.plans.table_queries import _TDD, timetabled
@@ -418,7 +418,8 @@ def specification_from_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.createDataFrame(_SPEC_ROWS, "Label string, Description string, Expression string, ship string, hold string")
     rows.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{place}/spec")
     spark.createDataFrame([("beta_price", -0.125)], "coefficient_name string, value double").coalesce(1).write.option("header", True).csv(f"{place}/coefficients")
-    spec = Spec.of_document(read_spec(spark, "orders", f"{place}/spec", f"{place}/coefficients").document())
+    write_document(spark, read_spec(spark, "orders", f"{place}/spec", f"{place}/coefficients"), f"{place}/document")
+    spec = read_document(spark, f"{place}/document")
     held = utilities(table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), spec)
     return held.select("o_orderkey", *[rounded(F.col("utilities")[i], 5).alias(name) for i, name in enumerate(spec.alternatives)])
 
