@@ -294,6 +294,27 @@ def test_draws(spark):
     assert normals == state.standard_normal(3).tolist()
 
 
+def test_gathers_go_by_leases(spark):
+    graph = Graph(spark)
+    graph.ingress("zones", spark.createDataFrame([(1, 5.0), (2, 6.0)], "zone int, jobs double"))
+    lease = graph.lease("zones")
+    trips = spark.createDataFrame([(1,), (2,), (2,)], "zone int")
+    assert sorted(r.jobs for r in graph.gather(lease, trips, ["zone"], ["jobs"]).collect()) == [5.0, 6.0, 6.0]
+    with pytest.raises(ValueError, match="no columns"):
+        graph.gather(lease, trips, ["zone"], ["homes"])
+    with pytest.raises(Exception, match="missing"):
+        graph.gather(lease, spark.createDataFrame([(3,)], "zone int"), ["zone"], ["jobs"]).collect()
+    graph.run("more", ["zones"], ["zones"], lambda held: {"zones": held["zones"].withColumn("jobs", F.col("jobs") + 1)})
+    with pytest.raises(ValueError, match="since it was leased"):
+        graph.gather(lease, trips, ["zone"], ["jobs"])
+    lease = graph.lease("zones")
+    graph.invalidate("zones")
+    with pytest.raises(ValueError, match="since it was leased"):
+        graph.gather(lease, trips, ["zone"], ["jobs"])
+    with pytest.raises(ValueError, match="no stage has written"):
+        graph.run("again", ["zones"], ["zones"], dict)
+
+
 def test_compiled_sums_are_those_of_numpy(spark):
     rng = np.random.default_rng(15)
     lengths = [0, 1, 2, 7, 8, 9, 15, 16, 17, 64, 127, 128, 129, 136, 200, 255, 256, 257, 300]

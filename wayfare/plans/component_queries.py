@@ -426,7 +426,7 @@ def specification_from_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS customers, CAST(2 AS INTEGER) AS version FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def restored_stage(spark: SparkSession, folder: str) -> DataFrame:
-    """A graph of stages whose checkpoint another one restores, ledger and all."""
+    """A graph of stages whose checkpoint another one restores, ledger and all, and a gather under a lease."""
     place = workspace(spark, "stages")
     graph = Graph(spark)
     graph.ingress("persons", table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
@@ -437,7 +437,8 @@ def restored_stage(spark: SparkSession, folder: str) -> DataFrame:
     again = Graph(spark)
     again.restore(place, ["persons"])
     offsets = again.ledgers["persons"].rows.where("rng_offset = 3").select("c_custkey")
-    held = again.publish("persons", ["c_custkey", "c_nationkey"]).join(offsets, "c_custkey", "left_semi")
+    drawn = again.publish("persons", ["c_custkey"]).join(offsets, "c_custkey", "left_semi")
+    held = again.gather(again.lease("persons"), drawn, ["c_custkey"], ["c_nationkey"])
     return held.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.lit(again.versions["persons"]).alias("version"))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.functions.rng import Ledger
+from wayfare.operators import lookup
 from wayfare.sources.tables import artifact_metadata, read_artifact, write_artifact
 
 
@@ -47,6 +48,20 @@ class Graph:
             raise ValueError(f"{name} has changed since it was leased")
         return self.tables[name]
 
+    def gather(self, lease: tuple[str, int], target: DataFrame, key: list[str], columns: list[str], default: dict | None = None) -> DataFrame:
+        """``lookup.gather`` from a leased table: a stale lease, an unknown column or a missing key raises."""
+        source = self.read(lease)
+        unknown = sorted({*key, *columns} - set(source.columns))
+        if unknown:
+            raise ValueError(f"{lease[0]} has no columns {unknown}")
+        return lookup.gather(target, source, key, columns, default)
+
+    def invalidate(self, name: str) -> None:
+        """Takes a table out; leases of it are stale from now on, also when it is written again."""
+        del self.tables[name]
+        self.ledgers.pop(name, None)
+        self.versions[name] += 1
+
     def run(self, stage: str, reads: list[str], writes: list[str], operation: Callable[[Mapping[str, DataFrame]], Mapping[str, DataFrame]]) -> None:
         missing = [r for r in reads if r not in self.tables]
         if missing:
