@@ -154,6 +154,44 @@ def test_near_copies_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.representatives(docs_of(spark, texts)).collect()} == wanted
 
 
+def test_fingerprints_bring_near_copies_together(spark, monkeypatch):
+    """The stage's candidates are those of SimHash tries, without any of the bands that complete them."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [])
+    rng = random.Random(31)
+    base = words(rng, 300).split()
+    copies = [" ".join("edit" if i == at else w for i, w in enumerate(base)) for at in (40, 150, 290)]
+    far = [" ".join("edit" if i % 9 == 0 else w for i, w in enumerate(base)), words(rng, 300), words(rng, 300)]
+    docs = docs_of(spark, [" ".join(base), *copies, *far])
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "/root/testdata/sf0.001")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6]
+
+
+def test_near_prints_equal_brute_force(spark):
+    rng = random.Random(33)
+    one = [rng.getrandbits(64) for _ in range(40)]
+    one += [x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for x in one for _ in range(4)]
+    two = [rng.getrandbits(64) for _ in one]
+    two[5] = two[0] ^ 3
+    signed = [[x - (x >> 63 << 64) for x in pair] for pair in zip(one, two, strict=True)]
+    held = spark.createDataFrame(list(enumerate(signed)), "node long, prints array<long>")
+    near = {(i, j) for prints in (one, two) for i, x in enumerate(prints) for j in range(i) if (x ^ prints[j]).bit_count() <= 5}
+    for crowd in (simhash.CROWD, 3):
+        groups = defaultdict(set)
+        for r in simhash.near_prints(held, 5, crowd).collect():
+            groups[r.key].add(r.node)
+        assert all(len(g) > 1 for g in groups.values()) and (5, 0) in near
+        assert all(any({i, j} <= g for g in groups.values()) for i, j in near)
+        chained = linked(near, range(len(one)))
+        assert all(len({chained[x] for x in g}) == 1 for g in groups.values())
+    assert simhash.near_prints(held.limit(0)).count() == 0
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    ones = [sum(int(h) >> b & 1 for h in hashes) * 2 > len(hashes) for b in range(64)]
+    assert simhash.set_prints(hashes)[0] % (1 << 64) == sum(1 << b for b, x in enumerate(ones) if x)
+    assert len(set(simhash.set_prints(hashes))) == simhash.PRINTS
+
+
 def test_copies_that_only_their_original_links(spark):
     """Copies like their original but not each other, and texts that share little more than a common passage."""
     rng = random.Random(21)

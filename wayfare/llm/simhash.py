@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a binary trie self-join (operator 1)."""
+"""SimHash near-duplicates by a binary trie self-join (operator 1), and near copies by such fingerprints and exact similarity."""
 
 from __future__ import annotations
 
@@ -20,9 +20,11 @@ FRONTIER = 1 << 17
 EDGE = "a long, b long"
 #: Near copies that a corpus loses share this part of their shingles, as a fraction (Jaccard).
 SIMILAR = (4, 5)
-#: Bands of least hashes, and hashes in each: of pairs at 0.8 all but 1 in 13,000 share a band.
+#: Fingerprints of a set of shingles, and differing bits at which one brings two sets together: 65 % of pairs at 0.8, all but 1 in 1,500 at 0.9.
+PRINTS, BITS = 16, 5
+#: Bands of least hashes, and hashes in each, for pairs that no fingerprint brings together: at 0.8 all but 1 in 13,000 share a band.
 BANDS, ROWS = 24, 5
-#: Times that each band is compared with a centre.
+#: Times that each group of candidates is compared with a centre.
 ROUNDS = 2
 #: Fingerprints that a trie holds at most before it is cut into tries of its own blocks, and how often that is done.
 CROWD, CUTS = 1 << 14, 3
@@ -208,21 +210,22 @@ def _middle(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64)
     return left
 
 
-def _linked(layouts: list[tuple[list[Field], list[Field]]], budget: int):
-    """Star edges of the tries in a partition, sorted by turn and trie."""
+def _linked(layouts: list[tuple[list[Field], list[Field]]], budget: int, names: tuple[str, ...] = ("a", "b")):
+    """Star edges of the tries in a partition, sorted by turn and trie; turns go on in rounds of the layouts."""
 
     def joined(turn: np.ndarray, trie: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in np.unique(turn):
-            shared, rest = layouts[k]
+            shared, rest = layouts[k % len(layouts)]
             depth = sum(size for _, size in shared)
-            names = node[turn == k]
+            leaf = node[turn == k]
             turned, first, place = np.unique(gathered(fp[turn == k].view(np.uint64), shared + rest), return_index=True, return_inverse=True)
             tries = turned >> np.uint64(64 - depth)
             bounds = np.r_[np.flatnonzero(np.r_[True, tries[1:] != tries[:-1]]), len(turned)]
             label = trie_join(turned, bounds, depth, budget)
-            b = names[first[label[place]]]
-            apart = names != b
-            yield pa.RecordBatch.from_arrays([pa.array(names[apart]), pa.array(b[apart])], names=["a", "b"])
+            b = leaf[first[label[place]]]
+            apart = leaf != b
+            star = {"turn": np.full(int(apart.sum()), k, np.int64), "a": leaf[apart], "b": b[apart]}
+            yield pa.RecordBatch.from_arrays([pa.array(star[x]) for x in names], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -242,16 +245,20 @@ def _linked(layouts: list[tuple[list[Field], list[Field]]], budget: int):
     return run
 
 
-def dealt(leaves: DataFrame, budget: int, crowd: int = CROWD, cuts: int = CUTS) -> tuple[DataFrame, list[tuple[list[Field], list[Field]]]]:
+def dealt(
+    leaves: DataFrame, budget: int, crowd: int = CROWD, cuts: int = CUTS, by: tuple[str, ...] = (), spent: list[DataFrame] | None = None
+) -> tuple[DataFrame, list[tuple[list[Field], list[Field]]]]:
     """(turn, trie, fp, node) rows of all tries, and the layouts of turns.
 
+    Leaves that differ in ``by`` are in tries of their own.  The written tables that the rows are read from are added to ``spent``.
+
     A trie with more than ``crowd`` fingerprints is cut: its members go on to tries that share a block more, in which
     every pair within the budget meets again.  So tries stay small however many fingerprints there are,
     and a block of bits that very many share is not one group.  Only what is left after ``cuts`` stays whole.
     """
     depths = turns(budget, cuts)
     layouts = [x for depth in depths for x in depth]
-    now = leaves.select("node", "fp", F.lit(0).alias("own"))
+    now = leaves.select(*by, "node", "fp", F.lit(0).alias("own"))
     out, first = None, 0
     for depth, layout in enumerate(depths):
         choices = [
@@ -259,19 +266,21 @@ def dealt(leaves: DataFrame, budget: int, crowd: int = CROWD, cuts: int = CUTS)
             for i in range(len(layout) // (budget + 1))
         ]
         chosen = choices[0] if depth == 0 else F.coalesce(*[F.when(F.col("own") == i, x) for i, x in enumerate(choices)])
-        tries = now.select("node", "fp", F.inline(chosen).alias("own", "trie"))
+        tries = now.select(*by, "node", "fp", F.inline(chosen).alias("own", "trie"))
         turn = (F.col("own") + first).alias("turn")
         if depth + 1 == cuts:
-            rows = tries.select(turn, "trie", "fp", "node")
+            rows = tries.select(*by, turn, "trie", "fp", "node")
             return (rows if out is None else out.unionByName(rows)), layouts
         tries = written(tries, "tries")
-        crowds = tries.groupBy("own", "trie").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("own", "trie")
+        crowds = tries.groupBy(*by, "own", "trie").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select(*by, "own", "trie")
         crowds = written(crowds, "crowds")
-        few = tries.join(crowds, ["own", "trie"], "left_anti").select(turn, "trie", "fp", "node")
+        if spent is not None:
+            spent += [tries, crowds]
+        few = tries.join(crowds, [*by, "own", "trie"], "left_anti").select(*by, turn, "trie", "fp", "node")
         out = few if out is None else out.unionByName(few)
         if not crowds.head(1):
             return out, layouts
-        now = tries.join(crowds, ["own", "trie"]).select("node", "fp", "own")
+        now = tries.join(crowds, [*by, "own", "trie"]).select(*by, "node", "fp", "own")
         first += len(layout)
     return out, layouts
 
@@ -313,6 +322,42 @@ def near_duplicates(
     return finished(found.join(both, "fp").select("doc_id", "text_key", "fp", "class", "component_id"), "near", found, both)
 
 
+def set_prints(hashes: np.ndarray, count: int = PRINTS) -> list[int]:
+    """``count`` SimHashes, as signed longs, of a set of hashes: the first of the hashes as they are, the others of turned ones."""
+    odd = np.random.default_rng(7).integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd[0] = 1
+    ones = np.zeros(64 * count, np.int64)
+    for at in range(0, len(hashes), 1 << 10):
+        part = hashes[at : at + (1 << 10), None] * odd
+        part[:, 1:] ^= part[:, 1:] >> np.uint64(32)
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").tolist()
+
+
+def near_prints(held: DataFrame, budget: int = BITS, crowd: int = CROWD) -> DataFrame:
+    """Groups (key, node) of ``held`` (node, prints) that chain by ``budget`` bits at most in one of their fingerprints.
+
+    The join of ``near_duplicates``, with tries of their own for each place in ``prints``.  A group is what one
+    trie links, so any two nodes that a fingerprint brings together share a group.  Nodes in no group are left out.
+    """
+    spread = written(held.select("node", F.posexplode("prints").alias("print", "fp")), "prints")
+    leaves = written(spread.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("nodes")), "leaves")
+    spent: list[DataFrame] = []
+    tries, layouts = dealt(leaves.select("print", F.col("fp").alias("node"), "fp"), budget, crowd, by=("print",), spent=spent)
+    tries = tries.withColumn("turn", F.col("print") * len(layouts) + F.col("turn"))
+    tries = tries.select(*[F.col(c).cast("long") for c in ("turn", "trie", "fp", "node")])
+    tries = tries.repartition("turn", "trie").sortWithinPartitions("turn", "trie")
+    stars = written(tries.mapInArrow(_linked(layouts, budget, ("turn", "a", "b")), f"turn long, {EDGE}"), "prints-stars")
+    forget(*spent)
+    place = F.floor(F.col("turn") / len(layouts)).cast("int").alias("print")
+    key = F.xxhash64("turn", "b").alias("key")
+    linked = stars.select(place, F.col("a").alias("fp"), key).union(stars.select(place, F.col("b").alias("fp"), key).distinct())
+    same = leaves.where("nodes > 1").select("print", "fp", F.xxhash64("print", "fp").alias("key"))
+    marked = written(linked.union(same), "marked")
+    return finished(spread.join(marked, ["print", "fp"]).select("key", "node").distinct(), "near-prints", spread, leaves, stars, marked)
+
+
 def band_keys(hashes: np.ndarray) -> list[int]:
     """A signed key for each band of the least values of the hashes under odd multipliers."""
     odd = np.random.default_rng(9).integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -325,14 +370,14 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(held, np.uint64).view(np.int64).tolist()
 
 
-def _banded(width: int):
+def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(x or "", width)) for x in batch["text"].to_pylist()]
             nodes = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            columns = [batch["doc_id"], batch["text_key"], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "keys"])
+            prints, keys = (pa.array([of(x) if len(x) else [] for x in sets], pa.list_(pa.int64())) for of in (set_prints, band_keys))
+            columns = [batch["doc_id"], batch["text_key"], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), prints, keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n", "prints", "keys"])
 
     return run
 
@@ -362,18 +407,28 @@ def _long_enough(n: str, m: str) -> Column:
     return F.least(n, m) * under >= F.greatest(n, m) * over
 
 
-def _apart(bands: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of bands with the class that each is in now, of bands that hold more than one."""
-    held = bands.join(classes, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
+def _company(spread: DataFrame) -> DataFrame:
+    """Groups of more than one (key, node, n), with each node's score: the members of all its groups."""
+    sizes = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    members = finished(spread.join(sizes, "key"), "members", sizes)
+    scores = written(members.groupBy("node").agg(F.sum("members").alias("score")), "scores")
+    return finished(members.join(scores, "node").select("key", "node", "n", "score"), "company", members, scores)
+
+
+def _apart(groups: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Members of groups with the class that each is in now, of groups that hold more than one."""
+    if classes is None:
+        return written(groups.withColumn("label", F.col("node")), "apart")
+    held = groups.join(classes, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
     held = written(held, "labelled")
     mixed = written(held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
     return finished(held.join(mixed, "key"), "apart", held, mixed)
 
 
 def _stars(apart: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(pairs of members with their band's centre, bands' centres c).
+    """(pairs of members with their group's centre, groups' centres c).
 
-    The centre is the member with most company in all of its bands, which the original of many copies has, among
+    The centre is the member with most company in all of its groups, which the original of many copies has, among
     those that are in no earlier centre's class.
     """
     free = apart
@@ -416,43 +471,47 @@ def _rare_partners(apart: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Classes of texts that chain by pairs of ``SIMILAR`` shingle sets: a row (class, one) for each set.
 
-    ``one`` is the first of the set's rows: null ids last, then by id and text_key.  Candidates share one
-    of ``BANDS`` keys of least hashes.  All in a band are compared with a centre (``_stars``, ``ROUNDS`` times), which
-    links most groups without pairs of their members; what these links leave apart is paired by rare shingles
+    ``one`` is the first of the set's rows: null ids last, then by id and text_key.  Candidates are sets that the tries
+    of ``PRINTS`` SimHash fingerprints bring together (``near_prints``).  All in a group are compared with a centre
+    (``_stars``, ``ROUNDS`` times), which links most groups without pairs of their members.  As fingerprints of sets that
+    are just ``SIMILAR`` may differ in more bits, groups that share one of ``BANDS`` keys of least hashes, and are not linked
+    yet, come after in the same way; what these links leave apart in groups of either kind is paired by rare shingles
     (``_rare_partners``), and every such pair is compared.  A pair links only if its exact Jaccard similarity is
     ``SIMILAR`` or more.  Texts without words are one set, which is like no other.
     """
     small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = rows.mapInArrow(_banded(width), "doc_id long, text_key long, node long, n int, keys array<long>")
-    found = written(found, "bands")
+    found = rows.mapInArrow(_sketched(width), "doc_id long, text_key long, node long, n int, prints array<long>, keys array<long>")
+    found = written(found, "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    leaves = finished(found.groupBy("node", "n", "keys").agg(F.min(order).alias("one")), "sets-of", found)
-    spread = leaves.select("node", "n", F.explode("keys").alias("key"))
-    sizes = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
-    members = finished(spread.join(sizes, "key"), "members", sizes)
-    scores = written(members.groupBy("node").agg(F.sum("members").alias("score")), "scores")
-    bands = finished(members.join(scores, "node").select("key", "node", "n", "score"), "company", members)
-    named = scores.join(leaves, "node").select("node", "one.doc_id", "one.text_key").alias("l")
+    leaves = finished(found.groupBy("node", "n", "prints", "keys").agg(F.min(order).alias("one")), "sets-of", found)
+    near = near_prints(leaves.select("node", "prints"))
+    prints = _company(near.join(leaves.select("node", "n"), "node").select("key", "node", "n"))
+    bands = _company(leaves.select("node", "n", F.explode("keys").alias("key")))
+    kinds = [prints, bands]
+    candidates = written(prints.select("node").union(bands.select("node")).distinct(), "candidates")
+    named = candidates.join(leaves, "node").select("node", "one.doc_id", "one.text_key").alias("l")
     same = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.text_key") == F.col("l.text_key"))
     texts = rows.alias("r").join(named, same).select("node", "text")
-    sets = finished(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles", scores)
-    apart = bands.withColumn("label", F.col("node"))
-    classes, done, spent = None, None, [bands]
-    for _ in range(ROUNDS):
-        pairs, centres = _stars(apart, done)
-        done = centres if done is None else done.union(centres)
-        spent.append(centres)
-        alike = written(_alike(pairs, sets), "alike")
-        edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        before, classes = classes, components(edges)
-        forget(pairs, alike, *([before] if before is not None else []))
-        apart = _apart(bands, classes)
-        spent.append(apart)
-    pairs = _rare_partners(apart, sets)
+    sets = finished(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles", candidates, near)
+    classes = None
+    for groups in kinds:
+        apart, done, spent = _apart(groups, classes), None, []
+        for _ in range(ROUNDS):
+            pairs, centres = _stars(apart, done)
+            done = centres if done is None else done.union(centres)
+            alike = written(_alike(pairs, sets), "alike")
+            edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            before, classes = classes, components(edges)
+            spent.append(centres)
+            forget(pairs, alike, apart, *([before] if before is not None else []))
+            apart = _apart(groups, classes)
+        forget(apart, *spent)
+    left = [_apart(groups, classes) for groups in kinds]
+    pairs = _rare_partners(left[0].union(left[1]), sets)
     alike = written(_alike(pairs, sets), "alike")
-    forget(pairs, sets, *spent)
+    forget(pairs, sets, *left, *kinds)
     both = components(alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     held = leaves.select("node", "one").join(both, "node", "left").select(F.coalesce("component", "node").alias("class"), "one")
     return finished(held, "classes", leaves, alike, classes, both)
