@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ FRONTIER = 1 << 17
 EDGE = "a long, b long"
 #: Near copies that a corpus loses share this part of their shingles, as a fraction (Jaccard).
 SIMILAR = (4, 5)
-#: Fingerprints of a set of shingles, and differing bits at which one brings two sets together: 65 % of pairs at 0.8, all but 1 in 1,500 at 0.9.
+#: Fingerprints of a set of shingles, and differing bits at which one brings two sets together: 65 % of pairs at 0.8, all but 1 in 670 at 0.9.
 PRINTS, BITS = 16, 5
+#: Fingerprints of a set that are in tries at once, so that all tries are never on disk, and leaves at which such a trie is cut.
+AT_ONCE, FULL = 4, 1 << 10
 #: Bands of least hashes, and hashes in each, for pairs that no fingerprint brings together: at 0.8 all but 1 in 13,000 share a band.
 BANDS, ROWS = 24, 5
 #: Times that each group of candidates is compared with a centre.
@@ -335,27 +338,32 @@ def set_prints(hashes: np.ndarray, count: int = PRINTS) -> list[int]:
     return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8").tolist()
 
 
-def near_prints(held: DataFrame, budget: int = BITS, crowd: int = CROWD) -> DataFrame:
+def near_prints(held: DataFrame, budget: int = BITS, crowd: int = FULL) -> DataFrame:
     """Groups (key, node) of ``held`` (node, prints) that chain by ``budget`` bits at most in one of their fingerprints.
 
     The join of ``near_duplicates``, with tries of their own for each place in ``prints``.  A group is what one
     trie links, so any two nodes that a fingerprint brings together share a group.  Nodes in no group are left out.
+    Tries are cut at ``crowd`` leaves, so that the pairs within them do not grow with the table.
     """
     spread = written(held.select("node", F.posexplode("prints").alias("print", "fp")), "prints")
     leaves = written(spread.groupBy("print", "fp").agg(F.count(F.lit(1)).alias("nodes")), "leaves")
-    spent: list[DataFrame] = []
-    tries, layouts = dealt(leaves.select("print", F.col("fp").alias("node"), "fp"), budget, crowd, by=("print",), spent=spent)
-    tries = tries.withColumn("turn", F.col("print") * len(layouts) + F.col("turn"))
-    tries = tries.select(*[F.col(c).cast("long") for c in ("turn", "trie", "fp", "node")])
-    tries = tries.repartition("turn", "trie").sortWithinPartitions("turn", "trie")
-    stars = written(tries.mapInArrow(_linked(layouts, budget, ("turn", "a", "b")), f"turn long, {EDGE}"), "prints-stars")
-    forget(*spent)
+    stars = []
+    for first in range(0, PRINTS, AT_ONCE):
+        own = leaves.where(F.col("print").between(first, first + AT_ONCE - 1)).select("print", F.col("fp").alias("node"), "fp")
+        spent: list[DataFrame] = []
+        tries, layouts = dealt(own, budget, crowd, by=("print",), spent=spent)
+        tries = tries.withColumn("turn", F.col("print") * len(layouts) + F.col("turn"))
+        tries = tries.select(*[F.col(c).cast("long") for c in ("turn", "trie", "fp", "node")])
+        tries = tries.repartition("turn", "trie").sortWithinPartitions("turn", "trie")
+        stars.append(written(tries.mapInArrow(_linked(layouts, budget, ("turn", "a", "b")), f"turn long, {EDGE}"), "prints-stars"))
+        forget(*spent)
+    found = reduce(DataFrame.union, stars)
     place = F.floor(F.col("turn") / len(layouts)).cast("int").alias("print")
     key = F.xxhash64("turn", "b").alias("key")
-    linked = stars.select(place, F.col("a").alias("fp"), key).union(stars.select(place, F.col("b").alias("fp"), key).distinct())
+    linked = found.select(place, F.col("a").alias("fp"), key).union(found.select(place, F.col("b").alias("fp"), key).distinct())
     same = leaves.where("nodes > 1").select("print", "fp", F.xxhash64("print", "fp").alias("key"))
     marked = written(linked.union(same), "marked")
-    return finished(spread.join(marked, ["print", "fp"]).select("key", "node").distinct(), "near-prints", spread, leaves, stars, marked)
+    return finished(spread.join(marked, ["print", "fp"]).select("key", "node").distinct(), "near-prints", spread, leaves, *stars, marked)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
