@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontaminate, licenses, mixing, neighbours, queries, repeats, secrets, simhash, tokens, toxicity, warc
+from wayfare.llm import common, decontaminate, licenses, mixing, neighbours, queries, repeats, secrets, simhash, tokens, toxicity, warc
 from wayfare.llm.common import components, shared_folder
 
 DOC = "doc_id long, text string, source string, id string, fp string"
@@ -211,6 +211,27 @@ def test_copies_that_only_their_original_links(spark):
     assert {r.doc_id for r in simhash.representatives(docs_of(spark, texts)).collect()} == wanted
 
 
+def test_near_copies_take_few_plans(spark, monkeypatch):
+    """The driver holds a plan for each table that is written: none for groups in which no pair is left."""
+    names = []
+
+    def counted(df, name, write=common.written):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(simhash, "written", counted)
+    rng = random.Random(41)
+    base = words(rng, 300).split()
+    copies = [" ".join("edit" if i == at else w for i, w in enumerate(base)) for at in (40, 150, 290)]
+    docs = docs_of(spark, [" ".join(base), *copies, words(rng, 300), words(rng, 300)])
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [0, 4, 5]
+    assert len(names) <= 40
+    names.clear()
+    assert simhash.representatives(docs.where("doc_id > 3")).count() == 2
+    assert len(names) <= 25 and "links" not in names
+
+
 def targets_by_hand(sizes, weights):
     fixed, total = {}, sum(sizes.values())
     while True:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -52,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def observed(df: DataFrame, name: str, *sums: Column) -> tuple[DataFrame, dict[str, object]]:
+    """``df`` as a written table, and its number of rows, ``n``, and ``sums``, which the job that writes it takes."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *sums), name)
+    return out, seen.get
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables that no later job reads."""
     for df in tables:
@@ -101,12 +108,12 @@ def components(edges: DataFrame, name: str = "links", most: int = 60) -> DataFra
     Alternates large-star and small-star steps: every node's larger neighbours, then
     its smaller ones, are linked to its least neighbour.  The number of edges never
     grows, no step gathers a node's neighbours, and the rounds are logarithmic in the
-    longest path.  Each round is a written table, the last of which is returned.  Raises if ``most`` rounds do not do.
+    longest path.  Each round is a written table, whose job also tells whether it changed anything; the last is
+    returned.  Raises if ``most`` rounds do not do.
     """
-    now = written(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
-    )
-    before = None
+    sums = F.sum(F.hash("a", "b").cast("long")).alias("x"), F.sum(F.xxhash64("a", "b") % 1000003).alias("y")
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now, before = observed(ordered, name, *sums)
     for _ in range(most):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -115,8 +122,9 @@ def components(edges: DataFrame, name: str = "links", most: int = 60) -> DataFra
         small = large.join(least, "a").select(
             F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")
         )
-        now = finished(small.where("a <> b").distinct(), name, now)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+        past = now
+        now, state = observed(small.where("a <> b").distinct(), name, *sums)
+        forget(past)
         if state == before:
             out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
             out._written_to = now._written_to

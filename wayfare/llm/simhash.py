@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import components, finished, forget, fresh, small_batches, written
+from wayfare.llm.common import components, finished, forget, fresh, observed, small_batches, written
 
 SEED = 42
 #: Rows of whole groups that a task joins at once.
@@ -415,16 +415,36 @@ def _company(spread: DataFrame) -> DataFrame:
     return finished(members.join(scores, "node").select("key", "node", "n", "score"), "company", members, scores)
 
 
-def _apart(groups: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Members of groups with the class that each is in now, of groups that hold more than one."""
+def _apart(groups: DataFrame, classes: DataFrame | None) -> DataFrame | None:
+    """Members of groups with the class that each is in now, of groups that hold more than one; None if no group does."""
     if classes is None:
-        return written(groups.withColumn("label", F.col("node")), "apart")
+        apart, seen = observed(groups.withColumn("label", F.col("node")), "apart")
+        if not seen["n"]:
+            forget(apart)
+        return apart if seen["n"] else None
     held = groups.join(classes, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
     held = written(held, "labelled")
-    mixed = written(held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
+    mixed = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed, seen = observed(mixed, "mixed")
+    if not seen["n"]:
+        forget(held, mixed)
+        return None
     return finished(held.join(mixed, "key"), "apart", held, mixed)
 
 
+def _joined(classes: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """The classes after those of ``pairs`` that are alike are linked; what went before is deleted, and so are the pairs."""
+    alike, seen = observed(_alike(pairs, sets), "alike")
+    forget(pairs)
+    if not seen["n"]:
+        forget(alike)
+        return classes
+    edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    out = components(edges)
+    forget(alike, *([classes] if classes is not None else []))
+    return out
+
+
 def _stars(apart: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(pairs of members with their group's centre, groups' centres c).
 
@@ -497,24 +517,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = finished(texts.mapInArrow(_shingle_sets(width), "node long, held array<long>").dropDuplicates(["node"]), "shingles", candidates, near)
     classes = None
     for groups in kinds:
-        apart, done, spent = _apart(groups, classes), None, []
+        done, spent = None, []
         for _ in range(ROUNDS):
+            apart = _apart(groups, classes)
+            if apart is None:
+                break
             pairs, centres = _stars(apart, done)
             done = centres if done is None else done.union(centres)
-            alike = written(_alike(pairs, sets), "alike")
-            edges = alike if classes is None else alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
-            before, classes = classes, components(edges)
             spent.append(centres)
-            forget(pairs, alike, apart, *([before] if before is not None else []))
-            apart = _apart(groups, classes)
-        forget(apart, *spent)
-    left = [_apart(groups, classes) for groups in kinds]
-    pairs = _rare_partners(left[0].union(left[1]), sets)
-    alike = written(_alike(pairs, sets), "alike")
-    forget(pairs, sets, *left, *kinds)
-    both = components(alike.union(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    held = leaves.select("node", "one").join(both, "node", "left").select(F.coalesce("component", "node").alias("class"), "one")
-    return finished(held, "classes", leaves, alike, classes, both)
+            classes = _joined(classes, pairs, sets)
+            forget(apart)
+        forget(*spent)
+    left = _apart(prints.union(bands), classes)
+    if left is not None:
+        classes = _joined(classes, _rare_partners(left, sets), sets)
+        forget(left)
+    forget(sets, *kinds)
+    if classes is None:
+        return finished(leaves.select(F.col("node").alias("class"), "one"), "classes", leaves)
+    held = leaves.select("node", "one").join(classes, "node", "left").select(F.coalesce("component", "node").alias("class"), "one")
+    return finished(held, "classes", leaves, classes)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
