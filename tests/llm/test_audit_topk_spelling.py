@@ -247,3 +247,17 @@ def test_the_filter_keeps_every_hash_of_the_vocabulary(spark, monkeypatch):
         assert len(kept) == 1 << bits - 3 and spelling.marked(kept, hashes.view(np.uint64)).all()
         others = rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
         assert spelling.marked(kept, others.view(np.uint64)).mean() < (0.02 if bits == 16 else 0.001)
+
+
+def test_spelling_broadcasts_no_table(spark):
+    """Neighbourhoods are many times the words that Spark takes them for; no table may be broadcast, however small it seems."""
+    words = [f"{a}{b}llo{c}" for a in "bcdfgh" for b in "aeiou" for c in "wxyz"]
+    rows = [(i, " ".join(words)) for i in range(4)]
+    key = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1b")
+    try:
+        got = spelling.spelling_variants(docs_of(spark, [(i, t, "s") for i, t in rows])).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, got), key=lambda x: x[0]) == plain_spelling(rows)

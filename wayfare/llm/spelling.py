@@ -33,6 +33,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: What a letter's code point is multiplied by before its symbol is taken.
 SPREAD = 0x85EBCA6B
 REDUCED = "word string, n long, hashes array<long>"
+#: Hint of every join: both sides grow with the vocabulary, and Spark takes exploded neighbourhoods, or files of
+#: dictionaries, for small enough to broadcast.
+SHUFFLED = "merge"
 
 
 def noted(run: str, before: int) -> str:
@@ -191,7 +194,7 @@ def near_words(words: DataFrame, alphabet: int) -> DataFrame:
     held = written(held.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("hashes")[0].alias("h")), "reduced")
     kept = words.sparkSession.sparkContext.broadcast(marks(held))
     around = words.mapInArrow(_reduced(alphabet, True, kept), REDUCED).select("word", "n", F.explode("hashes").alias("h"))
-    pairs = around.join(held, "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
+    pairs = around.join(held.hint(SHUFFLED), "h").where(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
     pairs._written_to = held._written_to
     return pairs
 
@@ -204,7 +207,7 @@ def roots(forms: DataFrame, most: int = 64) -> DataFrame:
     now = written(forms.select("word", F.col("form").alias("root")), "roots")
     for _ in range(most):
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = now.join(further, "root", "left")
+        joined = now.join(further.hint(SHUFFLED), "root", "left")
         if not joined.where("next is not null").head(1):
             return now
         now_ = written(joined.select("word", F.coalesce("next", "root").alias("root")), "roots")
@@ -233,10 +236,10 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
     best = written(best.select("word", "n_near", F.col("best.near").alias("form"), (-F.col("best.minus")).alias("form_n")), "near-words")
     follows = F.col("form_n") >= FACTOR * F.col("n")
-    held = words.join(best, "word", "left").select(
+    held = words.join(best.hint(SHUFFLED), "word", "left").select(
         "word", F.when(follows, F.col("form")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(follows, F.col("form_n")).alias("form_n")
     )
     held = finished(held, "forms", words, best, near)
     last = roots(held.where("form is not null").select("word", "form"))
-    out = held.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = held.join(last.hint(SHUFFLED), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     return finished(out, "spelling", held, last)
