@@ -30,6 +30,7 @@ def sample_long(rows: DataFrame, draws: DataFrame, chooser: str, position: str,
 
     Running sums bound an interval for each alternative, [low, high); a draw takes the one that holds
     it.  The last alternative that is not faint reaches to 1, and faint ones after it to nothing.
+    Draws are always shuffled: exploded from a small table, Spark takes them for as small as that and would broadcast them.
     """
     own = Window.partitionBy(chooser)
     upto = own.orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
@@ -40,7 +41,7 @@ def sample_long(rows: DataFrame, draws: DataFrame, chooser: str, position: str,
     high = F.when(F.col(position) == F.col("_last"), F.greatest(F.col("_high"), F.lit(1.0))).otherwise(F.col("_high"))
     held = held.withColumn("_high", high).where((F.col(position) <= F.col("_last")) & (F.col("_high") > F.col("_low")))
     inside = (F.col("rand") >= F.col("_low")) & (F.col("rand") < F.col("_high"))
-    return held.join(draws, chooser).where(inside).select(chooser, "draw_no", "rand", F.col(position).alias("choice"), F.col(prob).cast("float").alias("prob"))
+    return held.join(draws.hint("merge"), chooser).where(inside).select(chooser, "draw_no", "rand", F.col(position).alias("choice"), F.col(prob).cast("float").alias("prob"))
 
 
 def collapsed(taken: DataFrame, chooser: str) -> DataFrame:
