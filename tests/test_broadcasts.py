@@ -39,7 +39,7 @@ def test_draws_are_shuffled(spark):
     assert got == {(i, n): int(np.searchsorted(ends, (i * 8 + n) / 400.0, side="right").clip(0, 3)) for i in range(50) for n in range(8)}
 
 
-@pytest.mark.parametrize("name", ["destination_choice"])
+@pytest.mark.parametrize("name", ["destination_choice", "destination_sample"])
 def test_only_dimensions_are_broadcast(spark, name):
     """120,000 draws of 15,000 customers would take more than the matrices of the nations, which are 2 MB at most."""
     got = catalogue.QUERIES[name](spark, FOLDER)

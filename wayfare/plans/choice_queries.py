@@ -270,7 +270,7 @@ def sampled(spark: SparkSession, folder: str) -> DataFrame:
     draws = draws.select("c_custkey", "draw_no", draw(F.col("c_custkey") * DRAWS + F.col("draw_no"), 6).alias("rand"))
     taken = sampling.sample_long(rows.select("c_custkey", "alt_pos", "prob"), draws, "c_custkey", "alt_pos", "prob")
     found = sampling.collapsed(taken, "c_custkey")
-    return found.join(rows.select("c_custkey", F.col("alt_pos").alias("choice"), "u"), ["c_custkey", "choice"])
+    return found.join(rows.select("c_custkey", F.col("alt_pos").alias("choice"), "u").hint("merge"), ["c_custkey", "choice"])
 
 
 _SAMPLED = f"""
