@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from sql import rows_of
 
-from wayfare.operators import sampling
+from wayfare.operators import lookup, sampling
 from wayfare.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.1"
@@ -39,7 +39,15 @@ def test_draws_are_shuffled(spark):
     assert got == {(i, n): int(np.searchsorted(ends, (i * 8 + n) / 400.0, side="right").clip(0, 3)) for i in range(50) for n in range(8)}
 
 
-@pytest.mark.parametrize("name", ["destination_choice", "destination_sample"])
+def test_trips_of_legs_are_shuffled(spark):
+    trips = spark.range(50).select(F.col("id").alias("trip_id"), (F.col("id") % 5).alias("origin"), (F.col("id") % 7).alias("primary_dest"))
+    sample = spark.range(50).select(F.col("id").alias("trip_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dest"))
+    with broadcasts_of(spark, "1b"):
+        got = {(r.trip_id, r.dest, r.direction, r.leg_orig, r.leg_dest) for r in lookup.legs(sample, trips).collect()}
+    assert got == {x for i in range(50) for d in range(4) for x in ((i, d, "od", i % 5, d), (i, d, "dp", d, i % 7))}
+
+
+@pytest.mark.parametrize("name", ["destination_choice", "destination_sample", "trip_destinations"])
 def test_only_dimensions_are_broadcast(spark, name):
     """120,000 draws of 15,000 customers would take more than the matrices of the nations, which are 2 MB at most."""
     got = catalogue.QUERIES[name](spark, FOLDER)

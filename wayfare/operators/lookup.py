@@ -83,8 +83,11 @@ def scattered(rows: DataFrame, key: str, slot: str, value: str, slots: int = 25)
 
 
 def legs(sample: DataFrame, trips: DataFrame, trip: str = "trip_id") -> DataFrame:
-    """Both directed legs of each sampled destination: origin to it, and it to the primary destination."""
-    joined = interaction(sample, trips, trip, "_r")
+    """Both directed legs of each sampled destination: origin to it, and it to the primary destination.
+
+    Trips grow as the sample does, and are shuffled whatever size Spark takes their files for.
+    """
+    joined = interaction(sample, trips.hint("merge"), trip, "_r")
     out = joined.select(*joined.columns, F.lit("od").alias("direction"), F.col("origin").alias("leg_orig"), F.col("dest").alias("leg_dest"))
     back = joined.select(*joined.columns, F.lit("dp").alias("direction"), F.col("dest").alias("leg_orig"), F.col("primary_dest").alias("leg_dest"))
     return out.unionByName(back)
